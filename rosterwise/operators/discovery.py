@@ -23,6 +23,8 @@ never forms the product:
    to the jobs.
 """
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -36,7 +38,11 @@ MAX_OTHER_POINTS = 35.0  # 20 experience + 15 location
 # Known frequencies are kept for this many skills: the bound on what is broadcast.
 # Other skills count as rare, which costs order, not results.
 FREQUENT_SKILLS = 10_000
-ROWS_PER_SALT = 250_000
+# A cell of the salted join: at most SEEKERS job rows, about PAIRS_PER_CELL pairs.
+SEEKERS_PER_SALT = 1_000
+PAIRS_PER_CELL = 250_000
+# The most sought skills are compared as bits, BITS to a bigint; the others as strings.
+WORDS, BITS = 4, 62
 # Experience values outside 0..99 share one bucket on either side.
 LAST_BUCKET = 100
 
@@ -60,7 +66,8 @@ def job_features(jobs: DataFrame) -> DataFrame:
         F.coalesce(years["min"], F.lit(0)).alias("j_min"),
         F.when(F.coalesce(years["max"], F.lit(0)) == 0, F.lit(10)).otherwise(years["max"]).alias("j_max"),
     )
-    return out.withColumn("j_key", _profile_key(*[F.col(c) for c in out.columns[1:]]))
+    key = _profile_key(*[F.col(c) for c in out.columns[1:]])
+    return out.withColumn("j_key", key).withColumn("j_anywhere", anywhere(F.col("j_loc")))
 
 
 def candidate_profiles(candidates: DataFrame, keep: int) -> DataFrame:
@@ -98,37 +105,77 @@ def experience_points() -> Column:
 
 
 def location_points() -> Column:
-    matches = anywhere(F.col("j_loc")) | either_contains(F.col("j_loc"), F.col("c_loc"))
+    matches = F.col("j_anywhere") | either_contains(F.col("j_loc"), F.col("c_loc"))
     return F.when(matches, F.lit(15.0)).otherwise(F.lit(5.0))
 
 
 def _share(hits: Column, wanted: Column, points: float) -> Column:
-    return F.when(F.size(wanted) > 0, hits / F.size(wanted) * points).otherwise(F.lit(0.0))
+    return F.when(wanted > 0, hits / wanted * points).otherwise(F.lit(0.0))
+
+
+class SkillBits:
+    """A sorted skill array as WORDS bigints of well-known skills and an array of the others."""
+
+    def __init__(self, known: list[str]):
+        self.words = [known[i * BITS : (i + 1) * BITS] for i in range(WORDS)]
+        self.known = F.array(*[F.lit(s) for s in known]).cast("array<string>")
+
+    def encode(self, df: DataFrame, skills: str, prefix: str) -> DataFrame:
+        columns = {f"{prefix}_rare": F.array_except(skills, self.known)}
+        for w, word in enumerate(self.words):
+            columns[f"{prefix}_w{w}"] = self._bits(F.col(skills), word)
+        return df.withColumns(columns)
+
+    @staticmethod
+    def _bits(skills: Column, word: list[str]) -> Column:
+        if not word:
+            return F.lit(0).cast("bigint")
+        cells = [x for i, s in enumerate(word) for x in (F.lit(s), F.lit(1 << i).cast("bigint"))]
+        table = F.create_map(*cells)
+        zero = F.lit(0).cast("bigint")
+        return F.aggregate(
+            skills, zero, lambda m, s: m.bitwiseOR(F.coalesce(F.try_element_at(table, s), zero))
+        )
+
+    @staticmethod
+    def common(a: str, b: str) -> Column:
+        """How many skills ``a`` and ``b`` have in common."""
+        known = [F.bit_count(F.col(f"{a}_w{w}").bitwiseAND(F.col(f"{b}_w{w}"))) for w in range(WORDS)]
+        rare = F.when(
+            F.size(f"{a}_rare") > 0, F.size(F.array_intersect(f"{a}_rare", f"{b}_rare"))
+        ).otherwise(F.lit(0))
+        return sum(known, rare)
+
+    @staticmethod
+    def disjoint(a: str, b: str) -> Column:
+        known = [F.col(f"{a}_w{w}").bitwiseAND(F.col(f"{b}_w{w}")) == 0 for w in range(WORDS)]
+        rare = (F.size(f"{a}_rare") == 0) | ~F.arrays_overlap(f"{a}_rare", f"{b}_rare")
+        return reduce(lambda x, y: x & y, known) & rare
 
 
-def _scored(pairs: DataFrame) -> DataFrame:
-    """Score a (job profile, candidate profile) pair; keep those over the threshold."""
+def _scored(pairs: DataFrame, bar: Column) -> DataFrame:
+    """Score a (job profile, candidate profile) pair; keep those at or over ``bar``."""
     return (
-        pairs.withColumn("req_hits", F.size(F.array_intersect("j_req", "c_skills")))
-        .withColumn("nice_hits", F.size(F.array_intersect("j_nice", "c_skills")))
+        pairs.withColumn("req_hits", SkillBits.common("j_req", "c"))
+        .withColumn("nice_hits", SkillBits.common("j_nice", "c"))
         .withColumn("exp_points", experience_points())
         .withColumn("loc_points", location_points())
         .withColumn(
             "raw",
             F.lit(0.0)
-            + _share(F.col("req_hits"), F.col("j_req"), 50.0)
-            + _share(F.col("nice_hits"), F.col("j_nice"), 15.0)
+            + _share(F.col("req_hits"), F.col("n_req"), 50.0)
+            + _share(F.col("nice_hits"), F.col("n_nice"), 15.0)
             + F.col("exp_points")
             + F.col("loc_points"),
         )
-        .filter(F.col("raw") >= THRESHOLD)
+        .filter(F.col("raw") >= bar)
         .withColumn("score", py_round1(F.col("raw")))
     )
 
 
 PAIR = [
     "j_key", "c_key", "c_first", "members", "score", "req_hits", "nice_hits", "exp_points",
-    "loc_points", "j_loc",
+    "loc_points", "j_anywhere",
 ]
 
 
@@ -184,14 +231,14 @@ def _heads(profiles: DataFrame, keys, keep: int) -> DataFrame:
 def _bucket_pairs(job_profiles: DataFrame, profiles: DataFrame, keep: int) -> DataFrame:
     """Every job profile with the head of each bucket its skill-less candidates can be in."""
     reach = F.least(F.col("j_min"), F.floor(F.col("j_min") * 0.7).cast("int"))
-    last = F.when(anywhere(F.col("j_loc")), F.lit(LAST_BUCKET)).otherwise(
+    last = F.when(F.col("j_anywhere"), F.lit(LAST_BUCKET)).otherwise(
         F.greatest(_bucket(F.col("j_max")), _bucket(reach))
     )
     by_years = job_profiles.withColumn("bucket", F.explode(F.sequence(_bucket(reach), last)))
     heads = _heads(profiles, ["c_exp"], keep).withColumn("bucket", _bucket(F.col("c_exp")))
     anywhere_pairs = by_years.join(heads, "bucket").drop("bucket")
 
-    placed = job_profiles.filter(~anywhere(F.col("j_loc")))
+    placed = job_profiles.filter(~F.col("j_anywhere"))
     found = location_pairs(
         placed.select("j_loc").distinct(), profiles.select("c_loc").distinct()
     )
@@ -219,20 +266,18 @@ def _job_skills(job_profiles: DataFrame) -> DataFrame:
 
 
 def _frequent_skills(postings: DataFrame, job_skills: DataFrame) -> DataFrame:
-    """Holder count and salts of the skills whose join is largest; at most FREQUENT_SKILLS rows."""
+    """Holders and salts of the skills with the most pairs; at most FREQUENT_SKILLS rows."""
     held = postings.groupBy("skill").agg(F.count(F.lit(1)).alias("holders"))
     wanted = job_skills.groupBy("skill").agg(F.count(F.lit(1)).alias("seekers"))
-
-    def salts(n):
-        return F.ceil(F.col(n) / F.lit(ROWS_PER_SALT)).cast("int")
-
+    pairs = F.col("holders") * F.col("seekers").cast("double")
+    j_salts = F.ceil(F.col("seekers") / F.lit(SEEKERS_PER_SALT))
     return (
         held.join(wanted, "skill")
-        .orderBy(F.desc(F.col("holders") * F.col("seekers").cast("double")), "skill")
+        .withColumn("pairs", pairs)
+        .orderBy(F.desc("pairs"), "skill")
         .limit(FREQUENT_SKILLS)
-        .select(
-            "skill", "holders", salts("holders").alias("c_salts"), salts("seekers").alias("j_salts")
-        )
+        .withColumn("j_salts", j_salts.cast("int"))
+        .withColumn("c_salts", F.ceil(F.col("pairs") / F.col("j_salts") / PAIRS_PER_CELL).cast("int"))
     )
 
 
@@ -260,12 +305,12 @@ def _prefix(job_skills: DataFrame, frequent: DataFrame, floors: DataFrame) -> Da
         F.transform(F.slice("entries", F.lit(1), F.col("at")), lambda e: e.skill).alias("earlier"),
     )
     # A pair at the floor may still win its tie, and 0.051 covers rounding to one decimal.
-    bar = F.greatest(F.coalesce(F.col("floor"), F.lit(THRESHOLD)) - 0.051, F.lit(THRESHOLD - 0.001))
+    bar = F.greatest(F.coalesce("floor", F.lit(THRESHOLD)) - 0.051, F.lit(THRESHOLD))
     return (
         placed.join(floors, "j_key", "left")
         .withColumn("bar", bar)
         .drop("floor")
-        .filter(F.col("rest") + MAX_OTHER_POINTS >= F.col("bar"))
+        .filter(F.col("rest") + (MAX_OTHER_POINTS + 0.001) >= F.col("bar"))
     )
 
 
@@ -286,22 +331,34 @@ def _salted(rows: DataFrame, frequent: DataFrame, own: str, other: str, spread:
 def discover(jobs: DataFrame, candidates: DataFrame, max_results: int = 20) -> DataFrame:
     """``job_id, candidate_id, discovery_rank, discovery_score, discovery_reason``."""
     keep = max_results
-    features = job_features(jobs)
-    job_profiles = features.drop("job_id").dropDuplicates(["j_key"])
+    features = cut_lineage(job_features(jobs))
     profiles = cut_lineage(candidate_profiles(candidates, keep))
-    job_skills = _job_skills(job_profiles)
-    postings = profiles.withColumn("skill", F.explode("c_skills"))
-
-    stocked = W.partitionBy("skill").orderBy(F.desc(F.size("c_skills")), "c_first")
+    job_profiles = features.drop("job_id").dropDuplicates(["j_key"])
+    job_skills = cut_lineage(_job_skills(job_profiles).select("j_key", "skill", "worth"))
+    frequent = cut_lineage(
+        _frequent_skills(profiles.select(F.explode("c_skills").alias("skill")), job_skills)
+    )
+    known = frequent.orderBy(F.desc("pairs"), "skill").limit(WORDS * BITS).select("skill").collect()
+    bits = SkillBits([row.skill for row in known])  # at most WORDS * BITS names
+    job_profiles = bits.encode(bits.encode(job_profiles, "j_req", "j_req"), "j_nice", "j_nice")
+    job_profiles = job_profiles.withColumn("n_req", F.size("j_req")).withColumn(
+        "n_nice", F.size("j_nice")
+    ).drop("j_req", "j_nice")
+    postings = bits.encode(profiles, "c_skills", "c").withColumn("n_skills", F.size("c_skills"))
+    profiles = postings.drop("c_skills", "n_skills")
+    postings = postings.withColumn("skill", F.explode("c_skills")).drop("c_skills")
+
+    stocked = W.partitionBy("skill").orderBy(F.desc("n_skills"), "c_first")
     seeds = (
         postings.withColumn("place", F.row_number().over(stocked))
         .filter(F.col("place") <= keep)
-        .drop("place")
+        .drop("place", "n_skills")
     )
+    sought = job_skills.select("j_key", "skill").join(job_profiles, "j_key")
     first_pairs = _bucket_pairs(job_profiles, profiles, keep).unionByName(
-        job_skills.drop("worth").join(seeds, "skill").drop("skill")
+        sought.join(seeds, "skill").drop("skill")
     )
-    first = cut_lineage(_best(_scored(first_pairs), keep))
+    first = cut_lineage(_best(_scored(first_pairs, F.lit(THRESHOLD)), keep))
     floors = (
         first.groupBy("j_key")
         .agg(F.max("place").alias("n"), F.min("score").alias("floor"))
@@ -309,18 +366,17 @@ def discover(jobs: DataFrame, candidates: DataFrame, max_results: int = 20) -> D
         .select("j_key", "floor")
     )
 
-    frequent = _frequent_skills(postings, job_skills)
-    wanted = _prefix(job_skills, frequent, floors).join(job_profiles, "j_key")
+    prefix = bits.encode(_prefix(job_skills, frequent, floors), "earlier", "earlier").drop("earlier")
     met = (
-        _salted(wanted, frequent, "j", "c", F.col("j_key"))
+        _salted(prefix.join(job_profiles, "j_key"), frequent, "j", "c", F.col("j_key"))
         .join(
-            _salted(postings, frequent, "c", "j", F.col("c_key")),
+            _salted(postings.drop("n_skills"), frequent, "c", "j", F.col("c_key")),
             ["skill", "j_salt", "c_salt"],
         )
-        .filter(F.col("rest") + experience_points() + location_points() >= F.col("bar"))
-        .filter(~F.arrays_overlap("earlier", "c_skills"))
+        .filter(F.col("rest") + experience_points() + location_points() + 0.001 >= F.col("bar"))
+        .filter(SkillBits.disjoint("earlier", "c"))
     )
-    second = _scored(met).filter(F.col("raw") >= F.col("bar"))
+    second = _scored(met, F.col("bar"))
 
     unfold = W.partitionBy("j_key").orderBy(F.desc("score"), "member")
     top = (
@@ -347,6 +403,6 @@ def _reason() -> Column:
         F.when(F.col("exp_points") == 20, F.lit("Experience in range")).when(
             F.col("exp_points") == 10, F.lit("Experience close to range")
         ),
-        F.when(~anywhere(F.col("j_loc")) & (F.col("loc_points") == 15), F.lit("Location match")),
+        F.when(~F.col("j_anywhere") & (F.col("loc_points") == 15), F.lit("Location match")),
     )
     return F.when(F.size(parts) > 0, F.array_join(parts, "; ")).otherwise(F.lit("Partial skill match"))

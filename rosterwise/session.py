@@ -1,6 +1,7 @@
 """Session settings and lineage cuts."""
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,20 +23,24 @@ def build_session(app="rosterwise", master=None, shuffle_partitions=None, **conf
     return builder.getOrCreate()
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder the cluster names for intermediate tables; a private one in local tests."""
+    context = spark.sparkContext
+    folder = context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="rosterwise-")
+        context.setCheckpointDir(folder)
+    return folder
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the checkpoint folder and read it back.
+    """Write ``df`` as a table in the shared folder and read it back.
 
-    Used where one intermediate feeds several branches, so that the expensive part
-    runs once and a lost executor never replays it. The folder is the one the cluster
-    names; a private one is made only where none is set and the session is local.
+    Used where one intermediate feeds several branches: the work behind it runs once, a lost
+    executor never replays it, and readers get column pruning and a known size.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            if not context.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-            folder = tempfile.mkdtemp(prefix="rosterwise-ckpt-")
-        context.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
