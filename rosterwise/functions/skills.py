@@ -5,6 +5,7 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .constants import SYNONYMS
 
@@ -54,7 +55,7 @@ def canonical(skill: Column, synonyms=None) -> Column:
     return F.coalesce(F.try_element_at(first, bare), bare)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def similarity(jd_skill: pd.Series, cand_skill: pd.Series) -> pd.Series:
     """Ratcliff-Obershelp ratio; the argument order matters."""
     return pd.Series(

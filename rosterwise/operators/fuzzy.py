@@ -2,9 +2,9 @@
 
 The ratio is 2M/T for M matched of T characters in both names. At 0.85 or more, at most
 u = 3T/20 characters stay unmatched, so the match consists of at most u + 1 runs, each
-shifted by at most u places. For T >= 15 (and T = 13) one run has three characters or more;
-for T = 14 it has at least two; shorter names match only themselves. So names are joined on
-(gram, position), which is exact and leaves few pairs for the ratio itself.
+shifted by at most u places. Working this out for every T: the names are equal, or the
+longest run has at least three characters, but for T = 7, 9 and 14 only at least two. So names
+are joined on (gram, position), which is exact and leaves few pairs for the ratio itself.
 """
 
 from pyspark.sql import Column, DataFrame
@@ -26,10 +26,10 @@ def _grams(name: Column, n: int, last: Column) -> Column:
 def _placed(names: DataFrame, column: str) -> DataFrame:
     name = F.col(column)
     size = F.length(name)
-    short = F.when(size.between(6, 8), _grams(name, 2, size)).otherwise(
+    short = F.when(size <= 8, _grams(name, 2, size)).otherwise(
         F.array().cast("array<struct<gram:string,at:int>>")
     )
-    return names.filter(size >= 6).select(
+    return names.select(
         column, F.inline(F.concat(_grams(name, 3, size), short))
     )
 
@@ -45,7 +45,7 @@ def fuzzy_pairs(jd_skills: DataFrame, cand_skills: DataFrame) -> DataFrame:
         .filter("at >= 0")
     )
     near = (F.abs(a - b) * 20 <= (a + b) * 3) & (F.col("jd_skill") != F.col("cand_skill"))
-    gram_fits = (F.length("gram") == 3) | (a + b == 14)
+    gram_fits = (F.length("gram") == 3) | (a + b).isin(7, 9, 14)
     return (
         left.join(_placed(cand_skills, "cand_skill"), ["gram", "at"])
         .filter(near & gram_fits)

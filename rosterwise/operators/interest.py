@@ -48,6 +48,11 @@ def _bits(text: Column, word: list[str]) -> Column:
     )
 
 
+def _named(bits: Column, word: list[str]) -> Column:
+    """The terms whose bits are set."""
+    return F.filter(F.array(*[F.lit(t) for t in word]), lambda t, i: F.getbit(bits, i) == 1)
+
+
 def transcript_signals(transcripts: DataFrame, keys, markers=None, skills=None) -> DataFrame:
     """Per transcript: messages, characters and questions of the candidate, and ``found``.
 
@@ -116,17 +121,8 @@ def transcript_signals(transcripts: DataFrame, keys, markers=None, skills=None)
         *[F.bit_or(numbers_of[c]).alias(c) for c in numbers[3:]],
         *mentioned,
     )
-    found = F.flatten(
-        F.array(
-            *[
-                F.filter(
-                    F.array(*[F.lit(t) for t in word]),
-                    lambda t, i, w=w: F.getbit(F.col(f"bits{w}"), i) == 1,
-                )
-                for w, word in enumerate(words)
-            ]
-        )
-    ) if words else F.array().cast("array<string>")
+    found = [_named(F.col(f"bits{w}"), word) for w, word in enumerate(words)]
+    found = F.concat(F.array().cast("array<string>"), *found)
     return out.withColumn("found", found).drop(*numbers[3:])
 
 

@@ -2,28 +2,33 @@
 
 from pyspark.sql import types as T
 
-CANDIDATES = T.StructType.fromDDL(
-    "candidate_id string, name string, email string, phone string, location string, "
-    "experience_years int, current_role string, current_company string, "
-    "skills array<string>, education string, salary_expectation_lpa int, "
-    "notice_period_days int, linkedin string, github string, bio string, "
-    "preferred_work_mode string, availability_status string, pool_order bigint"
+_TEXT, _INT, _TEXTS = T.StringType(), T.IntegerType(), T.ArrayType(T.StringType())
+
+
+def _struct(**fields) -> T.StructType:
+    return T.StructType([T.StructField(name, kind) for name, kind in fields.items()])
+
+
+CANDIDATES = _struct(
+    candidate_id=_TEXT, name=_TEXT, email=_TEXT, phone=_TEXT, location=_TEXT,
+    experience_years=_INT, current_role=_TEXT, current_company=_TEXT, skills=_TEXTS,
+    education=_TEXT, salary_expectation_lpa=_INT, notice_period_days=_INT, linkedin=_TEXT,
+    github=_TEXT, bio=_TEXT, preferred_work_mode=_TEXT, availability_status=_TEXT,
+    pool_order=T.LongType(),
 )
 
 # The struct a parsed job description decodes to.
-JD_REPLY = T.StructType.fromDDL(
-    "title string, location string, required_skills array<string>, "
-    "experience_years struct<min: int, max: int, exact: int>, "
-    "salary_range_lpa struct<min: int, max: int>, key_responsibilities array<string>, "
-    "nice_to_have array<string>, education_required string, notice_preference_days int"
+JD_REPLY = _struct(
+    title=_TEXT, location=_TEXT, required_skills=_TEXTS,
+    experience_years=_struct(min=_INT, max=_INT, exact=_INT),
+    salary_range_lpa=_struct(min=_INT, max=_INT), key_responsibilities=_TEXTS,
+    nice_to_have=_TEXTS, education_required=_TEXT, notice_preference_days=_INT,
 )
 
 JOBS = T.StructType(
-    [T.StructField("job_id", T.StringType())]
-    + JD_REPLY.fields
-    + [T.StructField("raw_text", T.StringType())]
+    [T.StructField("job_id", _TEXT), *JD_REPLY.fields, T.StructField("raw_text", _TEXT)]
 )
 
-TRANSCRIPTS = T.StructType.fromDDL(
-    "job_id string, candidate_id string, turn int, speaker string, message string, intent string"
+TRANSCRIPTS = _struct(
+    job_id=_TEXT, candidate_id=_TEXT, turn=_INT, speaker=_TEXT, message=_TEXT, intent=_TEXT
 )
