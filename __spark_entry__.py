@@ -41,11 +41,11 @@ def _shortlist(spark, sf_dir):
 
 
 def discovery_topk(spark, sf_dir):
-    return discovery.discover(*_inputs(spark, sf_dir), 3 * TOP_K)
+    return discovery.discover(views.jobs(spark, sf_dir), views.candidates(spark, sf_dir), 3 * TOP_K)
 
 
 def discovery_top1(spark, sf_dir):
-    return discovery.discover(*_inputs(spark, sf_dir), 1)
+    return discovery.discover(views.jobs(spark, sf_dir), views.candidates(spark, sf_dir), 1)
 
 
 def skill_overlap(spark, sf_dir):

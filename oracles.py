@@ -298,7 +298,8 @@ def ranked(bar: float = 45.0, jobs: str = "jobs") -> list[str]:
 
 TIER_COUNTS = f"""counts AS (SELECT sid, count(*) AS total, count(*) FILTER (tier = 'PRIORITY HIRE') AS priority_hires,
     count(*) FILTER (tier = 'FAST-TRACK') AS fast_track, count(*) FILTER (tier = 'RECOMMENDED') AS recommended,
-    sum(match_score) / count(*) AS m_raw, sum(interest_score) / count(*) AS i_raw,
+    sum(round(match_score * 10)::BIGINT)::DOUBLE / 10 / count(*) AS m_raw,
+    sum(round(interest_score * 10)::BIGINT)::DOUBLE / 10 / count(*) AS i_raw,
     count(*) FILTER (talked) AS talks, min_by(cid, rank) AS best_cid FROM ranked GROUP BY sid),
     averages AS (SELECT *, {r1('m_raw')} AS avg_match, {r1('i_raw')} AS avg_interest FROM counts)"""
 
@@ -434,7 +435,8 @@ def _own_scan():
     return with_(
         DOCS, lexicon(rows),
         select=r"""SELECT job_id, type, CASE WHEN type = 'gendered_language' THEN trim(term) ELSE term END AS term, severity, suggestion
-    FROM docs JOIN lexicon ON regexp_matches(' ' || low || ' ', '[^\p{L}\p{N}]' || trim(term) || '[^\p{L}\p{N}]')""",
+    FROM docs JOIN lexicon ON CASE WHEN contains(low, trim(term))
+    THEN regexp_matches(' ' || low || ' ', '[^\p{L}\p{N}]' || trim(term) || '[^\p{L}\p{N}]') ELSE false END""",
     )
 
 
@@ -563,6 +565,6 @@ def oracle_sql() -> dict[str, str]:
     THEN 'Job Description too short. Minimum 50 characters.' END AS reject_reason FROM documents""",
         "jd_skill_scan": with_(
             r"vocab AS (SELECT DISTINCT regexp_extract(lower(text), '" + PHRASE + r"', 0) AS skill FROM benchmark)",
-            select=r"""SELECT doc_id::VARCHAR AS job_id, skill FROM documents JOIN vocab ON skill <> ''
-    AND regexp_matches(' ' || lower(text) || ' ', '[^\p{L}\p{N}]' || skill || '[^\p{L}\p{N}]')"""),
+            select=r"""SELECT doc_id::VARCHAR AS job_id, skill FROM documents JOIN vocab ON CASE WHEN skill <> '' AND contains(lower(text), skill)
+    THEN regexp_matches(' ' || lower(text) || ' ', '[^\p{L}\p{N}]' || skill || '[^\p{L}\p{N}]') ELSE false END"""),
     }

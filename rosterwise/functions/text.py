@@ -6,6 +6,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def bind(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` computed once per row, also where ``use`` holds a lambda."""
+    return F.transform(F.array(value), lambda v: use(v))[0]
+
+
 def has_any(text: Column, terms) -> Column:
     """True if any literal term is a substring of ``text``."""
     return reduce(lambda a, b: a | b, [text.contains(t) for t in terms])
@@ -24,13 +29,6 @@ def term_found(text: Column, term: Column, mode: str = "substring") -> Column:
     raise ValueError(f"mode must be 'substring' or 'word', not {mode!r}")
 
 
-def terms_in(text: Column, terms, mode: str = "substring") -> Column:
-    """The literal terms found in ``text``, in list order."""
-    if not terms:
-        return F.array().cast("array<string>")
-    return F.filter(F.array(*[F.lit(t) for t in terms]), lambda t: term_found(text, t, mode))
-
-
 def anywhere(location: Column) -> Column:
     """A lower-cased job location that takes candidates from everywhere.
 

@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
-from ..functions.text import present, term_found
+from ..functions.text import bind, present, term_found
 
 
 def bias_lexicon(gendered=None, age=None, exclusionary=None, inflation=None) -> list[dict]:
@@ -43,7 +43,7 @@ def bias_issues(text: Column, lexicon=None, mode: str = "substring") -> Column:
         *[F.struct(*[F.lit(e[k]).alias(k) for k in ("type", "term", "severity", "suggestion")]) for e in lexicon]
     )
     lowered = F.lower(F.coalesce(text, F.lit("")))
-    hits = F.filter(entries, lambda e: term_found(lowered, e.term, mode))
+    hits = bind(lowered, lambda low: F.filter(entries, lambda e: term_found(low, e.term, mode)))
     # Gendered terms carry a blank that marks the word end; it is not part of the report.
     return F.transform(
         hits,

@@ -1,10 +1,11 @@
 """Interest score of a transcript: enthusiasm 40, engagement 30, commitment 30.
 
 A transcript is never gathered whole. Turns are folded into chunks of TURNS_PER_CHUNK turn
-numbers; a chunk keeps counts and one bit per marker found in its text. A marker may also
-span messages of two or more chunks, so each chunk adds the markers found in the text
-around its start. Bits and counts of the chunks then combine with partial aggregation, so a
-transcript that holds a third of all turns is spread over many tasks.
+numbers; a chunk keeps counts, one bit per marker found in its text, and the first and last
+few characters. A marker may also span messages of two or more chunks, so each chunk adds
+the markers found in the text around its start, which needs those characters only. Bits and
+counts of the chunks then combine with partial aggregation. So the text of a transcript that
+holds a third of all turns is spread over many tasks.
 """
 
 from dataclasses import dataclass, field
@@ -15,9 +16,9 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as K
 from ..functions.numbers import clamp_text
-from ..functions.text import lowered
+from ..functions.text import bind, lowered
 
-TURNS_PER_CHUNK = 256
+TURNS_PER_CHUNK = 1024
 BITS = 62
 
 
@@ -43,9 +44,13 @@ def _bits(text: Column, word: list[str]) -> Column:
         *[F.struct(F.lit(t).alias("term"), F.lit(1 << i).cast("bigint").alias("bit")) for i, t in enumerate(word)]
     )
     zero = F.lit(0).cast("bigint")
-    return F.aggregate(
-        cells, zero, lambda m, c: F.when(F.contains(text, c.term), m.bitwiseOR(c.bit)).otherwise(m)
-    )
+
+    def scan(bound):
+        return F.aggregate(
+            cells, zero, lambda m, c: F.when(F.contains(bound, c.term), m.bitwiseOR(c.bit)).otherwise(m)
+        )
+
+    return bind(text, scan)
 
 
 def _named(bits: Column, word: list[str]) -> Column:
@@ -85,30 +90,32 @@ def transcript_signals(transcripts: DataFrame, keys, markers=None, skills=None)
         .withColumn("messages", F.transform("turns", lambda t: F.lower(t.message)))
         .withColumn("text", F.when(F.col("n") > 0, F.array_join("messages", " ")))
     )
+    spoken = F.col("n") > 0
+    slim = [F.col(c) for c in (*keys, "chunk", "n", "chars", "questions")] + [
+        F.left("text", F.lit(reach)).alias("head"),
+        F.when(spoken, F.right("text", F.lit(reach))).alias("tail"),
+        *[_bits(F.coalesce("text", F.lit("")), word).alias(f"inside{w}") for w, word in enumerate(words)],
+    ]
+    if skills:
+        said_skills = F.filter(
+            F.array_distinct("own_skills"),
+            lambda s: F.exists("messages", lambda m: F.contains(m, s)),
+        )
+        slim.append(F.coalesce(said_skills, F.array().cast("array<string>")).alias("heard"))
+    chunks = chunks.select(*slim)
+
     before = W.partitionBy(*keys).orderBy("chunk").rowsBetween(-(reach + 1), -1)
-    tail = F.when(F.col("n") > 0, F.right("text", F.lit(reach)))
-    lead = F.col("lead")
-    joint = F.concat(
-        F.right(F.array_join("lead", " "), F.lit(reach)), F.lit(" "), F.left("text", F.lit(reach))
-    )
-    chunks = chunks.withColumn("lead", F.collect_list(tail).over(before)).withColumn(
-        "joint", F.when(F.size(lead) > 0, joint)
-    )
+    lead = F.right(F.array_join("lead", " "), F.lit(reach))
+    joint = F.when(F.size("lead") > 0, F.concat(lead, F.lit(" "), "head"))
+    chunks = chunks.withColumn("lead", F.collect_list("tail").over(before)).withColumn("joint", joint)
     for w, word in enumerate(words):
-        inside = _bits(F.coalesce("text", F.lit("")), word)
-        across = F.when(F.col("joint").isNotNull(), _bits(F.col("joint"), word)).otherwise(
-            F.lit(0).cast("bigint")
-        )
-        chunks = chunks.withColumn(f"bits{w}", inside.bitwiseOR(across))
+        across = _bits(F.coalesce("joint", F.lit("")), word)
+        chunks = chunks.withColumn(f"bits{w}", F.col(f"inside{w}").bitwiseOR(across))
 
     # One row of counts and bits per chunk, and one row per skill mentioned in it.
     numbers = ["n", "chars", "questions", *[f"bits{w}" for w in range(len(words))]]
     if skills:
-        heard = F.filter(
-            F.array_distinct("own_skills"),
-            lambda s: F.exists("messages", lambda m: F.contains(m, s)),
-        )
-        rows = F.concat(F.array(F.lit(None).cast("string")), F.coalesce(heard, F.array().cast("array<string>")))
+        rows = F.concat(F.array(F.lit(None).cast("string")), "heard")
         chunks = chunks.select(*keys, *numbers, F.posexplode(rows).alias("at", "skill"))
         first = F.col("at") == 0
         numbers_of = {c: F.when(first, F.col(c)) for c in numbers}

@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import lowered, word_pattern
+from ..functions.text import bind, lowered, word_pattern
 from ..schemas import JD_REPLY
 
 MIN_LENGTH = 50
@@ -75,18 +75,31 @@ def _bullets(text: Column, heading: str) -> Column:
 def mentioned_skills(texts: DataFrame, keys, text: str, vocabulary: DataFrame) -> DataFrame:
     """``keys, skill``: vocabulary skills that occur in ``text`` as whole words.
 
-    Joined on the first run of letters and digits of the skill, which must be a word of the
-    text, and then checked. Skills without a letter or digit are not looked for.
+    The first run of letters and digits of a skill must be a word of the text: words and
+    skills are joined on it, without the text, and each text then checks the few skills that
+    are left. Skills without a letter or digit are not looked for.
     """
-    words = F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))
+    word = r"[\p{L}\p{N}]+"
+    words = F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(word), F.lit(0)))
     terms = vocabulary.select("skill").distinct().select(
-        "skill", F.regexp_extract(F.lower("skill"), r"[\p{L}\p{N}]+", 0).alias("word")
+        "skill", F.regexp_extract(F.lower("skill"), word, 0).alias("word")
     )
-    return (
-        texts.select(*keys, F.lower(text).alias("haystack"), F.explode(words).alias("word"))
+    likely = (
+        texts.select(*keys, F.explode(words).alias("word"))
         .join(terms.filter("word != ''"), "word")
-        .filter(F.regexp_like("haystack", word_pattern(F.trim(F.lower("skill")))))
-        .select(*keys, "skill")
+        .groupBy(*keys)
+        .agg(F.collect_set("skill").alias("likely"))
+    )
+
+    def occurring(low):
+        def occurs(skill):
+            name = F.trim(F.lower(skill))
+            return F.contains(low, name) & F.regexp_like(low, word_pattern(name))
+
+        return F.filter("likely", occurs)
+
+    return texts.join(likely, list(keys)).select(
+        *keys, F.explode(bind(F.lower(text), occurring)).alias("skill")
     )
 
 

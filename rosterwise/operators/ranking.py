@@ -108,7 +108,9 @@ def tier_counts(ranked: DataFrame) -> DataFrame:
     """Per job: counts by tier, averages of the rounded scores, and the best candidate."""
 
     def mean1(column):
-        return py_round1(F.sum(column) / F.count(F.lit(1)))
+        # Scores are whole tenths: summed as such, the order of rows does not matter.
+        tenths = F.sum(F.round(F.col(column) * 10).cast("bigint"))
+        return py_round1(tenths / F.lit(10.0) / F.count(F.lit(1)))
 
     return ranked.groupBy("job_id").agg(
         F.count(F.lit(1)).alias("total_candidates_considered"),

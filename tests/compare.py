@@ -39,7 +39,9 @@ def canonical(rows, columns):
 
 def differences(spark_df, con, sql):
     """None if both give the same columns and rows, else a short description."""
+    start = time.time()
     got = canonical([tuple(r) for r in spark_df.collect()], spark_df.columns)
+    print(f"  spark run {time.time() - start:.1f}s", end=" ")
     cursor = con.execute(sql)
     want = canonical(cursor.fetchall(), [d[0] for d in cursor.description])
     if got[0] != want[0]:
