@@ -204,10 +204,13 @@ def location_pairs(job_locations: DataFrame, cand_locations: DataFrame) -> DataF
     def lead(loc):
         return F.substring(loc, 1, 3)
 
-    def grams(loc):
+    def pieces(loc, n):
         starts = F.sequence(F.lit(1), F.greatest(F.length(loc), F.lit(1)))
-        pieces = [F.transform(starts, lambda i, n=n: F.substring(loc, i, F.lit(n))) for n in (1, 2, 3)]
-        return F.explode(F.array_distinct(F.concat(F.array(F.lit("")), *pieces)))
+        return F.transform(starts, lambda i: F.substring(loc, i, F.lit(n)))
+
+    def grams(loc):
+        every = F.concat(F.array(F.lit("")), *[pieces(loc, n) for n in (1, 2, 3)])
+        return F.explode(F.array_distinct(every))
 
     j, c = F.col("j_loc"), F.col("c_loc")
     in_candidate = job_locations.select("j_loc", lead(j).alias("gram")).join(
