@@ -10,9 +10,7 @@ from ..plans.shortlist import build_shortlist
 
 def jd_text_stream(spark: SparkSession, path: str) -> DataFrame:
     return (
-        spark.readStream.schema("value string")
-        .option("wholetext", True)
-        .text(path)
+        spark.readStream.text(path, wholetext=True)
         .select(
             F.regexp_replace(F.col("_metadata.file_name"), r"\.[^.]*$", "").alias("job_id"),
             F.col("value").alias("raw_text"),
