@@ -65,7 +65,7 @@ def skill_overlap(spark, sf_dir):
         overlap["total_jd_skills"].alias("total_jd_skills"),
         overlap["matched_count"].alias("matched_count"),
         overlap["match_percentage"].alias("match_percentage"),
-        _joined(F.array_sort(overlap["unmatched_jd_skills"])).alias("unmatched_jd_skills"),
+        _joined(F.sort_array(overlap["unmatched_jd_skills"])).alias("unmatched_jd_skills"),
     )
 
 

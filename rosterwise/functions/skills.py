@@ -38,13 +38,18 @@ def _lookup(table: dict) -> Column:
 
 def expand(skills: Column, synonyms=None) -> Column:
     """Sorted set of the lower-cased, trimmed skills and all their synonyms."""
-    table = _lookup(closure(synonyms))
+    table = closure(synonyms)
+    lookup = _lookup(table) if table else None
     clean = F.transform(
         F.filter(F.coalesce(skills, F.array().cast("array<string>")), lambda s: s.isNotNull()),
         lambda s: F.trim(F.lower(s)),
     )
-    groups = F.transform(clean, lambda s: F.coalesce(F.try_element_at(table, s), F.array(s)))
-    return F.array_sort(F.array_distinct(F.flatten(groups)))
+    if lookup is None:
+        return F.sort_array(F.array_distinct(clean))
+    # Few skills have synonyms: look up those only.
+    known = F.array_intersect(clean, F.array(*[F.lit(t) for t in table]))
+    groups = F.flatten(F.transform(known, lambda s: F.element_at(lookup, s)))
+    return F.sort_array(F.array_union(clean, groups))
 
 
 def canonical(skill: Column, synonyms=None) -> Column:

@@ -108,7 +108,7 @@ def bias_report(jobs: DataFrame, lexicon=None, mode: str = "substring") -> DataF
             "job_id",
             F.size("issues").alias("issues_found"),
             "issues",
-            F.array_sort(F.array_distinct(F.transform("issues", lambda i: i.type))).alias("issue_types"),
+            F.sort_array(F.array_distinct(F.transform("issues", lambda i: i.type))).alias("issue_types"),
             "suggestions",
             "high_severity",
             "medium_severity",

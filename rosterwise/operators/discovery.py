@@ -60,8 +60,8 @@ def job_features(jobs: DataFrame) -> DataFrame:
     years = F.col("experience_years")
     out = jobs.select(
         "job_id",
-        F.array_sort(F.array_distinct(lowered(F.col("required_skills")))).alias("j_req"),
-        F.array_sort(F.array_distinct(lowered(F.col("nice_to_have")))).alias("j_nice"),
+        F.sort_array(F.array_distinct(lowered(F.col("required_skills")))).alias("j_req"),
+        F.sort_array(F.array_distinct(lowered(F.col("nice_to_have")))).alias("j_nice"),
         F.lower(F.coalesce("location", F.lit("Any"))).alias("j_loc"),
         F.coalesce(years["min"], F.lit(0)).alias("j_min"),
         F.when(F.coalesce(years["max"], F.lit(0)) == 0, F.lit(10)).otherwise(years["max"]).alias("j_max"),
@@ -74,7 +74,7 @@ def candidate_profiles(candidates: DataFrame, keep: int) -> DataFrame:
     """Distinct profiles with their first ``keep`` members by pool order."""
     features = candidates.select(
         F.struct("pool_order", "candidate_id").alias("member"),
-        F.array_sort(F.array_distinct(lowered(F.col("skills")))).alias("c_skills"),
+        F.sort_array(F.array_distinct(lowered(F.col("skills")))).alias("c_skills"),
         F.coalesce("experience_years", F.lit(0)).alias("c_exp"),
         F.lower(F.coalesce("location", F.lit(""))).alias("c_loc"),
     ).withColumn("c_key", _profile_key(F.col("c_skills"), F.col("c_exp"), F.col("c_loc")))
@@ -89,7 +89,7 @@ def candidate_profiles(candidates: DataFrame, keep: int) -> DataFrame:
             F.first("c_skills").alias("c_skills"),
             F.first("c_exp").alias("c_exp"),
             F.first("c_loc").alias("c_loc"),
-            F.array_sort(F.collect_list("member")).alias("members"),
+            F.sort_array(F.collect_list("member")).alias("members"),
         )
         .withColumn("c_first", F.col("members")[0])
     )
@@ -294,7 +294,7 @@ def _prefix(job_skills: DataFrame, frequent: DataFrame, floors: DataFrame) -> Da
         job_skills.select("j_key", "skill", "worth")
         .join(F.broadcast(frequent.select("skill", "holders")), "skill", "left")
         .groupBy("j_key")
-        .agg(F.array_sort(F.collect_list(entry)).alias("entries"))
+        .agg(F.sort_array(F.collect_list(entry)).alias("entries"))
     )
 
     def rest(at):

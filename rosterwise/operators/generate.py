@@ -135,7 +135,7 @@ def generate_candidates(ids: DataFrame, seed: int = 0, words: Vocabulary | None
 
     def sample(salt, values, k):
         marked = F.transform(values, lambda v: F.struct(F.md5(F.concat_ws("|", F.col("id").cast("string"), F.lit(salt), v, F.lit(str(seed)))).alias("mark"), v.alias("skill")))
-        return F.transform(F.slice(F.array_sort(marked), F.lit(1), k), lambda m: m.skill)
+        return F.transform(F.slice(F.sort_array(marked), F.lit(1), k), lambda m: m.skill)
 
     years, domain = F.col("experience_years"), F.col("domain")
     base = (

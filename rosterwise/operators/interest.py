@@ -78,7 +78,7 @@ def transcript_signals(transcripts: DataFrame, keys, markers=None, skills=None)
         transcripts.withColumn("chunk", chunk)
         .groupBy(*keys, "chunk")
         .agg(
-            F.array_sort(F.collect_list(F.when(said, F.struct("turn", message.alias("message"))))).alias("turns"),
+            F.sort_array(F.collect_list(F.when(said, F.struct("turn", message.alias("message"))))).alias("turns"),
             F.count_if(said).alias("n"),
             F.coalesce(F.sum(F.when(said, F.length(message))), F.lit(0)).alias("chars"),
             F.coalesce(
@@ -220,9 +220,9 @@ def score_interest(matches: DataFrame, transcripts: DataFrame, markers=None) ->
             either(enthusiasm, F.lit(20.0)).alias("enthusiasm_score"),
             either(engagement, F.lit(10.0)).alias("engagement_score"),
             either(commitment, F.lit(15.0)).alias("commitment_score"),
-            either(F.array_sort(F.array_distinct(positive)), none).alias("positive_signals"),
+            either(F.sort_array(F.array_distinct(positive)), none).alias("positive_signals"),
             either(
-                F.array_sort(F.array_distinct(negative)),
+                F.sort_array(F.array_distinct(negative)),
                 F.array(F.lit("Conversation simulation failed")),
             ).alias("negative_signals"),
             F.coalesce("questions", F.lit(0)).alias("questions_asked"),

@@ -139,7 +139,7 @@ def extract_jobs(texts: DataFrame, vocabulary: DataFrame) -> DataFrame:
         return (
             mentioned_skills(bullets, ["job_id"], "bullets", vocabulary)
             .groupBy("job_id")
-            .agg(F.array_sort(F.collect_set("skill")).alias(name))
+            .agg(F.sort_array(F.collect_set("skill")).alias(name))
         )
 
     empty = F.array().cast("array<string>")

@@ -21,7 +21,7 @@ def _strings(column) -> Column:
 
 
 def semantic_overlap(pairs: DataFrame, keys, synonyms=None) -> DataFrame:
-    """Add ``overlap`` to rows that hold ``jd_skills`` and ``cand_skills`` arrays.
+    """Put ``overlap`` in place of ``jd_skills`` in rows of ``jd_skills`` and ``cand_skills``.
 
     Direct matches are shared names after synonym expansion. Fuzzy matches are pairs of the
     names left over on either side. They count as pairs, so the percentage can exceed 100.
@@ -29,9 +29,11 @@ def semantic_overlap(pairs: DataFrame, keys, synonyms=None) -> DataFrame:
     base = cut_lineage(
         pairs.withColumn("jd_terms", expand(F.col("jd_skills"), synonyms))
         .withColumn("cand_terms", expand(F.col("cand_skills"), synonyms))
-        .withColumn("direct", F.array_sort(F.array_intersect("jd_terms", "cand_terms")))
+        .withColumn("direct", F.sort_array(F.array_intersect("jd_terms", "cand_terms")))
         .withColumn("jd_rest", F.array_except("jd_terms", "direct"))
         .withColumn("cand_rest", F.array_except("cand_terms", "direct"))
+        .withColumn("total", F.size("jd_terms"))
+        .drop("jd_skills", "jd_terms", "cand_terms")
     )
     similar = fuzzy_pairs(
         base.select(F.explode("jd_rest").alias("jd_skill")).distinct(),
@@ -42,10 +44,10 @@ def semantic_overlap(pairs: DataFrame, keys, synonyms=None) -> DataFrame:
         .join(similar, "cand_skill")
         .filter(F.array_contains("jd_rest", F.col("jd_skill")))
         .groupBy(*keys)
-        .agg(F.array_sort(F.collect_list(F.struct("jd_skill", "cand_skill"))).alias("fuzzy"))
+        .agg(F.sort_array(F.collect_list(F.struct("jd_skill", "cand_skill"))).alias("fuzzy"))
     )
     no_pairs = F.array().cast("array<struct<jd_skill:string,cand_skill:string>>")
-    total = F.size("jd_terms")
+    total = F.col("total")
     matched = F.size("direct") + F.size("fuzzy")
     overlap = F.struct(
         F.col("direct").alias("direct_matches"),
@@ -61,7 +63,7 @@ def semantic_overlap(pairs: DataFrame, keys, synonyms=None) -> DataFrame:
         base.join(fuzzy, list(keys), "left")
         .withColumn("fuzzy", F.coalesce("fuzzy", no_pairs))
         .withColumn("overlap", overlap)
-        .drop("jd_terms", "cand_terms", "direct", "jd_rest", "cand_rest", "fuzzy")
+        .drop("total", "direct", "jd_rest", "cand_rest", "fuzzy")
     )
 
 
@@ -160,7 +162,7 @@ def match_pairs(pairs: DataFrame, jobs: DataFrame, candidates: DataFrame, synony
     )
     people = candidates.select(
         "candidate_id", *[c if c in candidates.columns else F.lit(None).alias(c) for c in RAW_CANDIDATE]
-    ).withColumn("cand_skills", _strings(F.col("skills")))
+    ).withColumn("cand_skills", _strings(F.col("skills"))).drop("skills")
     rows = semantic_overlap(
         pairs.join(people, "candidate_id").join(wanted, "job_id"), ["job_id", "candidate_id"], synonyms
     )
@@ -235,7 +237,9 @@ def match_pairs(pairs: DataFrame, jobs: DataFrame, candidates: DataFrame, synony
         explanation.alias("overall_explanation"),
         "skill_breakdown",
         "factor_breakdown",
-        F.struct(*RAW_CANDIDATE).alias("raw_candidate"),
+        F.struct(
+            *[F.col("cand_skills").alias(c) if c == "skills" else F.col(c) for c in RAW_CANDIDATE]
+        ).alias("raw_candidate"),
     )
 
 

@@ -38,7 +38,7 @@ def _transcripts_of(ranked: DataFrame, transcripts: DataFrame) -> DataFrame:
     return (
         transcripts.join(ranked.select(*keys), keys, "left_semi")
         .groupBy(*keys)
-        .agg(F.array_sort(F.collect_list(turn)).alias("conversation_transcript"))
+        .agg(F.sort_array(F.collect_list(turn)).alias("conversation_transcript"))
     )
 
 
@@ -65,7 +65,7 @@ def report_documents(
         rows = rows.join(_transcripts_of(ranked, transcripts), keys, "left")
         fields.append("conversation_transcript")
     people = rows.groupBy("job_id").agg(
-        F.array_sort(F.collect_list(F.struct(*fields))).alias("candidates")
+        F.sort_array(F.collect_list(F.struct(*fields))).alias("candidates")
     )
     counts = summary.select(
         "job_id",

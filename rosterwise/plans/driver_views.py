@@ -45,7 +45,7 @@ def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     skills = (
         held.join(orders, held.l_orderkey == orders.o_orderkey)
         .groupBy("o_custkey")
-        .agg(F.array_sort(F.collect_set("skill")).alias("skills"))
+        .agg(F.sort_array(F.collect_set("skill")).alias("skills"))
     )
     customer = table(spark, sf_dir, "customer")
     nation = table(spark, sf_dir, "nation")
@@ -78,7 +78,7 @@ def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
         .withColumn("place", F.row_number().over(by_count))
         .filter("place <= 8")
         .groupBy("l_suppkey")
-        .agg(F.array_sort(F.collect_list(F.struct("place", "skill"))).alias("top"))
+        .agg(F.sort_array(F.collect_list(F.struct("place", "skill"))).alias("top"))
     )
     supplier = table(spark, sf_dir, "supplier")
     nation = table(spark, sf_dir, "nation")

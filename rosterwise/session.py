@@ -11,6 +11,9 @@ def build_session(app="rosterwise", master=None, shuffle_partitions=None, **conf
         SparkSession.builder.appName(app)
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        # Few bytes can mean much work here (text scans, pair scoring): do not fold small
+        # shuffles into one task while cores are idle.
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64KB")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
     )
