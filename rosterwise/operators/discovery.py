@@ -13,14 +13,18 @@ never forms the product:
    A candidate without any skill in common can only be in the result if it is among these:
    K profiles that come earlier in its own bucket score at least as much. The K-th best
    score found so far is a floor for the final top K.
-3. *Prefix join.* Experience and location give at most 35 points, so a candidate that
-   beats the floor needs ``floor - 35`` skill points. A job's skills are ordered from
-   rare to common, and only the leading ones are joined with the postings, up to the
-   point where the rest cannot make up those points. Common skills fall in the rest.
-   Each pair is met once, at its first common skill, and dropped inside the join when its
-   bound stays under the floor. Postings of common skills are salted on both sides.
-4. *Merge.* Best K of both lists per job profile, members unfolded, cut to K, joined back
+3. *Prefix.* Experience and location give at most 35 points, so a candidate that beats the
+   floor needs ``floor - 35`` skill points. A job's skills are ordered from rare to common,
+   and only the leading ones are joined with the postings, up to the point where the rest
+   cannot make up those points. Each pair is met once, at its first common skill.
+4. *Near join.* First on (skill, experience, location), which meets the candidates in range
+   and in place. Their scores lift the floor.
+5. *Far join.* All others lose ten points or more. Only the jobs and skills that can still
+   reach the lifted floor without them are joined on the skill alone.
+6. *Merge.* Best K of all lists per job profile, members unfolded, cut to K, joined back
    to the jobs.
+
+Keys with many pairs are salted on both sides of either join, by counts taken beforehand.
 """
 
 from functools import reduce
@@ -34,15 +38,20 @@ from ..functions.text import anywhere, either_contains, lowered, present
 from ..session import cut_lineage
 
 THRESHOLD = 25.0
-MAX_OTHER_POINTS = 35.0  # 20 experience + 15 location
-# Known frequencies are kept for this many skills: the bound on what is broadcast.
-# Other skills count as rare, which costs order, not results.
-FREQUENT_SKILLS = 10_000
+BEST_OTHER = 35.0  # 20 experience + 15 location
+NEXT_OTHER = 25.0  # 20 + 5 or 10 + 15
+SLACK = 0.001  # float sums in bounds
+# Counts are broadcast for this many keys at most; other keys count as rare, which costs
+# order and balance, not results.
+FREQUENT = 10_000
 # A cell of the salted join: at most SEEKERS job rows, about PAIRS_PER_CELL pairs.
 SEEKERS_PER_SALT = 1_000
 PAIRS_PER_CELL = 250_000
 # The most sought skills are compared as bits, BITS to a bigint; the others as strings.
 WORDS, BITS = 4, 62
+# A job location that matches more candidate locations than this is not part of the join
+# key but of the condition.
+KEYED_PLACES = 64
 # Experience values outside 0..99 share one bucket on either side.
 LAST_BUCKET = 100
 
@@ -231,7 +240,9 @@ def _heads(profiles: DataFrame, keys, keep: int) -> DataFrame:
     )
 
 
-def _bucket_pairs(job_profiles: DataFrame, profiles: DataFrame, keep: int) -> DataFrame:
+def _bucket_pairs(
+    job_profiles: DataFrame, profiles: DataFrame, places: DataFrame, keep: int
+) -> DataFrame:
     """Every job profile with the head of each bucket its skill-less candidates can be in."""
     reach = F.least(F.col("j_min"), F.floor(F.col("j_min") * 0.7).cast("int"))
     last = F.when(F.col("j_anywhere"), F.lit(LAST_BUCKET)).otherwise(
@@ -242,10 +253,7 @@ def _bucket_pairs(job_profiles: DataFrame, profiles: DataFrame, keep: int) -> Da
     anywhere_pairs = by_years.join(heads, "bucket").drop("bucket")
 
     placed = job_profiles.filter(~F.col("j_anywhere"))
-    found = location_pairs(
-        placed.select("j_loc").distinct(), profiles.select("c_loc").distinct()
-    )
-    local = found.join(_heads(profiles, ["c_loc", "c_exp"], keep), "c_loc")
+    local = places.join(_heads(profiles, ["c_loc", "c_exp"], keep), "c_loc")
     local_heads = _heads(local, ["j_loc", "c_exp"], keep).withColumn("bucket", _bucket(F.col("c_exp")))
     local_pairs = (
         placed.withColumn("bucket", F.explode(F.sequence(_bucket(reach), F.lit(LAST_BUCKET))))
@@ -268,17 +276,17 @@ def _job_skills(job_profiles: DataFrame) -> DataFrame:
     ).withColumn("worth", points(F.col("j_req"), 50.0) + points(F.col("j_nice"), 15.0))
 
 
-def _frequent_skills(postings: DataFrame, job_skills: DataFrame) -> DataFrame:
-    """Holders and salts of the skills with the most pairs; at most FREQUENT_SKILLS rows."""
-    held = postings.groupBy("skill").agg(F.count(F.lit(1)).alias("holders"))
-    wanted = job_skills.groupBy("skill").agg(F.count(F.lit(1)).alias("seekers"))
+def _busy(cells: DataFrame, seekers: DataFrame, keys) -> DataFrame:
+    """Counts and salts of the keys with the most pairs; at most FREQUENT rows."""
+    held = cells.groupBy(*keys).agg(F.sum("holders").alias("holders"))
+    wanted = seekers.groupBy(*keys).agg(F.count(F.lit(1)).alias("seekers"))
     pairs = F.col("holders") * F.col("seekers").cast("double")
     j_salts = F.ceil(F.col("seekers") / F.lit(SEEKERS_PER_SALT))
     return (
-        held.join(wanted, "skill")
+        held.join(wanted, list(keys))
         .withColumn("pairs", pairs)
-        .orderBy(F.desc("pairs"), "skill")
-        .limit(FREQUENT_SKILLS)
+        .orderBy(F.desc("pairs"), *keys)
+        .limit(FREQUENT)
         .withColumn("j_salts", j_salts.cast("int"))
         .withColumn("c_salts", F.ceil(F.col("pairs") / F.col("j_salts") / PAIRS_PER_CELL).cast("int"))
     )
@@ -307,21 +315,34 @@ def _prefix(job_skills: DataFrame, frequent: DataFrame, floors: DataFrame) -> Da
         rest(F.col("at")).alias("rest"),
         F.transform(F.slice("entries", F.lit(1), F.col("at")), lambda e: e.skill).alias("earlier"),
     )
-    # A pair at the floor may still win its tie, and 0.051 covers rounding to one decimal.
-    bar = F.greatest(F.coalesce("floor", F.lit(THRESHOLD)) - 0.051, F.lit(THRESHOLD))
     return (
         placed.join(floors, "j_key", "left")
-        .withColumn("bar", bar)
+        .withColumn("bar", _bar())
         .drop("floor")
-        .filter(F.col("rest") + (MAX_OTHER_POINTS + 0.001) >= F.col("bar"))
+        .filter(F.col("rest") + (BEST_OTHER + SLACK) >= F.col("bar"))
     )
 
 
-def _salted(rows: DataFrame, frequent: DataFrame, own: str, other: str, spread: Column) -> DataFrame:
-    """Own salt from a hash, one copy per salt of the other side; 1 x 1 for rare skills."""
+def _bar() -> Column:
+    """Least unrounded score of interest: a pair at the floor may still win its tie."""
+    return F.greatest(F.coalesce("floor", F.lit(THRESHOLD)) - 0.05 - SLACK, F.lit(THRESHOLD))
+
+
+def _floors(best: DataFrame, keep: int) -> DataFrame:
+    """``j_key, floor`` of the job profiles that have ``keep`` finds already."""
+    return (
+        best.groupBy("j_key")
+        .agg(F.max("place").alias("n"), F.min("score").alias("floor"))
+        .filter(F.col("n") == keep)
+        .select("j_key", "floor")
+    )
+
+
+def _salted(rows: DataFrame, busy: DataFrame, keys, own: str, other: str, spread: Column) -> DataFrame:
+    """Own salt from a hash, one copy per salt of the other side; 1 x 1 for rare keys."""
     n_own, n_other = f"{own}_salts", f"{other}_salts"
     return (
-        rows.join(F.broadcast(frequent.select("skill", n_own, n_other)), "skill", "left")
+        rows.join(F.broadcast(busy.select(*keys, n_own, n_other)), list(keys), "left")
         .withColumn(f"{own}_salt", F.pmod(F.xxhash64(spread), F.coalesce(n_own, F.lit(1))).cast("int"))
         .withColumn(
             f"{other}_salt",
@@ -331,6 +352,35 @@ def _salted(rows: DataFrame, frequent: DataFrame, own: str, other: str, spread:
     )
 
 
+def _meet(seekers: DataFrame, postings: DataFrame, cells: DataFrame, keys) -> DataFrame:
+    """Pairs with equal keys whose first common skill this is and whose bound reaches the bar."""
+    busy = _busy(cells, seekers, keys)
+    left = _salted(seekers, busy, keys, "j", "c", F.col("j_key"))
+    right = _salted(postings, busy, keys, "c", "j", F.col("c_key"))
+    met = (
+        left.join(right, [*keys, "j_salt", "c_salt"])
+        .filter(F.col("rest") + experience_points() + location_points() + SLACK >= F.col("bar"))
+        .filter(SkillBits.disjoint("earlier", "c"))
+    )
+    return _scored(met, F.col("bar")).select(*PAIR)
+
+
+def _near(seekers: DataFrame, postings: DataFrame, cells: DataFrame, places: DataFrame) -> DataFrame:
+    """Pairs in experience range and, unless the job takes them from anywhere, in place."""
+    in_range = seekers.filter("j_min <= j_max").withColumn(
+        "bucket", F.explode(F.sequence(_bucket(F.col("j_min")), _bucket(F.col("j_max"))))
+    )
+    narrow = places.groupBy("j_loc").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") <= KEYED_PLACES)
+    keyed = places.join(narrow.select("j_loc"), "j_loc")
+    in_place = in_range.filter(~F.col("j_anywhere")).join(keyed, "j_loc")
+    others = in_range.join(narrow.select("j_loc", F.lit(True).alias("narrow")), "j_loc", "left").filter(
+        F.col("j_anywhere") | F.col("narrow").isNull()
+    )
+    return _meet(in_place, postings, cells, ["skill", "bucket", "c_loc"]).unionByName(
+        _meet(others.drop("narrow"), postings, cells, ["skill", "bucket"])
+    )
+
+
 def discover(jobs: DataFrame, candidates: DataFrame, max_results: int = 20) -> DataFrame:
     """``job_id, candidate_id, discovery_rank, discovery_score, discovery_reason``."""
     keep = max_results
@@ -338,8 +388,18 @@ def discover(jobs: DataFrame, candidates: DataFrame, max_results: int = 20) -> D
     profiles = cut_lineage(candidate_profiles(candidates, keep))
     job_profiles = features.drop("job_id").dropDuplicates(["j_key"])
     job_skills = cut_lineage(_job_skills(job_profiles).select("j_key", "skill", "worth"))
-    frequent = cut_lineage(
-        _frequent_skills(profiles.select(F.explode("c_skills").alias("skill")), job_skills)
+    bucket = _bucket(F.col("c_exp")).alias("bucket")
+    cells = cut_lineage(
+        profiles.select(F.explode("c_skills").alias("skill"), bucket, "c_loc")
+        .groupBy("skill", "bucket", "c_loc")
+        .agg(F.count(F.lit(1)).alias("holders"))
+    )
+    frequent = cut_lineage(_busy(cells, job_skills, ["skill"]))
+    places = cut_lineage(
+        location_pairs(
+            job_profiles.filter(~F.col("j_anywhere")).select("j_loc").distinct(),
+            profiles.select("c_loc").distinct(),
+        )
     )
     known = frequent.orderBy(F.desc("pairs"), "skill").limit(WORDS * BITS).select("skill").collect()
     bits = SkillBits([row.skill for row in known])  # at most WORDS * BITS names
@@ -347,9 +407,13 @@ def discover(jobs: DataFrame, candidates: DataFrame, max_results: int = 20) -> D
     job_profiles = job_profiles.withColumn("n_req", F.size("j_req")).withColumn(
         "n_nice", F.size("j_nice")
     ).drop("j_req", "j_nice")
-    postings = bits.encode(profiles, "c_skills", "c").withColumn("n_skills", F.size("c_skills"))
-    profiles = postings.drop("c_skills", "n_skills")
-    postings = postings.withColumn("skill", F.explode("c_skills")).drop("c_skills")
+    encoded = cut_lineage(bits.encode(profiles, "c_skills", "c"))
+    profiles = encoded.drop("c_skills")
+    postings = (
+        encoded.withColumn("n_skills", F.size("c_skills"))
+        .withColumn("skill", F.explode("c_skills"))
+        .drop("c_skills")
+    )
 
     stocked = W.partitionBy("skill").orderBy(F.desc("n_skills"), "c_first")
     seeds = (
@@ -358,32 +422,28 @@ def discover(jobs: DataFrame, candidates: DataFrame, max_results: int = 20) -> D
         .drop("place", "n_skills")
     )
     sought = job_skills.select("j_key", "skill").join(job_profiles, "j_key")
-    first_pairs = _bucket_pairs(job_profiles, profiles, keep).unionByName(
+    first_pairs = _bucket_pairs(job_profiles, profiles, places, keep).unionByName(
         sought.join(seeds, "skill").drop("skill")
     )
     first = cut_lineage(_best(_scored(first_pairs, F.lit(THRESHOLD)), keep))
-    floors = (
-        first.groupBy("j_key")
-        .agg(F.max("place").alias("n"), F.min("score").alias("floor"))
-        .filter(F.col("n") == keep)
-        .select("j_key", "floor")
-    )
 
-    prefix = bits.encode(_prefix(job_skills, frequent, floors), "earlier", "earlier").drop("earlier")
-    met = (
-        _salted(prefix.join(job_profiles, "j_key"), frequent, "j", "c", F.col("j_key"))
-        .join(
-            _salted(postings.drop("n_skills"), frequent, "c", "j", F.col("c_key")),
-            ["skill", "j_salt", "c_salt"],
-        )
-        .filter(F.col("rest") + experience_points() + location_points() + 0.001 >= F.col("bar"))
-        .filter(SkillBits.disjoint("earlier", "c"))
+    prefix = bits.encode(_prefix(job_skills, frequent, _floors(first, keep)), "earlier", "earlier")
+    seekers = cut_lineage(prefix.drop("earlier").join(job_profiles, "j_key"))
+    postings = postings.drop("n_skills").withColumn("bucket", bucket)
+    near = _near(seekers, postings, cells, places)
+    second = cut_lineage(_best(first.select(*PAIR).unionByName(near), keep))
+
+    lifted = (
+        seekers.join(_floors(second, keep), "j_key", "left")
+        .withColumn("bar", F.greatest("bar", _bar()))
+        .drop("floor")
+        .filter(F.col("rest") + (NEXT_OTHER + SLACK) >= F.col("bar"))
     )
-    second = _scored(met, F.col("bar"))
+    far = _meet(lifted, postings, cells, ["skill"])
 
     unfold = W.partitionBy("j_key").orderBy(F.desc("score"), "member")
     top = (
-        _best(first.select(*PAIR).unionByName(second.select(*PAIR)), keep)
+        _best(second.select(*PAIR).unionByName(far), keep)
         .withColumn("member", F.explode("members"))
         .withColumn("discovery_rank", F.row_number().over(unfold))
         .filter(F.col("discovery_rank") <= keep)

@@ -85,9 +85,10 @@ def test_plan_equals_scoring_every_pair(spark, seed, keep):
 
 
 def test_same_result_with_tiny_salts_and_few_known_skills(spark, monkeypatch):
-    monkeypatch.setattr(discovery, "FREQUENT_SKILLS", 6)
+    monkeypatch.setattr(discovery, "FREQUENT", 6)
     monkeypatch.setattr(discovery, "SEEKERS_PER_SALT", 2)
     monkeypatch.setattr(discovery, "PAIRS_PER_CELL", 7)
+    monkeypatch.setattr(discovery, "KEYED_PLACES", 2)
     monkeypatch.setattr(discovery, "WORDS", 2)
     monkeypatch.setattr(discovery, "BITS", 2)
     jobs, pool = random_case(spark, 4)
