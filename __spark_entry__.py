@@ -208,7 +208,8 @@ def job_funnel(spark, sf_dir):
         "required_skills",
         F.when(broken, F.array().cast("array<string>")).otherwise(F.col("required_skills")),
     )
-    return build_shortlist(jobs, people, min_score=HIGH_BAR, top_k=TOP_K).funnel().drop("best")
+    funnel = build_shortlist(jobs, people, min_score=HIGH_BAR, top_k=TOP_K).funnel().drop("best")
+    return funnel.na.fill(0.0, ["threshold"])
 
 
 def flat_shortlist(spark, sf_dir):
@@ -331,7 +332,7 @@ def jd_extraction(spark, sf_dir):
     pay, span = F.col("salary_range_lpa"), F.col("experience_years")
     return jd.extract_jobs(texts, _vocabulary(spark, sf_dir)).select(
         "job_id", "title", "location", _joined("required_skills").alias("required_skills"),
-        _joined("nice_to_have").alias("nice_to_have"), span["min"].alias("exp_min"), span["max"].alias("exp_max"),
+        _joined("nice_to_have").alias("nice_to_have"), span["min"].alias("exp_min"), F.coalesce(span["max"], F.lit(-1)).alias("exp_max"),
         pay["min"].alias("sal_min"), pay["max"].alias("sal_max"), "notice_preference_days",
     )
 
@@ -348,7 +349,8 @@ def jd_decode(spark, sf_dir):
     return decoded.select(
         "job_id", "title", "location", _joined("required_skills_lower").alias("required_skills"),
         _joined("nice_to_have_lower").alias("nice_to_have"), F.col("experience_years.min").alias("exp_min"),
-        F.col("experience_years.max").alias("exp_max"), F.col("salary_range_lpa.max").alias("sal_max"),
+        F.coalesce("experience_years.max", F.lit(-1)).alias("exp_max"),
+        F.col("salary_range_lpa.max").alias("sal_max"),
         "notice_preference_days", jd.is_sufficient().alias("sufficient"),
     )
 

@@ -451,7 +451,7 @@ def _job_funnel():
     FROM jobs j LEFT JOIN averages a USING (sid))""",
         """states AS (SELECT *, CASE WHEN NOT parsed THEN 'parse_failed' WHEN discovered = 0 THEN 'no_candidates' WHEN matched = 0 THEN 'no_matches' ELSE 'ok' END AS status FROM steps)""",
         select="""SELECT sid::VARCHAR AS job_id, pool_size, discovered, matched, talks AS conversations_completed, p AS priority_hires, f AS fast_track,
-    r AS recommended, discovered < 3 AS widened, threshold, status,
+    r AS recommended, discovered < 3 AS widened, coalesce(threshold, 0::DOUBLE) AS threshold, status,
     CASE status WHEN 'parse_failed' THEN 'Could not parse JD. Please include a clear job title and requirements.'
       WHEN 'no_candidates' THEN 'No matching candidates found in talent pool.' WHEN 'no_matches' THEN 'No candidates met minimum match threshold.' END AS error,
     CASE WHEN status <> 'ok' THEN NULL
@@ -468,7 +468,7 @@ def oracle_sql() -> dict[str, str]:
     fuzzy = ", ".join(f"({q(a)}, {q(b)}, {r!r}::DOUBLE)" for a, b, r in fuzzy_rows())
     own_markers = values("own_marker", "term, seq", [(t, i) for i, t in enumerate(OWN_MARKERS)])
     chat = """chat AS (SELECT conv_id::VARCHAR AS candidate_id, count(*) FILTER (role = 'user') AS n,
-    coalesce(sum(length(text)) FILTER (role = 'user'), 0) AS chars,
+    coalesce(sum(length(text)) FILTER (role = 'user'), 0)::BIGINT AS chars,
     coalesce(string_agg(lower(text), ' ' ORDER BY turn) FILTER (role = 'user'), '') AS txt
     FROM conversations WHERE role IN ('user', 'assistant') GROUP BY conv_id)"""
     bands = """CASE WHEN exp <= 2 THEN 'Junior (1-2 years)' WHEN exp <= 5 THEN 'Mid (3-5 years)'
@@ -553,12 +553,12 @@ def oracle_sql() -> dict[str, str]:
         "jd_extraction": with_(*JOBS, select="""SELECT sid::VARCHAR AS job_id, title, location,
     (SELECT coalesce(string_agg(skill, ', ' ORDER BY skill), '') FROM job_skill k WHERE k.sid = j.sid AND place <= 5) AS required_skills,
     (SELECT coalesce(string_agg(skill, ', ' ORDER BY skill), '') FROM job_skill k WHERE k.sid = j.sid AND place > 5) AS nice_to_have,
-    exp_min, exp_max, sal_min, sal_max, 30 AS notice_preference_days FROM jobs j"""),
+    exp_min, coalesce(exp_max, -1) AS exp_max, sal_min, sal_max, 30 AS notice_preference_days FROM jobs j"""),
         "jd_decode": with_(*JOBS, select="""SELECT sid::VARCHAR AS job_id, CASE WHEN sid % 13 = 0 THEN 'Unknown' ELSE title END AS title,
     CASE WHEN sid % 13 = 0 THEN 'Any' ELSE location END AS location,
     CASE WHEN sid % 13 = 0 THEN '' ELSE (SELECT coalesce(string_agg(low, ', ' ORDER BY place), '') FROM job_skill k WHERE k.sid = j.sid AND place <= 5) END AS required_skills,
     CASE WHEN sid % 13 = 0 THEN '' ELSE (SELECT coalesce(string_agg(low, ', ' ORDER BY place), '') FROM job_skill k WHERE k.sid = j.sid AND place > 5) END AS nice_to_have,
-    CASE WHEN sid % 13 = 0 THEN 0 ELSE exp_min END AS exp_min, CASE WHEN sid % 13 = 0 THEN 10 ELSE exp_max END AS exp_max,
+    CASE WHEN sid % 13 = 0 THEN 0 ELSE exp_min END AS exp_min, CASE WHEN sid % 13 = 0 THEN 10 ELSE coalesce(exp_max, -1) END AS exp_max,
     CASE WHEN sid % 13 = 0 THEN 100 ELSE sal_max END AS sal_max, CASE WHEN sid % 13 = 0 THEN 60 ELSE 30 END AS notice_preference_days,
     sid % 13 <> 0 AND n_req > 0 AS sufficient FROM jobs j"""),
         "jd_rejects": r"""SELECT doc_id::VARCHAR AS job_id, length(text) AS chars, CASE WHEN length(regexp_replace(text, '^\s+|\s+$', '', 'g')) < 50
