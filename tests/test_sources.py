@@ -99,14 +99,14 @@ def test_statistics(spark):
 def test_sinks_and_text_source(spark, tmp_path):
     plan = build_shortlist(jobs_df(spark, [(*GOLD_JOB[:-1], "x" * 60)]), pool_df(spark, [GOLD_PERSON]))
     write_reports(plan.documents(), str(tmp_path / "reports"))
-    document = json.loads(next((tmp_path / "reports").glob("part*.json")).read_text())
+    document = json.loads("".join(f.read_text() for f in (tmp_path / "reports").glob("part*.json")))
     assert document["job_title"] == "Senior AI Engineer" and document["summary"]["fast_track"] == 1
     person_out = document["candidates"][0]
     assert person_out["rank"] == 1 and len(person_out["conversation_transcript"]) == 6
     assert set(person_out["factor_breakdown"]["skills"]) == {"score", "max", "percentage", "note"}
     assert document["bias_analysis"]["issues_found"] == 0 and document["market_intelligence"]["role_category"] == "ai"
     write_table(plan.flat(), str(tmp_path / "flat"))
-    header, row = next((tmp_path / "flat").glob("part*.csv")).read_text().splitlines()
+    header, row = "".join(f.read_text() for f in (tmp_path / "flat").glob("part*.csv")).splitlines()
     assert header.startswith("job_id,Rank,Name,Combined Score") and row.startswith("G,1,Priya Sharma,84.8,92.7,73.0")
     write_table(plan.summary(), str(tmp_path / "summary"), "parquet")
     assert spark.read.parquet(str(tmp_path / "summary")).count() == 8
