@@ -50,6 +50,7 @@ def benchmark(category: Column, level: Column, table=None) -> Column:
     return F.coalesce(at(level), at(F.lit("mid")))
 
 
+# The texts below, up to the advice, are fixed values as well.
 def salary_assessment(offered_max: Column, lo: Column, hi: Column) -> Column:
     return (
         F.when(offered_max == 0, F.lit("Not specified — may deter candidates who value transparency"))
@@ -110,6 +111,7 @@ def market_intel(jobs: DataFrame, benchmarks=None, high_demand=None, common_skil
         return F.when(score >= 40, F.lit(hard)).when(score >= 20, F.lit(moderate)).otherwise(F.lit(easy))
 
     n_skills = F.size("skills")
+    # The wording of the advice.
     advice = present(
         F.when(
             F.contains(F.lower("assessment"), F.lit("below market")),

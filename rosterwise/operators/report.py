@@ -31,12 +31,25 @@ def flat_shortlist(ranked: DataFrame) -> DataFrame:
     )
 
 
-def _transcripts_of(ranked: DataFrame, transcripts: DataFrame) -> DataFrame:
-    """Turns of the ranked pairs, as one ordered array per pair."""
+# Longer transcripts do not go into a document; `report_turns` has every turn of every pair.
+NESTED_TURNS = 10_000
+
+
+def report_turns(ranked: DataFrame, transcripts: DataFrame) -> DataFrame:
+    """All turns of the ranked pairs as rows, with the rank."""
+    keys = ["job_id", "candidate_id"]
+    turns = transcripts.select(*keys, "turn", "speaker", "message", "intent")
+    return turns.join(ranked.select(*keys, "rank"), keys)
+
+
+def _nested_turns(ranked: DataFrame, transcripts: DataFrame) -> DataFrame:
+    """Turns of the ranked pairs as one ordered array per pair, where they fit into a row."""
     keys = ["job_id", "candidate_id"]
+    turns = report_turns(ranked, transcripts).drop("rank")
+    fitting = turns.groupBy(*keys).count().filter(F.col("count") <= NESTED_TURNS).drop("count")
     turn = F.struct("turn", "speaker", "message", "intent")
     return (
-        transcripts.join(ranked.select(*keys), keys, "left_semi")
+        turns.join(fitting, keys, "left_semi")
         .groupBy(*keys)
         .agg(F.sort_array(F.collect_list(turn)).alias("conversation_transcript"))
     )
@@ -62,7 +75,7 @@ def report_documents(
         "recommendation",
     ]
     if transcripts is not None:
-        rows = rows.join(_transcripts_of(ranked, transcripts), keys, "left")
+        rows = rows.join(_nested_turns(ranked, transcripts), keys, "left")
         fields.append("conversation_transcript")
     people = rows.groupBy("job_id").agg(
         F.sort_array(F.collect_list(F.struct(*fields))).alias("candidates")

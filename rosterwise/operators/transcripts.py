@@ -92,6 +92,7 @@ def templated_transcripts(matches: DataFrame, jobs: DataFrame) -> DataFrame:
         F.lit("I am open to learning more, though I would want to understand the fit better.")
     )
     skill, title = F.col("primary_skill"), F.col("title")
+    # The wording of the six turns.
     turns = [
         ("recruiter", "intro", _text(
             "Hi ", F.col("name"), ", your background as a ", F.col("role"), " looks relevant for our ", title,

@@ -30,6 +30,9 @@ class Shortlist:
     def summary(self) -> DataFrame:
         return report.summary_rows(self.jobs, self.tier_counts())
 
+    def turns(self) -> DataFrame:
+        return report.report_turns(self.ranked, self.transcripts)
+
     def documents(self) -> DataFrame:
         has_text = self.jobs.filter("raw_text is not null")
         return report.report_documents(

@@ -88,3 +88,16 @@ def test_template_and_persona(spark):
     who = {(r.job_id, r.candidate_id): r for r in personas(matches, jobs_df(spark, jobs)).collect()}
     assert who["J", "C1"].segment == "enthusiastic" and who["J", "C2"].segment == "non-committal"
     assert who["J", "C1"].persona.endswith("Notice period: 45 days. Salary expectation: ₹12 LPA. Salary is within budget.")
+
+
+def test_documents_nest_what_fits_and_rows_hold_everything(spark, monkeypatch):
+    from rosterwise.operators import report
+
+    monkeypatch.setattr(report, "NESTED_TURNS", 3)
+    talks = [("G", "C001", t, "candidate", f"message {t}") for t in range(4)]
+    talks += [("G", "C2", t, "candidate", f"message {t}") for t in (2, 1)]
+    pool = pool_df(spark, [GOLD_PERSON, person(2, ["Python", "LLM"], 4, "Bangalore", 20)])
+    plan = build_shortlist(jobs_df(spark, [GOLD_JOB]), pool, turns_df(spark, talks))
+    nested = {c.candidate_id: c.conversation_transcript for c in plan.documents().collect()[0].candidates}
+    assert nested["C001"] is None and [t.turn for t in nested["C2"]] == [1, 2]
+    assert plan.turns().count() == 6
