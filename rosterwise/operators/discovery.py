@@ -9,10 +9,11 @@ never forms the product:
    candidate profile keeps its first K members by pool order (copies beyond K can never
    reach a top K).
 2. *First list.* Per job profile: the first K profiles of each experience value, the first
-   K of each (matching location, experience) and K well-stocked holders of each skill.
+   K of each (matching location, experience), and the first K holders of its rarest skill
+   in range and in place.
    A candidate without any skill in common can only be in the result if it is among these:
    K profiles that come earlier in its own bucket score at least as much. The K-th best
-   score found so far is a floor for the final top K.
+   find so far is a floor for the final top K, by score and, at the same score, by pool order.
 3. *Prefix.* Experience and location give at most 35 points, so a candidate that beats the
    floor needs ``floor - 35`` skill points. A job's skills are ordered from rare to common,
    and only the leading ones are joined with the postings, up to the point where the rest
@@ -318,7 +319,6 @@ def _prefix(job_skills: DataFrame, frequent: DataFrame, floors: DataFrame) -> Da
     return (
         placed.join(floors, "j_key", "left")
         .withColumn("bar", _bar())
-        .drop("floor")
         .filter(F.col("rest") + (BEST_OTHER + SLACK) >= F.col("bar"))
     )
 
@@ -329,15 +329,18 @@ def _bar() -> Column:
 
 
 def _floors(best: DataFrame, keep: int) -> DataFrame:
-    """``j_key, floor`` of the job profiles that have ``keep`` finds already."""
-    return (
-        best.groupBy("j_key")
-        .agg(F.max("place").alias("n"), F.min("score").alias("floor"))
-        .filter(F.col("n") == keep)
-        .select("j_key", "floor")
+    """Score and order of the last of ``keep`` finds, for job profiles that have so many."""
+    return best.filter(F.col("place") == keep).select(
+        "j_key", F.col("score").alias("floor"), F.col("c_first").alias("last")
     )
 
 
+def _pair_bar() -> Column:
+    """The bar of a pair: one that comes after the last find must round to a better score."""
+    earlier = F.col("last").isNull() | (F.col("c_first") < F.col("last"))
+    return F.when(earlier, F.col("bar")).otherwise(F.greatest("bar", F.col("floor") + 0.05 - SLACK))
+
+
 def _salted(rows: DataFrame, busy: DataFrame, keys, own: str, other: str, spread: Column) -> DataFrame:
     """Own salt from a hash, one copy per salt of the other side; 1 x 1 for rare keys."""
     n_own, n_other = f"{own}_salts", f"{other}_salts"
@@ -359,26 +362,55 @@ def _meet(seekers: DataFrame, postings: DataFrame, cells: DataFrame, keys) -> Da
     right = _salted(postings, busy, keys, "c", "j", F.col("c_key"))
     met = (
         left.join(right, [*keys, "j_salt", "c_salt"])
-        .filter(F.col("rest") + experience_points() + location_points() + SLACK >= F.col("bar"))
+        .filter(F.col("rest") + experience_points() + location_points() + SLACK >= _pair_bar())
         .filter(SkillBits.disjoint("earlier", "c"))
     )
-    return _scored(met, F.col("bar")).select(*PAIR)
+    return _scored(met, _pair_bar()).select(*PAIR)
 
 
-def _near(seekers: DataFrame, postings: DataFrame, cells: DataFrame, places: DataFrame) -> DataFrame:
-    """Pairs in experience range and, unless the job takes them from anywhere, in place."""
+def _keyed(seekers: DataFrame, places: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """One row per experience value in range and, in the first result, per matching place.
+
+    The second result holds the jobs whose place is no part of the key.
+    """
     in_range = seekers.filter("j_min <= j_max").withColumn(
         "bucket", F.explode(F.sequence(_bucket(F.col("j_min")), _bucket(F.col("j_max"))))
     )
     narrow = places.groupBy("j_loc").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") <= KEYED_PLACES)
     keyed = places.join(narrow.select("j_loc"), "j_loc")
     in_place = in_range.filter(~F.col("j_anywhere")).join(keyed, "j_loc")
-    others = in_range.join(narrow.select("j_loc", F.lit(True).alias("narrow")), "j_loc", "left").filter(
-        F.col("j_anywhere") | F.col("narrow").isNull()
+    flagged = in_range.join(narrow.select("j_loc", F.lit(True).alias("narrow")), "j_loc", "left")
+    others = flagged.filter(F.col("j_anywhere") | F.col("narrow").isNull()).drop("narrow")
+    return in_place, others
+
+
+CELL = ["skill", "bucket", "c_loc"]
+
+
+def _near(seekers: DataFrame, postings: DataFrame, cells: DataFrame, places: DataFrame) -> DataFrame:
+    """Pairs in experience range and, unless the job takes them from anywhere, in place."""
+    in_place, others = _keyed(seekers, places)
+    return _meet(in_place, postings, cells, CELL).unionByName(
+        _meet(others, postings, cells, CELL[:2])
+    )
+
+
+def _first_holders(
+    job_skills: DataFrame, frequent: DataFrame, job_profiles: DataFrame, postings: DataFrame,
+    places: DataFrame, keep: int,
+) -> DataFrame:
+    """Each job profile with the first holders of its rarest skill, in range and in place."""
+    rarity = F.struct(F.coalesce("holders", F.lit(0)), "skill")
+    rarest = (
+        job_skills.join(F.broadcast(frequent.select("skill", "holders")), "skill", "left")
+        .groupBy("j_key")
+        .agg(F.min_by("skill", rarity).alias("skill"))
     )
-    return _meet(in_place, postings, cells, ["skill", "bucket", "c_loc"]).unionByName(
-        _meet(others.drop("narrow"), postings, cells, ["skill", "bucket"])
+    in_place, others = _keyed(rarest.join(job_profiles, "j_key"), places)
+    pairs = in_place.join(_heads(postings, CELL, keep), CELL).unionByName(
+        others.join(_heads(postings, CELL[:2], keep), CELL[:2])
     )
+    return pairs.drop("skill", "bucket")
 
 
 def discover(jobs: DataFrame, candidates: DataFrame, max_results: int = 20) -> DataFrame:
@@ -410,33 +442,23 @@ def discover(jobs: DataFrame, candidates: DataFrame, max_results: int = 20) -> D
     encoded = cut_lineage(bits.encode(profiles, "c_skills", "c"))
     profiles = encoded.drop("c_skills")
     postings = (
-        encoded.withColumn("n_skills", F.size("c_skills"))
-        .withColumn("skill", F.explode("c_skills"))
-        .drop("c_skills")
+        encoded.withColumn("skill", F.explode("c_skills")).drop("c_skills").withColumn("bucket", bucket)
     )
 
-    stocked = W.partitionBy("skill").orderBy(F.desc("n_skills"), "c_first")
-    seeds = (
-        postings.withColumn("place", F.row_number().over(stocked))
-        .filter(F.col("place") <= keep)
-        .drop("place", "n_skills")
-    )
-    sought = job_skills.select("j_key", "skill").join(job_profiles, "j_key")
     first_pairs = _bucket_pairs(job_profiles, profiles, places, keep).unionByName(
-        sought.join(seeds, "skill").drop("skill")
+        _first_holders(job_skills, frequent, job_profiles, postings, places, keep)
     )
     first = cut_lineage(_best(_scored(first_pairs, F.lit(THRESHOLD)), keep))
 
     prefix = bits.encode(_prefix(job_skills, frequent, _floors(first, keep)), "earlier", "earlier")
     seekers = cut_lineage(prefix.drop("earlier").join(job_profiles, "j_key"))
-    postings = postings.drop("n_skills").withColumn("bucket", bucket)
     near = _near(seekers, postings, cells, places)
     second = cut_lineage(_best(first.select(*PAIR).unionByName(near), keep))
 
     lifted = (
-        seekers.join(_floors(second, keep), "j_key", "left")
+        seekers.drop("floor", "last")
+        .join(_floors(second, keep), "j_key", "left")
         .withColumn("bar", F.greatest("bar", _bar()))
-        .drop("floor")
         .filter(F.col("rest") + (NEXT_OTHER + SLACK) >= F.col("bar"))
     )
     far = _meet(lifted, postings, cells, ["skill"])
