@@ -381,14 +381,30 @@ _QUERIES = [
 ]
 
 
+def _text_queries():
+    """Queries and SQL of ``rosterwise.llm`` and the pipeline; none if they aren't there."""
+    try:
+        import corpus_pipeline
+        from rosterwise.llm import oracles as sql
+        from rosterwise.llm import queries as text
+    except ModuleNotFoundError as gone:
+        if not (gone.name or "").startswith(("corpus_pipeline", "rosterwise.llm")):
+            raise
+        return {}, {}
+    found = dict(sql.oracle_sql())
+    if corpus_pipeline.ORACLE_SQL:
+        found["pipeline"] = corpus_pipeline.ORACLE_SQL
+    return {**text.queries(), "pipeline": corpus_pipeline.run}, found
+
+
 def entry(spark: SparkSession) -> DataFrame:
     """Ranked shortlist of every job on the smallest tables."""
     return ranked_shortlist(spark, "/root/testdata/sf0.001")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {q.__name__: q for q in _QUERIES}
+    return {**{q.__name__: q for q in _QUERIES}, **_text_queries()[0]}
 
 
 def oracle_sql() -> dict[str, str]:
-    return oracles.oracle_sql()
+    return {**oracles.oracle_sql(), **_text_queries()[1]}
