@@ -77,10 +77,10 @@ class Encoder:
                 top &= top - 1
             rank = high << 8 | first.bit_length() - 1
             # A merge here makes longer pieces only, so none of this rank is added meanwhile.
-            places = buckets.pop(rank)
+            places, lower = buckets.pop(rank), False
             if len(places) > 1:
                 places.sort()
-            for i in places:
+            for k, i in enumerate(places, 1):
                 if pair[i] != rank:
                     continue  # stale
                 j = end[i]  # the span that is merged into i
@@ -95,6 +95,7 @@ class Encoder:
                     buckets[new] = [i]
                     low[new >> 8] |= _BIT[new & 255]
                     top |= 1 << (new >> 8)
+                    lower = new < rank
                 if before >= 0:
                     pair[before] = new = get(word[before:stop], -1)
                     if new in buckets:
@@ -103,6 +104,13 @@ class Encoder:
                         buckets[new] = [before]
                         low[new >> 8] |= _BIT[new & 255]
                         top |= 1 << (new >> 8)
+                        lower = lower or new < rank
+                if lower and k < len(places):
+                    # A pair of lower rank has come up: that one is next, the rest waits.
+                    buckets[rank] = places[k:]
+                    low[rank >> 8] |= _BIT[rank & 255]
+                    top |= 1 << (rank >> 8)
+                    break
         ids, i = [], 0
         while i < n:
             ids.append(ranks[word[i : end[i]]])
