@@ -6,18 +6,29 @@ from pyspark.sql import functions as F
 from rosterwise.session import cut_lineage
 
 
+#: Tasks that the links of one node are spread over where they meet its least neighbour.
+SALTS = 32
+
+
+def _with_least(links, least):
+    """``links`` (a, b) with ``m`` of their ``a``; a hub's links are dealt out, its one row is copied."""
+    dealt = links.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)))
+    copied = least.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    return dealt.join(copied, ["a", "salt"])
+
+
 def _large(links):
     """Each node's larger neighbours are linked to the least of its neighbourhood."""
     both = links.union(links.select("b", "a"))
     least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-    return both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    return _with_least(both.filter("b > a"), least).select(F.col("b").alias("a"), F.col("m").alias("b"))
 
 
 def _small(links):
     """Each node and its smaller neighbours are linked to the least of them."""
     down = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     least = down.groupBy("a").agg(F.min("b").alias("m"))
-    moved = down.join(least, "a")
+    moved = _with_least(down, least)
     return moved.select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b")))
 
 
