@@ -2,13 +2,15 @@
 
 Two generative models over hashed n-grams: of the target (texts labelled good) and of the raw corpus
 (all texts). A document's log importance weight is the sum over its n-grams of the log ratio of the
-two; documents are resampled without replacement by Gumbel top-k: the k largest log weights plus
+two, scaled so that a text counts as LENGTH characters at most: long texts of a language that the
+labels have a little less of would otherwise fall far below short junk. Documents are resampled without replacement by Gumbel top-k: the k largest log weights plus
 Gumbel noise. The noise is a hash of the row, so reruns agree. n-grams are characters (1 to 3) and,
 as one more pair, whether neighbouring words are the same or not.
 
 k is the number of documents whose weight reaches the cut, which is where labelled good and bad texts
-part best when a lost good text counts as much as CLEAN kept bad ones. The target model and the cut
-come from at most FIT labelled rows, those of lowest hash; the raw model and k come from all documents.
+part best when a lost good text counts as much as CLEAN kept bad ones. The target model comes from one
+half, the cut from the other half of at most FIT labelled rows, those of lowest hash; the raw model and
+k come from all documents.
 
 Cases: a null or empty text has weight 0; labels that contradict each other or are null teach nothing;
 without good labels all weights are 0 and every document stays; ties of the noisy weight go to the
@@ -30,6 +32,8 @@ from .tables import ranked
 BUCKETS = 1 << 16
 #: Labelled rows that are fitted on at most; weight of the good ones' share against the bad ones'.
 FIT, CLEAN = 20_000, 4.0
+#: Characters that a text counts as at most.
+LENGTH = 100
 SEED = 20240917
 
 
@@ -41,6 +45,11 @@ def features(text: str) -> np.ndarray:
     return np.concatenate([hashed(text, BUCKETS), pairs])
 
 
+def weight_of(text: str, ratio: np.ndarray) -> float:
+    """Log importance weight under the log ``ratio`` of each feature."""
+    return float(ratio[features(text)].sum() * LENGTH / (LENGTH + len(text)))
+
+
 def _log_shares(counts):
     """Add-one log-probabilities, of characters and of word pairs apart."""
     smoothed = counts + 1.0
@@ -52,9 +61,10 @@ def text_hash(text="text"):
 
 
 def fit_rows(docs: DataFrame, labels: DataFrame, limit=FIT) -> DataFrame:
-    """doc_id and ``good`` of the fitted labels: a bounded sample, small enough to broadcast."""
+    """doc_id, ``good`` and ``fits`` (for the model, else for the cut) of a bounded sample of the labels."""
     agreed = labels.groupBy("doc_id").agg(F.min("quality").alias("lo"), F.max("quality").alias("hi")).filter("lo = hi")
-    rows = agreed.select("doc_id", (F.col("lo") == 1).alias("good")).join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
+    half = F.pmod(F.xxhash64("doc_id", F.lit(SEED + 1)), F.lit(2)) == 0
+    rows = agreed.select("doc_id", (F.col("lo") == 1).alias("good"), half.alias("fits")).join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
     return rows.orderBy(F.xxhash64("doc_id", F.lit(SEED)), "doc_id").limit(limit)
 
 
@@ -65,7 +75,7 @@ def fit(docs: DataFrame, labels: DataFrame, limit=FIT):
         F.broadcast(chosen), "doc_id", "left"  # ``limit`` rows of an id and a flag at most
     )
     # Every text counts for the raw model, the good ones for the target as well.
-    kinds = F.when(F.col("good"), F.array(F.lit("raw"), F.lit("target"))).otherwise(F.array(F.lit("raw")))
+    kinds = F.when(F.col("good") & F.col("fits"), F.array(F.lit("raw"), F.lit("target"))).otherwise(F.array(F.lit("raw")))
     rows = known.select(F.array_join(kinds, "+").alias("class"), "text")
     counts = counted(rows, features, BUCKETS + 2).toPandas()
     raw, target = np.zeros(BUCKETS + 2), np.zeros(BUCKETS + 2)
@@ -75,7 +85,9 @@ def fit(docs: DataFrame, labels: DataFrame, limit=FIT):
         return np.zeros(BUCKETS + 2), -np.inf
     np.add.at(target, good["feature"], good["n"])
     ratio = _log_shares(target) - _log_shares(raw)
-    known = weigh(known.filter("good IS NOT NULL"), ratio, ["good"]).limit(limit).toPandas()
+    known = weigh(known.filter("good IS NOT NULL"), ratio, ["good", "fits"]).limit(limit).toPandas()
+    others = known[~known["fits"].astype(bool)]
+    known = others if others["good"].any() else known
     return ratio, best_cut(known["log_weight"].to_numpy(), known["good"].to_numpy(bool))
 
 
@@ -96,7 +108,7 @@ def weigh(docs: DataFrame, ratio: np.ndarray, more=()) -> DataFrame:
     @F.pandas_udf("double")
     def weight(text: pd.Series) -> pd.Series:
         values = shared.value
-        return pd.Series([float(values[features(t)].sum()) for t in text], dtype="float64")
+        return pd.Series([weight_of(t, values) for t in text], dtype="float64")
 
     return docs.select("doc_id", text_hash().alias("text_hash"), *more, weight(F.coalesce("text", F.lit(""))).alias("log_weight"))
 
