@@ -451,7 +451,7 @@ def _job_funnel():
     FROM jobs j LEFT JOIN averages a USING (sid))""",
         """states AS (SELECT *, CASE WHEN NOT parsed THEN 'parse_failed' WHEN discovered = 0 THEN 'no_candidates' WHEN matched = 0 THEN 'no_matches' ELSE 'ok' END AS status FROM steps)""",
         select="""SELECT sid::VARCHAR AS job_id, pool_size, discovered, matched, talks AS conversations_completed, p AS priority_hires, f AS fast_track,
-    r AS recommended, discovered < 3 AS widened, coalesce(threshold, 0::DOUBLE) AS threshold, status,
+    r AS recommended, parsed AND discovered < 3 AS widened, coalesce(threshold, 0::DOUBLE) AS threshold, status,
     CASE status WHEN 'parse_failed' THEN 'Could not parse JD. Please include a clear job title and requirements.'
       WHEN 'no_candidates' THEN 'No matching candidates found in talent pool.' WHEN 'no_matches' THEN 'No candidates met minimum match threshold.' END AS error,
     CASE WHEN status <> 'ok' THEN NULL

@@ -167,3 +167,16 @@ HEADER_ALIASES = {
     "work_mode": "preferred_work_mode",
     "availability": "availability_status",
 }
+
+# --- Fixed values: messages of the pool check, and how many names they show ----------
+NO_HEADER = "This file has no header row. Please look at the sample dataset and update your file accordingly."
+FEWER_COLUMNS = (
+    "Your dataset has fewer or different columns than expected. "
+    "Please look at the sample dataset and make the same changes in your file."
+)
+MORE_COLUMNS = "Your dataset has more fields than expected ({}). Please use only the columns from the sample dataset."
+NO_CANDIDATES = (
+    "The uploaded file has the correct columns but no valid candidate rows. "
+    "Please add candidate data below the header row."
+)
+SHOWN_NAMES = 6

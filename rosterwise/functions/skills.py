@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .constants import SYNONYMS
+from .text import stripped
 
 
 def closure(synonyms=None) -> dict[str, list[str]]:
@@ -35,7 +36,7 @@ def expand(skills: Column, synonyms=None) -> Column:
     lookup = _lookup(table) if table else None
     clean = F.transform(
         F.filter(F.coalesce(skills, F.array().cast("array<string>")), lambda s: s.isNotNull()),
-        lambda s: F.trim(F.lower(s)),
+        lambda s: stripped(F.lower(s)),
     )
     if lookup is None:
         return F.sort_array(F.array_distinct(clean))
@@ -48,7 +49,7 @@ def expand(skills: Column, synonyms=None) -> Column:
 def canonical(skill: Column, synonyms=None) -> Column:
     """Lower, trim, drop dots and blanks; a key then becomes its first synonym."""
     synonyms = SYNONYMS if synonyms is None else synonyms
-    bare = F.regexp_replace(F.trim(F.lower(skill)), "[. ]", "")
+    bare = F.regexp_replace(stripped(F.lower(skill)), "[. ]", "")
     first = _lookup({key: others[0] for key, others in synonyms.items()})
     return F.coalesce(F.try_element_at(first, bare), bare)
 

@@ -57,3 +57,8 @@ def present(*parts: Column) -> Column:
 
 def lacks_any(text: Column, terms) -> Column:
     return ~has_any(text, terms)
+
+
+def stripped(text: Column) -> Column:
+    """Without white space at either end: tabs and line ends as well as blanks."""
+    return F.btrim(text, F.lit(" \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0"))

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import bind, lowered, word_pattern
-from ..schemas import JD_REPLY
+from ..schemas import JD_REPLY, any_number, whole_numbers
 
 MIN_LENGTH = 50
 
@@ -48,13 +48,13 @@ def fallback_reply() -> Column:
 
 def decode_replies(replies: DataFrame) -> DataFrame:
     """``job_id, reply, raw_text`` to jobs; a reply that is no JSON becomes the fallback job."""
-    schema = T.StructType([*JD_REPLY.fields, T.StructField("broken", T.StringType())])
+    schema = T.StructType([*any_number(JD_REPLY).fields, T.StructField("broken", T.StringType())])
     parsed = F.from_json("span", schema, {"columnNameOfCorruptRecord": "broken"})
     rows = replies.withColumn("span", json_span(F.col("reply"))).withColumn("parsed", parsed)
     # The parser stops after the first value; as a list element, anything after it is an error.
     alone = F.json_array_length(F.concat(F.lit("["), "span", F.lit("]"))) == 1
     good = alone & F.col("parsed").isNotNull() & F.col("parsed.broken").isNull()
-    fields = F.struct(*[F.col("parsed")[f].alias(f) for f in JD_REPLY.names]).cast(JD_REPLY)
+    fields = whole_numbers(F.col("parsed"), JD_REPLY).cast(JD_REPLY)
     return (
         rows.withColumn("jd", F.when(good, fields).otherwise(fallback_reply()))
         .select("job_id", "jd.*", "raw_text")

@@ -5,6 +5,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.numbers import py_round1
+from .jd import reject_reason
 
 # --- Fixed values: tier, lowest combined score, message --------------------------------
 TIERS = [
@@ -148,12 +149,14 @@ def verdict(priority: Column, fast_track: Column, recommended: Column) -> Column
 def funnel(jobs: DataFrame, candidates: DataFrame, discovered: DataFrame, matches: DataFrame, ranked: DataFrame) -> DataFrame:
     """One row per job, also for jobs without results: counters, status, error, verdict.
 
-    ``widened`` marks jobs with fewer than three finds. Raising their limit cannot change the
-    result, since the limit was not what held it down.
+    ``widened`` marks jobs that were searched with fewer than three finds. Raising their limit
+    cannot change the result, since the limit was not what held it down. A text that is too short
+    (see ``jd.reject_reason``) is rejected before anything else; jobs without a text are not.
     """
     parsed = (F.coalesce("title", F.lit("")) != "") & (F.size(F.coalesce("required_skills", F.array())) > 0)
     pool_size = candidates.agg(F.count(F.lit(1))).scalar()
-    base = jobs.select("job_id", parsed.alias("parsed"), pool_size.alias("pool_size"))
+    rejected = F.when(F.col("raw_text").isNotNull(), reject_reason(F.col("raw_text")))
+    base = jobs.select("job_id", parsed.alias("parsed"), rejected.alias("rejected"), pool_size.alias("pool_size"))
     found = discovered.groupBy("job_id").agg(F.count(F.lit(1)).alias("discovered"))
     kept = matches.groupBy("job_id").agg(
         F.count(F.lit(1)).alias("matched"), F.first("threshold").alias("threshold")
@@ -168,7 +171,8 @@ def funnel(jobs: DataFrame, candidates: DataFrame, discovered: DataFrame, matche
         )
     )
     status = (
-        F.when(~F.col("parsed"), F.lit("parse_failed"))
+        F.when(F.col("rejected").isNotNull(), F.lit("rejected"))
+        .when(~F.col("parsed"), F.lit("parse_failed"))
         .when(F.col("discovered") == 0, F.lit("no_candidates"))
         .when(F.col("matched") == 0, F.lit("no_matches"))
         .otherwise(F.lit("ok"))
@@ -178,6 +182,7 @@ def funnel(jobs: DataFrame, candidates: DataFrame, discovered: DataFrame, matche
             F.col("status") == "parse_failed",
             F.lit("Could not parse JD. Please include a clear job title and requirements."),
         )
+        .when(F.col("status") == "rejected", F.col("rejected"))
         .when(F.col("status") == "no_candidates", F.lit("No matching candidates found in talent pool."))
         .when(F.col("status") == "no_matches", F.lit("No candidates met minimum match threshold."))
     )
@@ -193,7 +198,7 @@ def funnel(jobs: DataFrame, candidates: DataFrame, discovered: DataFrame, matche
             "priority_hires",
             "fast_track",
             "recommended",
-            (F.col("discovered") < 3).alias("widened"),
+            (~F.col("status").isin("rejected", "parse_failed") & (F.col("discovered") < 3)).alias("widened"),
             "threshold",
             "status",
             "error",

@@ -1,6 +1,6 @@
 """Flat shortlist, nested report document, label/value summary."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -31,8 +31,8 @@ def flat_shortlist(ranked: DataFrame) -> DataFrame:
     )
 
 
-# Longer transcripts do not go into a document; `report_turns` has every turn of every pair.
-NESTED_TURNS = 10_000
+# Turns of a chunk. A document holds the first chunk of a transcript and says how many turns there are.
+CHUNK_TURNS = 1_000
 
 
 def report_turns(ranked: DataFrame, transcripts: DataFrame) -> DataFrame:
@@ -42,17 +42,22 @@ def report_turns(ranked: DataFrame, transcripts: DataFrame) -> DataFrame:
     return turns.join(ranked.select(*keys, "rank"), keys)
 
 
-def _nested_turns(ranked: DataFrame, transcripts: DataFrame) -> DataFrame:
-    """Turns of the ranked pairs as one ordered array per pair, where they fit into a row."""
+def transcript_chunks(ranked: DataFrame, transcripts: DataFrame) -> DataFrame:
+    """Every turn of the ranked pairs, CHUNK_TURNS per row: ``chunk`` from 0, ``turns`` in order."""
     keys = ["job_id", "candidate_id"]
-    turns = report_turns(ranked, transcripts).drop("rank")
-    fitting = turns.groupBy(*keys).count().filter(F.col("count") <= NESTED_TURNS).drop("count")
     turn = F.struct("turn", "speaker", "message", "intent")
-    return (
-        turns.join(fitting, keys, "left_semi")
-        .groupBy(*keys)
-        .agg(F.sort_array(F.collect_list(turn)).alias("conversation_transcript"))
-    )
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy("turn", "speaker", "message")) - 1
+    turns = report_turns(ranked, transcripts).withColumn("chunk", F.floor(place / CHUNK_TURNS).cast("int"))
+    return turns.groupBy(*keys, "chunk").agg(F.sort_array(F.collect_list(turn)).alias("turns"))
+
+
+def _nested_turns(ranked: DataFrame, transcripts: DataFrame) -> DataFrame:
+    """First chunk per pair, and the number of all turns."""
+    keys = ["job_id", "candidate_id"]
+    chunks = transcript_chunks(ranked, transcripts)
+    counts = chunks.groupBy(*keys).agg(F.sum(F.size("turns")).alias("conversation_turns"))
+    first = chunks.filter("chunk = 0").select(*keys, F.col("turns").alias("conversation_transcript"))
+    return first.join(counts, keys)
 
 
 def report_documents(
@@ -60,6 +65,9 @@ def report_documents(
 ) -> DataFrame:
     """One nested document per job with a shortlist; ``summary`` comes from ``tier_counts``.
 
+    A transcript of more than CHUNK_TURNS turns goes on in ``transcript_chunks``; its
+    ``conversation_turns`` says so.
+
     Candidates are at most ``top_k`` per job. The time stamp is when the query runs.
     """
     keys = ["job_id", "candidate_id"]
@@ -76,7 +84,7 @@ def report_documents(
     ]
     if transcripts is not None:
         rows = rows.join(_nested_turns(ranked, transcripts), keys, "left")
-        fields.append("conversation_transcript")
+        fields += ["conversation_transcript", "conversation_turns"]
     people = rows.groupBy("job_id").agg(
         F.sort_array(F.collect_list(F.struct(*fields))).alias("candidates")
     )
@@ -113,6 +121,7 @@ def summary_rows(jobs: DataFrame, summary: DataFrame) -> DataFrame:
         ("Recommended", F.col("recommended")),
         ("Average Match Score", F.col("average_match_score")),
         ("Average Interest Score", F.col("average_interest_score")),
+        ("Report Generated", F.date_format(F.current_timestamp(), "yyyy-MM-dd HH:mm")),
     ]
     pairs = F.array(
         *[

@@ -3,6 +3,7 @@
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..operators import bias, discovery, interest, jd, market, matching, ranking, report, transcripts
 from ..session import cut_lineage
@@ -33,6 +34,9 @@ class Shortlist:
     def turns(self) -> DataFrame:
         return report.report_turns(self.ranked, self.transcripts)
 
+    def transcript_chunks(self) -> DataFrame:
+        return report.transcript_chunks(self.ranked, self.transcripts)
+
     def documents(self) -> DataFrame:
         has_text = self.jobs.filter("raw_text is not null")
         return report.report_documents(
@@ -45,7 +49,8 @@ def discover_and_match(
     jobs: DataFrame, candidates: DataFrame, min_score: float = 45.0, top_k: int = 10, synonyms=None
 ) -> tuple[DataFrame, DataFrame]:
     """Coarse cut to 3 * top_k, then the deep match. Both results are written once."""
-    usable = jobs.filter(jd.is_sufficient())
+    long_enough = F.col("raw_text").isNull() | jd.reject_reason(F.col("raw_text")).isNull()
+    usable = jobs.filter(jd.is_sufficient() & long_enough)
     found = cut_lineage(discovery.discover(usable, candidates, 3 * top_k))
     scored = matching.match_pairs(found, usable, candidates, synonyms)
     return found, cut_lineage(matching.find_matches(scored, min_score, top_k))

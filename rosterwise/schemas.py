@@ -1,5 +1,7 @@
 """Public table schemas."""
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 _TEXT, _INT, _TEXTS = T.StringType(), T.IntegerType(), T.ArrayType(T.StringType())
@@ -32,3 +34,18 @@ JOBS = T.StructType(
 TRANSCRIPTS = _struct(
     job_id=_TEXT, candidate_id=_TEXT, turn=_INT, speaker=_TEXT, message=_TEXT, intent=_TEXT
 )
+
+
+def any_number(kind: T.DataType) -> T.DataType:
+    """``kind`` with doubles for integers, to read JSON numbers of any form."""
+    if isinstance(kind, T.StructType):
+        return T.StructType([T.StructField(f.name, any_number(f.dataType)) for f in kind.fields])
+    return T.DoubleType() if kind == _INT else kind
+
+
+def whole_numbers(column: Column, kind: T.DataType) -> Column:
+    """``column``, read by ``any_number(kind)``, as ``kind``: numbers are cut towards zero."""
+    if isinstance(kind, T.StructType):
+        cells = [whole_numbers(column[f.name], f.dataType).alias(f.name) for f in kind.fields]
+        return F.when(column.isNotNull(), F.struct(*cells))
+    return column.try_cast("int") if kind == _INT else column

@@ -6,13 +6,14 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.jd import extract_jobs
 from ..plans.shortlist import build_shortlist
+from ..sources.texts import job_id_below
 
 
 def jd_text_stream(spark: SparkSession, path: str) -> DataFrame:
     return (
-        spark.readStream.text(path, wholetext=True)
+        spark.readStream.option("recursiveFileLookup", True).text(path, wholetext=True)
         .select(
-            F.regexp_replace(F.col("_metadata.file_name"), r"\.[^.]*$", "").alias("job_id"),
+            job_id_below(path).alias("job_id"),
             F.col("value").alias("raw_text"),
         )
     )

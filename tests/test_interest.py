@@ -90,14 +90,17 @@ def test_template_and_persona(spark):
     assert who["J", "C1"].persona.endswith("Notice period: 45 days. Salary expectation: ₹12 LPA. Salary is within budget.")
 
 
-def test_documents_nest_what_fits_and_rows_hold_everything(spark, monkeypatch):
+def test_documents_say_what_goes_on_in_chunks(spark, monkeypatch):
     from rosterwise.operators import report
 
-    monkeypatch.setattr(report, "NESTED_TURNS", 3)
-    talks = [("G", "C001", t, "candidate", f"message {t}") for t in range(4)]
+    monkeypatch.setattr(report, "CHUNK_TURNS", 3)
+    talks = [("G", "C001", t, "candidate", f"message {t}") for t in range(7)]
     talks += [("G", "C2", t, "candidate", f"message {t}") for t in (2, 1)]
     pool = pool_df(spark, [GOLD_PERSON, person(2, ["Python", "LLM"], 4, "Bangalore", 20)])
     plan = build_shortlist(jobs_df(spark, [GOLD_JOB]), pool, turns_df(spark, talks))
-    nested = {c.candidate_id: c.conversation_transcript for c in plan.documents().collect()[0].candidates}
-    assert nested["C001"] is None and [t.turn for t in nested["C2"]] == [1, 2]
-    assert plan.turns().count() == 6
+    people = {c.candidate_id: c for c in plan.documents().collect()[0].candidates}
+    assert [t.turn for t in people["C001"].conversation_transcript] == [0, 1, 2] and people["C001"].conversation_turns == 7
+    assert [t.turn for t in people["C2"].conversation_transcript] == [1, 2] and people["C2"].conversation_turns == 2
+    chunks = {(r.candidate_id, r.chunk): [t.turn for t in r.turns] for r in plan.transcript_chunks().collect()}
+    assert chunks == {("C001", 0): [0, 1, 2], ("C001", 1): [3, 4, 5], ("C001", 2): [6], ("C2", 0): [1, 2]}
+    assert plan.turns().count() == 9

@@ -61,6 +61,12 @@ def test_decoding(spark):
     assert rows["f"].title == "" and not rows["f"].ok
 
 
+def test_fractions_do_not_spoil_a_reply(spark):
+    reply = '{"title": "Dev", "required_skills": ["Go"], "salary_range_lpa": {"min": 12.5, "max": 20}, "notice_preference_days": 30.0}'
+    row = jd.decode_replies(spark.createDataFrame([("a", reply, "")], "job_id string, reply string, raw_text string")).collect()[0]
+    assert (row.title, row.required_skills, tuple(row.salary_range_lpa), row.notice_preference_days) == ("Dev", ["Go"], (12, 20), 30)
+
+
 def test_length_check(spark):
     df = spark.createDataFrame([("x" * 49 + " \n",), ("x" * 50,), (None,)], "t string")
     assert [r[0] is None for r in df.select(jd.reject_reason(F.col("t"))).collect()] == [False, True, False]
@@ -72,14 +78,16 @@ def test_funnel_keeps_every_job(spark):
         job("unparsed", []),
         job("nobody", ["Rust"], location="Goa", exp=(60, 70, None)),
         job("weak", ["Rust"], location="Goa", exp=(3, 4, None), pay=(1, 2)),
+        job("short", ["Go"], text="Go"),
     ]
     pool = [person(i, ["Go", "SQL"] if i % 2 else ["Go"], 3, "Pune", 10 + i) for i in range(6)]
     plan = build_shortlist(jobs_df(spark, jobs), pool_df(spark, pool), min_score=60)
     rows = {r.job_id: r for r in plan.funnel().collect()}
-    assert {k: r.status for k, r in rows.items()} == {"ok": "ok", "unparsed": "parse_failed", "nobody": "no_candidates", "weak": "no_matches"}
+    assert {k: r.status for k, r in rows.items()} == {"ok": "ok", "unparsed": "parse_failed", "nobody": "no_candidates", "weak": "no_matches", "short": "rejected"}
     assert rows["ok"].discovered == rows["ok"].matched == rows["ok"].conversations_completed == 6
     assert rows["ok"].pool_size == rows["nobody"].pool_size == 6
     assert rows["ok"].verdict and rows["weak"].verdict is None and rows["nobody"].widened
+    assert not rows["unparsed"].widened and not rows["short"].widened and "too short" in rows["short"].error
     ranks = [r.rank for r in plan.ranked.orderBy("rank").collect()]
     assert ranks == list(range(1, 7))
 

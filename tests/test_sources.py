@@ -109,9 +109,33 @@ def test_sinks_and_text_source(spark, tmp_path):
     header, row = "".join(f.read_text() for f in (tmp_path / "flat").glob("part*.csv")).splitlines()
     assert header.startswith("job_id,Rank,Name,Combined Score") and row.startswith("G,1,Priya Sharma,84.8,92.7,73.0")
     write_table(plan.summary(), str(tmp_path / "summary"), "parquet")
-    assert spark.read.parquet(str(tmp_path / "summary")).count() == 8
+    assert spark.read.parquet(str(tmp_path / "summary")).count() == 9
     with pytest.raises(ValueError):
         write_table(plan.flat(), str(tmp_path / "x"), "xlsx")
     (tmp_path / "jds").mkdir()
     (tmp_path / "jds" / "first.txt").write_text("line one\nline two")
     assert [tuple(r) for r in read_jd_texts(spark, str(tmp_path / "jds")).collect()] == [("first", "line one\nline two")]
+
+
+def test_texts_of_other_folders_keep_their_own_ids(spark, tmp_path):
+    for folder in ("a", "b/c"):
+        (tmp_path / "all jds" / folder).mkdir(parents=True)
+        (tmp_path / "all jds" / folder / "jd.txt").write_text(folder)
+    rows = read_jd_texts(spark, str(tmp_path / "all jds")).collect()
+    assert {tuple(r) for r in rows} == {("a/jd", "a"), ("b/c/jd", "b/c")}
+
+
+def test_cells_are_read_as_numbers_or_not_at_all(spark):
+    df = spark.createDataFrame(
+        [("5f", "a,\tb\n", 0), (" 7.9 ", "x", 1), ("1e1", None, 2), ("NaN", "", 3), ("Infinity", "", 4)],
+        "experience string, skills string, pool_order bigint",
+    ).selectExpr("*", "'N' AS name")
+    rows = cleaning.clean_pool(df).orderBy("pool_order").collect()
+    assert [r.experience_years for r in rows] == [0, 7, 10, 0, 0]
+    assert rows[0].skills == ["a", "b"]
+
+
+def test_fractions_in_json_pools_are_cut(spark, tmp_path):
+    (tmp_path / "p.json").write_text(json.dumps([{"id": "A", "name": "N", "experience_years": 3.5, "salary_expectation_lpa": 18.5}]))
+    row = read_pool(spark, str(tmp_path / "p.json")).collect()[0]
+    assert (row.candidate_id, row.experience_years, row.salary_expectation_lpa) == ("A", 3, 18)
