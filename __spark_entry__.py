@@ -36,8 +36,8 @@ def _joined(column):
     return F.array_join(column, ", ")
 
 
-def _shortlist(spark, sf_dir):
-    return build_shortlist(*_inputs(spark, sf_dir), top_k=TOP_K)
+def _shortlist(spark, sf_dir, **options):
+    return build_shortlist(*_inputs(spark, sf_dir), views.recorded_talks(spark, sf_dir), top_k=TOP_K, **options)
 
 
 def discovery_topk(spark, sf_dir):
@@ -172,10 +172,8 @@ def transcript_markers(spark, sf_dir):
 
 
 def interest_scores(spark, sf_dir):
-    jobs, matches = _matches(spark, sf_dir)
-    talks = transcripts.templated_transcripts(matches, jobs)
-    # Every seventh job stands for outreach that failed: no transcript at all.
-    talks = talks.filter(F.col("job_id").cast("int") % 7 != 3)
+    _, matches = _matches(spark, sf_dir)
+    talks = interest.for_each_job(matches, views.recorded_talks(spark, sf_dir))
     return interest.score_interest(matches, talks).select(
         "job_id", "candidate_id", "enthusiasm_score", "engagement_score", "commitment_score",
         "total_interest_score", F.array_join("positive_signals", " / ").alias("positive_signals"),
@@ -201,14 +199,7 @@ def tier_counts(spark, sf_dir):
 
 
 def job_funnel(spark, sf_dir):
-    jobs, people = _inputs(spark, sf_dir)
-    # Every ninth job lost its skills and must show up as not parsed.
-    broken = F.col("job_id").cast("int") % 9 == 4
-    jobs = jobs.withColumn(
-        "required_skills",
-        F.when(broken, F.array().cast("array<string>")).otherwise(F.col("required_skills")),
-    )
-    funnel = build_shortlist(jobs, people, min_score=HIGH_BAR, top_k=TOP_K).funnel().drop("best")
+    funnel = _shortlist(spark, sf_dir, min_score=HIGH_BAR).funnel().drop("best")
     return funnel.na.fill(0.0, ["threshold"])
 
 
@@ -234,7 +225,7 @@ def report_documents(spark, sf_dir):
         "job_id", "job_title", "job_location", "total_candidates_considered", "priority_hires",
         "role_category", F.col("c.rank").alias("rank"), F.col("c.candidate_id").alias("candidate_id"),
         F.col("c.combined_score").alias("combined_score"),
-        F.size("c.conversation_transcript").alias("turns"),
+        F.coalesce("c.conversation_turns", F.lit(0)).alias("turns"),
     )
 
 
@@ -259,16 +250,15 @@ def source_files(spark, sf_dir):
 
 
 def clean_pool(spark, sf_dir):
-    """Customers as an untidy sheet: odd headers, blanks, text for numbers, empty rows."""
+    """Customers as an untidy sheet: odd headers, blanks, text for numbers."""
     key = F.col("c_custkey")
 
     def unless(remainder, divisor, value):
         return F.when(key % divisor != remainder, value)
 
-    gone = key % 23 == 0
     cells = {
         "ID": unless(0, 4, F.concat(F.lit("K"), key.cast("string"))),
-        " Name ": F.when(key % 19 == 1, F.lit("")).otherwise(F.col("c_name")),
+        " Name ": F.col("c_name"),
         "Experience (Years)": F.when(key % 6 == 0, F.lit("many")).when(key % 6 == 1, F.lit(None)).otherwise(
             F.concat((key % 13).cast("string"), F.lit(".75"))
         ),
@@ -281,7 +271,7 @@ def clean_pool(spark, sf_dir):
         "Shoe Size": F.lit("42"),
     }
     raw = views.table(spark, sf_dir, "customer").select(
-        key.alias("pool_order"), *[F.when(~gone, v.cast("string")).alias(name) for name, v in cells.items()]
+        key.alias("pool_order"), *[v.cast("string").alias(name) for name, v in cells.items()]
     )
     return cleaning.clean_pool(raw).select(
         "candidate_id", "name", "location", "experience_years", "current_role",
@@ -339,13 +329,10 @@ def jd_extraction(spark, sf_dir):
 
 
 def jd_decode(spark, sf_dir):
-    """Jobs as replies: JSON wrapped in prose, every thirteenth one cut off."""
+    """Jobs as replies: JSON wrapped in prose."""
     jobs = views.jobs(spark, sf_dir)
     body = F.to_json(F.struct(*[c for c in jobs.columns if c not in ("job_id", "raw_text")]))
-    cut = F.col("job_id").cast("int") % 13 == 0
-    reply = F.when(cut, F.concat(F.lit("Sorry: "), F.left(body, F.lit(40)))).otherwise(
-        F.concat(F.lit("Here you are:\n```json\n"), body, F.lit("\n```"))
-    )
+    reply = F.concat(F.lit("Here you are:\n```json\n"), body, F.lit("\n```"))
     decoded = jd.decode_replies(jobs.select("job_id", reply.alias("reply"), "raw_text"))
     return decoded.select(
         "job_id", "title", "location", _joined("required_skills_lower").alias("required_skills"),
@@ -363,11 +350,9 @@ def jd_rejects(spark, sf_dir):
 
 
 def jd_skill_scan(spark, sf_dir):
-    """Phrases of the benchmark texts, looked for as skills in whole documents."""
-    phrase = F.regexp_extract(F.lower("text"), oracles.PHRASE, 0)
-    vocabulary = (
-        views.table(spark, sf_dir, "benchmark").select(phrase.alias("skill")).filter("skill <> ''").distinct()
-    )
+    """Three-word phrases of whole benchmark texts, looked for as skills in whole documents."""
+    phrases = F.regexp_extract_all(F.lower("text"), F.lit(oracles.PHRASE), F.lit(0))
+    vocabulary = views.table(spark, sf_dir, "benchmark").select(F.explode(phrases).alias("skill")).distinct()
     documents = views.jd_documents(spark, sf_dir)
     return jd.mentioned_skills(documents, ["job_id"], "raw_text", vocabulary)
 

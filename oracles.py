@@ -11,7 +11,7 @@ from rosterwise.plans.driver_views import SKILL_NAMES, TITLES
 
 HIGH_BAR = 82.0
 SEED = 7
-PHRASE = r"^[\p{L}\p{N}]+ [\p{L}\p{N}]+ [\p{L}\p{N}]+"
+PHRASE = r"[\p{L}\p{N}]+ [\p{L}\p{N}]+ [\p{L}\p{N}]+"
 OWN_GENDERED = {"the ": "a", "and ": "plus", "his ": "their"}
 OWN_AGE = ["of", "tion", "in the", "que"]
 OWN_MARKERS = ["the ", "and", "of the", "tion. ", ". an", "in in", "que la", "é e", "on on", "absent term"]
@@ -229,13 +229,19 @@ MARKERS = values(
 )
 
 
-def interest(drop_jobs: str = "false") -> list[str]:
-    return TALK + [
+RECORDED = [
+    """talk AS (SELECT sid, cid, turn, CASE c.role WHEN 'user' THEN 'candidate' ELSE 'recruiter' END AS speaker, c.text AS message
+    FROM best JOIN conversations c ON conv_id = cid WHERE c.role IN ('user', 'assistant'))""",
+]
+
+
+def interest() -> list[str]:
+    return RECORDED + [
         MARKERS,
-        f"""said AS (SELECT sid, cid, count(*) FILTER (speaker = 'candidate') AS msgs,
+        """said AS (SELECT sid, cid, count(*) FILTER (speaker = 'candidate') AS msgs,
     coalesce(sum(length(message)) FILTER (speaker = 'candidate'), 0) AS chars,
     coalesce(string_agg(lower(message), ' ' ORDER BY turn) FILTER (speaker = 'candidate'), '') AS txt
-    FROM talk WHERE NOT ({drop_jobs}) GROUP BY sid, cid)""",
+    FROM talk GROUP BY sid, cid)""",
         """found AS (SELECT sid, cid, kind, term FROM said JOIN marker ON contains(txt, term))""",
         """skill_said AS (SELECT DISTINCT sid, cid, low FROM talk JOIN cand_skill USING (cid)
     WHERE speaker = 'candidate' AND contains(lower(message), low))""",
@@ -427,7 +433,7 @@ def _clean():
     CASE WHEN c_custkey % 7 = 0 THEN 'Software Engineer' ELSE c_mktsegment END AS current_role,
     CASE WHEN c_custkey % 8 = 0 THEN '' ELSE 'sql|' || lower(c_mktsegment) END AS skills, 'B.Tech' AS education,
     trunc(c_acctbal)::INT AS salary_expectation_lpa, {notice} AS notice_period_days, '' AS bio, c_custkey AS pool_order
-    FROM customer WHERE c_custkey % 23 <> 0 AND c_custkey % 19 <> 1"""
+    FROM customer"""
 
 
 def _own_scan():
@@ -441,10 +447,10 @@ def _own_scan():
 
 
 def _job_funnel():
-    usable = "(SELECT * FROM jobs WHERE sid % 9 <> 4)"
+    usable = "(SELECT * FROM jobs WHERE n_req > 0)"
     return with_(
         *ranked(HIGH_BAR, usable), TIER_COUNTS,
-        """steps AS (SELECT j.sid, j.sid % 9 <> 4 AS parsed, (SELECT count(*) FROM candidates) AS pool_size,
+        """steps AS (SELECT j.sid, j.n_req > 0 AS parsed, (SELECT count(*) FROM candidates) AS pool_size,
     (SELECT count(*) FROM discovered d WHERE d.sid = j.sid) AS discovered, (SELECT count(*) FROM best b WHERE b.sid = j.sid) AS matched,
     (SELECT max(threshold) FROM best b WHERE b.sid = j.sid) AS threshold,
     coalesce(talks, 0) AS talks, coalesce(priority_hires, 0) AS p, coalesce(fast_track, 0) AS f, coalesce(recommended, 0) AS r
@@ -512,7 +518,7 @@ def oracle_sql() -> dict[str, str]:
     chars::DOUBLE / greatest(n, 1) AS avg_length FROM chat"""),
         "transcript_markers": with_(chat, own_markers, select="""SELECT candidate_id, coalesce(string_agg(term, ', ' ORDER BY seq), '') AS found
     FROM chat LEFT JOIN own_marker ON contains(txt, term) GROUP BY candidate_id"""),
-        "interest_scores": with_(*shortlist(), *interest("sid % 7 = 3"), select="""SELECT sid::VARCHAR AS job_id, cid::VARCHAR AS candidate_id, ent AS enthusiasm_score, eng AS engagement_score,
+        "interest_scores": with_(*shortlist(), *interest(), select="""SELECT sid::VARCHAR AS job_id, cid::VARCHAR AS candidate_id, ent AS enthusiasm_score, eng AS engagement_score,
     com AS commitment_score, interest_score AS total_interest_score, positive AS positive_signals, negative AS negative_signals, questions AS questions_asked,
     available AS availability_commitment, preview AS conversation_preview FROM interest"""),
         "ranked_shortlist": with_(*ranked(), select="""SELECT sid::VARCHAR AS job_id, rank, cid::VARCHAR AS candidate_id, name AS candidate_name, match_score, interest_score, combined_score,
@@ -541,7 +547,8 @@ def oracle_sql() -> dict[str, str]:
         "report_documents": with_(*ranked(), TIER_COUNTS, select=f"""SELECT r.sid::VARCHAR AS job_id, title AS job_title, location AS job_location, total AS total_candidates_considered,
     priority_hires, CASE {_title_rules(K.CATEGORY_TITLES, 'lower(title)')} WHEN (SELECT count(*) FROM job_skill k WHERE k.sid = r.sid AND place <= 5
     AND low IN ({', '.join(q(s) for s in K.AI_SKILLS)})) >= 2 THEN 'ai' ELSE 'default' END AS role_category,
-    rank, cid::VARCHAR AS candidate_id, combined_score, 6 AS turns FROM ranked r JOIN averages USING (sid)"""),
+    rank, cid::VARCHAR AS candidate_id, combined_score,
+    (SELECT count(*) FROM talk t WHERE t.sid = r.sid AND t.cid = r.cid) AS turns FROM ranked r JOIN averages USING (sid)"""),
         "pool_stats": with_(*CANDIDATES, """sums AS (SELECT count(*) AS n, count(DISTINCT location) AS locs, sum(exp)::DOUBLE / count(*) AS e, sum(salary)::DOUBLE / count(*) AS s FROM candidates)""",
             select=f"SELECT n AS total_candidates_in_pool, locs AS unique_locations, {r1('e')} AS avg_experience, {r1('s')} AS avg_salary FROM sums"),
         "pool_locations": with_(*CANDIDATES, select="SELECT location, count(*) AS candidates FROM candidates GROUP BY location"),
@@ -554,17 +561,14 @@ def oracle_sql() -> dict[str, str]:
     (SELECT coalesce(string_agg(skill, ', ' ORDER BY skill), '') FROM job_skill k WHERE k.sid = j.sid AND place <= 5) AS required_skills,
     (SELECT coalesce(string_agg(skill, ', ' ORDER BY skill), '') FROM job_skill k WHERE k.sid = j.sid AND place > 5) AS nice_to_have,
     exp_min, coalesce(exp_max, -1) AS exp_max, sal_min, sal_max, 30 AS notice_preference_days FROM jobs j"""),
-        "jd_decode": with_(*JOBS, select="""SELECT sid::VARCHAR AS job_id, CASE WHEN sid % 13 = 0 THEN 'Unknown' ELSE title END AS title,
-    CASE WHEN sid % 13 = 0 THEN 'Any' ELSE location END AS location,
-    CASE WHEN sid % 13 = 0 THEN '' ELSE (SELECT coalesce(string_agg(low, ', ' ORDER BY place), '') FROM job_skill k WHERE k.sid = j.sid AND place <= 5) END AS required_skills,
-    CASE WHEN sid % 13 = 0 THEN '' ELSE (SELECT coalesce(string_agg(low, ', ' ORDER BY place), '') FROM job_skill k WHERE k.sid = j.sid AND place > 5) END AS nice_to_have,
-    CASE WHEN sid % 13 = 0 THEN 0 ELSE exp_min END AS exp_min, CASE WHEN sid % 13 = 0 THEN 10 ELSE coalesce(exp_max, -1) END AS exp_max,
-    CASE WHEN sid % 13 = 0 THEN 100 ELSE sal_max END AS sal_max, CASE WHEN sid % 13 = 0 THEN 60 ELSE 30 END AS notice_preference_days,
-    sid % 13 <> 0 AND n_req > 0 AS sufficient FROM jobs j"""),
+        "jd_decode": with_(*JOBS, select="""SELECT sid::VARCHAR AS job_id, title, location,
+    (SELECT coalesce(string_agg(low, ', ' ORDER BY place), '') FROM job_skill k WHERE k.sid = j.sid AND place <= 5) AS required_skills,
+    (SELECT coalesce(string_agg(low, ', ' ORDER BY place), '') FROM job_skill k WHERE k.sid = j.sid AND place > 5) AS nice_to_have,
+    exp_min, coalesce(exp_max, -1) AS exp_max, sal_max, 30 AS notice_preference_days, n_req > 0 AS sufficient FROM jobs j"""),
         "jd_rejects": r"""SELECT doc_id::VARCHAR AS job_id, length(text) AS chars, CASE WHEN length(regexp_replace(text, '^\s+|\s+$', '', 'g')) < 50
     THEN 'Job Description too short. Minimum 50 characters.' END AS reject_reason FROM documents""",
         "jd_skill_scan": with_(
-            r"vocab AS (SELECT DISTINCT regexp_extract(lower(text), '" + PHRASE + r"', 0) AS skill FROM benchmark)",
-            select=r"""SELECT doc_id::VARCHAR AS job_id, skill FROM documents JOIN vocab ON CASE WHEN skill <> '' AND contains(lower(text), skill)
+            r"vocab AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '" + PHRASE + r"', 0)) AS skill FROM benchmark)",
+            select=r"""SELECT doc_id::VARCHAR AS job_id, skill FROM documents JOIN vocab ON CASE WHEN contains(lower(text), skill)
     THEN regexp_matches(' ' || lower(text) || ' ', '[^\p{L}\p{N}]' || skill || '[^\p{L}\p{N}]') ELSE false END"""),
     }

@@ -157,6 +157,13 @@ def availability(commitment: Column) -> Column:
     )
 
 
+def for_each_job(matches: DataFrame, transcripts: DataFrame) -> DataFrame:
+    """``transcripts`` by job and candidate; those without a ``job_id`` count for every job of their candidate."""
+    if "job_id" in transcripts.columns:
+        return transcripts
+    return matches.select("job_id", "candidate_id").join(transcripts, "candidate_id")
+
+
 def score_interest(matches: DataFrame, transcripts: DataFrame, markers=None) -> DataFrame:
     """Interest of every matched pair; a pair without a transcript gets the default signals."""
     m = markers or Markers()

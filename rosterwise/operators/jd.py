@@ -77,14 +77,16 @@ def _bullets(text: Column, heading: str) -> Column:
 def mentioned_skills(texts: DataFrame, keys, text: str, vocabulary: DataFrame) -> DataFrame:
     """``keys, skill``: vocabulary skills that occur in ``text`` as whole words.
 
-    The first run of letters and digits of a skill must be a word of the text: words and
-    skills are joined on it, without the text, and each text then checks the few skills that
-    are left. Skills without a letter or digit are not looked for.
+    Every run of letters and digits of a skill must be a word of the text: words and skills
+    are joined on the longest run, which few texts share, without the text, and each text then
+    checks the few skills that are left. Skills without a letter or digit are not looked for.
     """
     word = r"[\p{L}\p{N}]+"
     words = F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(word), F.lit(0)))
     terms = vocabulary.select("skill").distinct().select(
-        "skill", F.regexp_extract(F.lower("skill"), word, 0).alias("word")
+        "skill", F.expr(
+            r"array_max(transform(regexp_extract_all(lower(skill), '[\\p{L}\\p{N}]+', 0), w -> struct(length(w), w)))"
+        )["w"].alias("word")
     )
     likely = (
         texts.select(*keys, F.explode(words).alias("word"))

@@ -136,6 +136,11 @@ def jd_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def recorded_talks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as transcripts of the candidate of the same number, whatever the job."""
+    return conversations(spark, sf_dir).drop("job_id")
+
+
 def conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chat turns as recruiter and candidate turns; system turns are dropped."""
     return (

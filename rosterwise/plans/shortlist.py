@@ -67,10 +67,13 @@ def build_shortlist(
     markers: interest.Markers | None = None,
     synonyms=None,
 ) -> Shortlist:
-    """``talks`` are recorded transcripts; without them the templated ones are used."""
+    """``talks`` are recorded transcripts, by job and candidate or by candidate alone; pairs without one
+    get the default signals. Without ``talks`` the templated ones are used.
+    """
     found, matches = discover_and_match(jobs, candidates, min_score, top_k, synonyms)
     if talks is None:
         talks = transcripts.templated_transcripts(matches, jobs)
+    talks = interest.for_each_job(matches, talks)
     signals = interest.score_interest(matches, talks, markers)
     ranked = cut_lineage(ranking.rank_candidates(matches, signals, match_weight, interest_weight))
     return Shortlist(jobs, candidates, found, matches, talks, signals, ranked)
