@@ -74,6 +74,15 @@ def test_chunks_give_what_the_whole_text_gives(spark, monkeypatch, chunk):
         assert set(r.mentioned) == {s for s in ("go", "learning", "sure open") if any(s in m.lower() for m in said)}
 
 
+def test_talks_without_a_job_count_for_every_job_of_their_candidate(spark):
+    matches = spark.createDataFrame([("a", "p"), ("b", "p"), ("a", "q")], "job_id string, candidate_id string")
+    talks = spark.createDataFrame([("p", 1, "hi"), ("p", 2, None), ("x", 1, "no")], "candidate_id string, turn int, message string")
+    rows = I.for_each_job(matches, talks).select("job_id", "candidate_id", "turn", "message").collect()
+    assert {tuple(r) for r in rows} == {(j, "p", *t) for j in "ab" for t in ((1, "hi"), (2, None))} and len(rows) == 4
+    kept = talks.withColumn("job_id", F.lit("b"))
+    assert I.for_each_job(matches, kept) is kept
+
+
 def test_template_and_persona(spark):
     jobs = [job("J", ["go", "SQL"], pay=(5, 12), location="Goa", title="Data Engineer"), job("K", ["Rust"], pay=None)]
     pool = [person(1, ["Java", "Sql", "Go"], salary=12, notice=45), person(2, [], salary=1, notice=None)]
