@@ -82,22 +82,54 @@ def following(buckets: DataFrame) -> DataFrame:
     return inner.join(tops, "_group").select("bucket", F.coalesce("_inner", "_outer").alias("next_bucket"))
 
 
-def with_next(rows: DataFrame, key: str, ties: str, size: int = 256) -> DataFrame:
+def place(key: Column, ties: Column, chars: int = 64) -> Column:
+    """Text whose ascending order is that of descending ``key`` (longs), then ``ties``; null keys last, by a hash.
+
+    Of ``ties`` it has the first ``chars`` characters: rows equal in those have equal places.
+    """
+    named = F.concat(
+        F.lit("0"), F.lpad(F.hex(key.cast("long").bitwiseXOR(F.lit((1 << 63) - 1))), 16, "0"),
+        F.coalesce(F.hex(F.substring(ties, 1, chars)), F.lit("")),
+    )
+    return F.coalesce(named, F.concat(F.lit("1"), F.lpad(F.hex(F.xxhash64(ties)), 16, "0")))
+
+
+def bounds_of(places: DataFrame, parts: int, drawn: int = 20) -> list[str]:
+    """Up to ``parts`` - 1 places that cut the rows into ranges of about equal counts, from a sample.
+
+    A bound is cut to its key where the sampled row before it has another key.
+    """
+    n = places.count()
+    sample = places.sample(min(1.0, drawn * parts / max(n, 1)), seed=7)
+    seen = sorted(r[0] for r in sample.collect())
+    cuts = sorted({len(seen) * i // parts for i in range(1, parts)} - {0})
+    return sorted({seen[i] if seen[i - 1][:17] == seen[i][:17] else seen[i][:17] for i in cuts})
+
+
+def bounds_below(place: Column, bounds: list[str]) -> Column:
+    """How many of the sorted ``bounds`` are not above ``place``, by halving; the result is a long."""
+    if not bounds:
+        return F.lit(0).cast("long")
+    table = F.split(F.lit(",".join(bounds)), ",")
+    steps = F.array(*[F.lit(1 << i) for i in reversed(range(len(bounds).bit_length()))])
+    step = lambda at, by: at + F.when(F.get(table, at + by - 1) <= place, by).otherwise(0)
+    return F.aggregate(steps, F.lit(0), step).cast("long")
+
+
+def with_next(rows: DataFrame, key: str, ties: str, times: int = 8) -> DataFrame:
     """Adds ``next``, a struct of the following row in descending ``key``; the first follows the last.
 
-    Equal keys go by ``ties``, null keys come last. Rows meet in buckets of neighbouring keys, as
-    many keys in each as hold about ``size`` rows if keys are spread evenly, so a row travels once;
-    the last row of a bucket gets the head of the next bucket by a join that shuffles heads only.
-    Rows without a key are dealt over buckets by a hash of ``ties``.
+    Equal keys go by ``ties``, null keys come last, by a hash of ``ties``. Rows meet in ranges of
+    their ``place``, ``times`` as many as there are shuffle partitions. The bounds come from a sample,
+    so keys may lie anywhere, and a key of many rows is cut too; results don't hang on the bounds. A row
+    travels once; the last row of a range gets the head of the next by a join that shuffles heads only.
     """
-    lo, hi, n = rows.agg(F.min(key), F.max(key), F.count(F.lit(1))).first()
-    lo, hi = lo or 0, hi or 0
-    width = max(1, (hi - lo + 1) * size // max(n, 1))
     names = rows.columns
-    nameless = 4096 + F.pmod(F.xxhash64(ties), F.lit(4096))
-    bucket = F.coalesce(F.floor((F.col(key) - lo) / width).cast("long"), -nameless)
-    dealt = rows.withColumn("bucket", bucket)
-    window = f"OVER (PARTITION BY bucket ORDER BY `{key}` DESC NULLS LAST, `{ties}` ASC NULLS FIRST)"
+    at = place(F.col(key), F.col(ties))
+    parts = times * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    bounds = bounds_of(rows.select(at.alias("_place")), parts)
+    dealt = rows.withColumn("_place", at).withColumn("bucket", -bounds_below(F.col("_place"), bounds))
+    window = f"OVER (PARTITION BY bucket ORDER BY _place, `{ties}` ASC NULLS FIRST)"
     packed = f"struct({', '.join(f'`{c}`' for c in names)})"
     inner = dealt.selectExpr("*", f"lead({packed}) {window} AS _inner")
     heads = dealt.selectExpr("bucket", f"{packed} AS _head", f"row_number() {window} AS _n").filter("_n = 1")

@@ -8,6 +8,7 @@ import xxhash
 from rosterwise.llm import fingerprints as f
 from rosterwise.llm import near_dedup as n
 from rosterwise.llm.components import components
+from rosterwise.llm.tables import bounds_below, bounds_of, place, with_next
 
 
 def terms(text, k=3):
@@ -123,3 +124,30 @@ def test_components_of_chains_and_hubs(spark):
     want = {x: x // 50 * 50 for i in range(300) if i % 50 != 49 for x in (i, i + 1)} | {x: 1000 for x in range(1000, 1200)}
     assert got == want
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_next_rows_of_ids_far_apart(spark):
+    ends = [-(1 << 63), (1 << 63) - 1, 0, -1]
+    far = [s * 10**12 + i for s in (1, 2, 3) for i in range(400)] + ends
+    rows = [(i, f"t{i}") for i in far] + [(7, f"{i:05d}") for i in range(1500)] + [(7, "x" * 70 + c) for c in "ba"]
+    table = spark.createDataFrame(rows, "id long, t string").repartition(4)
+    rows.sort(key=lambda r: (-r[0], r[1]))
+    want = {r: rows[(i + 1) % len(rows)] for i, r in enumerate(rows)}
+    got = with_next(table, "id", "t").collect()
+    assert len(got) == len(rows) and {(r.id, r.t): tuple(r.next) for r in got} == want
+    # No range holds much more than its share, clusters and the id of most rows included.
+    at = place(table["id"], table["t"])
+    bounds = bounds_of(table.select(at), 30)
+    sizes = table.groupBy(bounds_below(at, bounds).alias("range")).count().collect()
+    assert len(sizes) > 20 and max(r["count"] for r in sizes) < 4 * len(rows) / 30
+
+
+def test_next_rows_without_id_form_one_ring(spark):
+    rows = [(None, f"t{i}") for i in range(50)] + [(None, None), (3, "a"), (3, None)]
+    got = with_next(spark.createDataFrame(rows, "id long, t string"), "id", "t").collect()
+    following = {(r.id, r.t): tuple(r.next) for r in got}
+    seen, here = [], (3, None)
+    for _ in rows:
+        seen.append(here)
+        here = following[here]
+    assert here == (3, None) and seen[1] == (3, "a") and set(seen) == set(rows)
