@@ -6,8 +6,8 @@ doc_id order, rows of up to BLOCK_BYTES: shard, block, dict_hash, the doc_ids, t
 ``offsets`` (where each frame starts in ``frames``, and its end) and ``frames``. A document is read
 by its frame alone: Parquet's statistics and the offsets lead to it.
 
-The dictionary is trained on the serialised ids of SAMPLE documents at most, each of SAMPLE_CHARS at
-most; it only changes sizes, never ids. Each document ends with END_ID.
+The dictionary is trained on the serialised ids of SAMPLE runs of SAMPLE_CHARS characters at most, from
+hashed places of whole documents; it only changes sizes, never ids. Each document ends with END_ID.
 
 Cases: a null text is an empty one and has the end id alone; rows with equal ids go by text; null ids
 come first; an empty table gives empty files; other columns are left out.
@@ -87,13 +87,23 @@ def _dictionary(content: bytes):
     return zstandard.ZstdCompressionDict(content)
 
 
+def drawn_blocks(docs: DataFrame) -> list[str]:
+    """SAMPLE of the runs of SAMPLE_CHARS characters that whole documents consist of: those of lowest hash."""
+    text = F.coalesce("text", F.lit(""))
+    runs = F.greatest(F.lit(1), F.ceil(F.char_length(text) / SAMPLE_CHARS)).cast("int")
+    n = docs.agg(F.sum(runs)).first()[0] or 1
+    mark = lambda h, i: F.xxhash64(h, i).cast("double") / F.lit(2.0**64) + 0.5
+    rows = docs.select(text.alias("text"), F.xxhash64("doc_id", "text").alias("h"), runs.alias("runs"))
+    low = F.filter(F.sequence(F.lit(0), F.col("runs") - 1), lambda i: mark(F.col("h"), i) <= 2.0 * SAMPLE / n)
+    drawn = rows.withColumn("i", F.explode(low)).select(
+        F.substring("text", F.col("i") * SAMPLE_CHARS + 1, F.lit(SAMPLE_CHARS)).alias("block"), mark(F.col("h"), F.col("i")).alias("m")
+    )
+    return [r.block for r in drawn.orderBy("m").limit(SAMPLE).collect()]
+
+
 def train_dictionary(docs: DataFrame, path: str) -> bytes:
-    """Trained on a bounded sample (the documents of lowest hash); raw content where that is too small."""
-    n = docs.count()
-    mark = F.xxhash64("doc_id", "text").cast("double") / F.lit(2.0**64) + 0.5
-    rows = docs.select("doc_id", F.left(F.coalesce("text", F.lit("")), F.lit(SAMPLE_CHARS)).alias("head"), mark.alias("m"))
-    texts = [r.head for r in rows.filter(F.col("m") <= 2.0 * SAMPLE / max(n, 1)).orderBy("m").limit(SAMPLE).collect()]
-    samples = [ids.astype(STORED).tobytes() for ids in _encoder(path).encode(texts)]
+    """Trained on a bounded sample (``drawn_blocks``); raw content where that is too small."""
+    samples = [ids.astype(STORED).tobytes() for ids in _encoder(path).encode(drawn_blocks(docs))]
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, samples).as_bytes()
     except zstandard.ZstdError:

@@ -84,3 +84,15 @@ def test_files_read_back(spark, odd_docs, no_docs, tmp_path, monkeypatch):
         token_files.read_ids(spark, str(tmp_path / "files"), 10**9)
     token_files.write_token_files(no_docs, JSON, str(tmp_path / "none"))
     assert token_files.token_index(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_dictionary_sample_reaches_the_ends_of_documents(spark, monkeypatch):
+    monkeypatch.setattr(token_files, "SAMPLE_CHARS", 100)
+    texts = ["".join(f"{d}-{i:05d} " for i in range(500)) for d in range(3)] + ["short", "", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    pieces = [t[i : i + 100] for t in texts if t for i in range(0, len(t), 100)] + ["", ""]
+    assert sorted(token_files.drawn_blocks(docs)) == sorted(pieces)
+    monkeypatch.setattr(token_files, "SAMPLE", 20)
+    few = token_files.drawn_blocks(docs)
+    assert len(few) == 20 and set(few) <= set(pieces)
+    assert any(not t.startswith(x) for x in few for t in texts if t and x in t)
