@@ -56,6 +56,17 @@ def test_languages_equal_plain_naive_bayes_and_are_right_on_held_out_rows(docume
     assert right >= 0.97 * total > 0
 
 
+def test_blocks_of_languages_change_nothing(documents, monkeypatch):
+    rows = documents.select("doc_id", "text", F.concat("lang", F.lit("-"), (F.col("doc_id") % 3).cast("string")).alias("lang"))
+    whole = {r.doc_id: r for r in lang.identify(rows).collect()}
+    monkeypatch.setattr(lang, "MATRIX", 5 << lang.BITS)  # five languages in a block
+    assert len(lang.train(rows.select("lang", "text"))) > 1
+    cut = {r.doc_id: r for r in lang.identify(rows).collect()}
+    assert len(whole) == len(cut) and all(
+        cut[i].lang_pred == r.lang_pred and math.isclose(cut[i].score, r.score, rel_tol=1e-9) for i, r in whole.items()
+    )
+
+
 def test_language_cases(odd_docs, no_docs):
     got = lang.identify(odd_docs).collect()
     texts = {r.doc_id: r.text for r in odd_docs.collect()}
