@@ -43,12 +43,23 @@ def report_turns(ranked: DataFrame, transcripts: DataFrame) -> DataFrame:
 
 
 def transcript_chunks(ranked: DataFrame, transcripts: DataFrame) -> DataFrame:
-    """Every turn of the ranked pairs, CHUNK_TURNS per row: ``chunk`` from 0, ``turns`` in order."""
+    """Every turn of the ranked pairs, CHUNK_TURNS per row: ``chunk`` from 0, ``turns`` in order.
+
+    Turns are numbered within slices of turn numbers, plus the turns of earlier slices, so a long
+    conversation is spread over tasks; turns without a number come first.
+    """
     keys = ["job_id", "candidate_id"]
     turn = F.struct("turn", "speaker", "message", "intent")
-    place = F.row_number().over(Window.partitionBy(*keys).orderBy("turn", "speaker", "message")) - 1
-    turns = report_turns(ranked, transcripts).withColumn("chunk", F.floor(place / CHUNK_TURNS).cast("int"))
-    return turns.groupBy(*keys, "chunk").agg(F.sort_array(F.collect_list(turn)).alias("turns"))
+    number = F.coalesce(F.floor(F.col("turn") / CHUNK_TURNS), F.lit(-(1 << 62)))
+    turns = report_turns(ranked, transcripts).withColumn("_slice", number)
+    before = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = turns.groupBy(*keys, "_slice").count().select(
+        *keys, "_slice", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_before")
+    )
+    inside = F.row_number().over(Window.partitionBy(*keys, "_slice").orderBy("turn", "speaker", "message")) - 1
+    placed = turns.withColumn("_inside", inside).join(offsets, [*keys, "_slice"])
+    chunk = F.floor((F.col("_inside") + F.col("_before")) / CHUNK_TURNS).cast("int")
+    return placed.withColumn("chunk", chunk).groupBy(*keys, "chunk").agg(F.sort_array(F.collect_list(turn)).alias("turns"))
 
 
 def _nested_turns(ranked: DataFrame, transcripts: DataFrame) -> DataFrame:

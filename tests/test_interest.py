@@ -113,3 +113,20 @@ def test_documents_say_what_goes_on_in_chunks(spark, monkeypatch):
     chunks = {(r.candidate_id, r.chunk): [t.turn for t in r.turns] for r in plan.transcript_chunks().collect()}
     assert chunks == {("C001", 0): [0, 1, 2], ("C001", 1): [3, 4, 5], ("C001", 2): [6], ("C2", 0): [1, 2]}
     assert plan.turns().count() == 9
+
+
+def test_chunks_number_turns_within_slices(spark, monkeypatch):
+    from rosterwise.operators import report
+
+    monkeypatch.setattr(report, "CHUNK_TURNS", 4)
+    numbers = [None, None, -3, 0, 1, 1, 1, 2, 9, 9, 40, 41, 42, 43, 44, 45, 900]
+    said = [("j", "c", n, "s", f"m{i:02d}", "x") for i, n in enumerate(numbers)] + [("j", "d", 5000, "s", "only", "x")]
+    turns = spark.createDataFrame(said, "job_id string, candidate_id string, turn int, speaker string, message string, intent string")
+    ranked = spark.createDataFrame([("j", "c", 1), ("j", "d", 2)], "job_id string, candidate_id string, rank int")
+    chunks = report.transcript_chunks(ranked, turns)
+    got = {(r.candidate_id, r.chunk): [t.message for t in r.turns] for r in chunks.collect()}
+    names = [f"m{i:02d}" for i in range(len(numbers))]
+    assert got == {("c", i // 4): names[i : i + 4] for i in range(0, len(names), 4)} | {("d", 0): ["only"]}
+    plan = chunks._jdf.queryExecution().optimizedPlan().toString()
+    windows = [x for x in plan.splitlines() if "Window [row_number()" in x]
+    assert windows and all("_slice" in x for x in windows)
