@@ -91,6 +91,74 @@ SELECT pair_id, count(*) FILTER (part = 'prompt') AS n_prompt_turns,
 FROM spans GROUP BY pair_id
 """
 
+NEGATIVES = """
+WITH v AS (
+    SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+           list_transform(embedding, lambda x: CAST(floor(256.0 * CAST(x AS DOUBLE)) AS BIGINT)) AS vec
+    FROM embeddings
+    WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+      AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(CAST(x AS DOUBLE)))) = 0
+), scored AS (
+    SELECT a.vec_id AS anchor_id, v.vec_id, a.label = v.label AS alike,
+           CAST(list_sum(list_transform(list_zip(a.vec, v.vec), lambda p: p[1] * p[2])) AS BIGINT) AS score
+    FROM v AS a JOIN v ON a.vec_id <> v.vec_id WHERE a.vec_id % 100 = 0
+), positives AS (
+    SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scored WHERE alike
+    QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+)
+SELECT anchor_id, positive_id,
+       CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank,
+       vec_id AS negative_id, positive_score, score AS negative_score
+FROM positives JOIN scored USING (anchor_id)
+WHERE NOT alike AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score
+QUALIFY row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) <= 5
+"""
+
+TRIE = r"""
+WITH convs AS (
+    SELECT conv_id, conv_id - conv_id % 20 AS first, count(*) AS n, xor(list_reduce(
+        list_concat([4294967295], list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))),
+        lambda a, b: list_reduce(
+            [xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, 3988292384 * (x & 1))
+        )), 4294967295) % 4 AS h
+    FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id
+), turns AS (
+    SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS place,
+           md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || ':' || coalesce(text, '')) AS key,
+           len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS words
+    FROM conversations WHERE conv_id IS NOT NULL
+), steps AS (
+    SELECT conv_id, 0 AS depth, '' AS key, 0 AS words FROM convs
+    UNION ALL
+    SELECT c.conv_id, t.place, key, words FROM convs AS c JOIN turns AS t ON t.conv_id = c.first AND t.place <= c.h
+    UNION ALL
+    SELECT c.conv_id, t.place - c.h + least(c.h, coalesce(f.n, 0)), key, words
+    FROM convs AS c JOIN turns AS t ON t.conv_id = c.conv_id AND t.place > c.h LEFT JOIN convs AS f ON f.conv_id = c.first
+), paths AS (
+    SELECT conv_id, depth, words, string_agg(key, '') OVER (PARTITION BY conv_id ORDER BY depth) AS path,
+           max(depth) OVER (PARTITION BY conv_id) AS length
+    FROM steps
+), nodes AS (
+    SELECT path, depth, min(conv_id) AS conv_id, count(*) AS n_convs, max(words) AS words,
+           sha256(coalesce(string_agg(conv_id, ',' ORDER BY conv_id) FILTER (depth = length), '')) AS ends_sha256
+    FROM paths GROUP BY path, depth
+), children AS (
+    SELECT left(path, length(path) - 32) AS path, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY 1
+), counted AS (
+    SELECT n.*, coalesce(c.n_children, 0) AS n_children FROM nodes AS n LEFT JOIN children AS c ON c.path = n.path
+), sums AS (
+    SELECT left(path, 32 * above) AS path, count(*) FILTER (n_children = 0) AS n_leaves, sum((n_convs - 1) * words) AS saved_tokens
+    FROM (SELECT *, unnest(range(0, depth + 1)) AS above FROM counted) GROUP BY 1
+)
+SELECT n.conv_id, CAST(n.depth AS BIGINT) AS depth, p.conv_id AS parent_conv_id, n.n_convs, n.n_children, s.n_leaves,
+       CAST(s.saved_tokens AS BIGINT) AS saved_tokens, n.ends_sha256
+FROM counted AS n JOIN sums AS s ON s.path = n.path
+LEFT JOIN nodes AS p ON n.depth > 0 AND p.path = left(n.path, length(n.path) - 32)
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_preference_pairs": PREFERENCES, "op3_maxscore_search": SEARCH, "op6_source_mixing": MIXING}
+    return {
+        "op2_preference_pairs": PREFERENCES, "op3_maxscore_search": SEARCH, "op6_source_mixing": MIXING,
+        "op12_hard_negatives": NEGATIVES, "op13_prefix_trie": TRIE,
+    }

@@ -6,7 +6,10 @@ import public_tokenizers
 
 from rosterwise.session import shared_folder
 
-from . import bpe, fingerprints, language_id, mixing, near_dedup, pii, preferences, quality, token_files, topk_search
+from . import (
+    bpe, fingerprints, hard_negatives, language_id, mixing, near_dedup, pii, preferences, prefix_trie, quality, secret_scan,
+    token_files, topk_search,
+)
 from .tables import table
 
 RANKS, TOKENIZER = "byte_bpe_50k.tiktoken", "byte_bpe_50k.json"
@@ -55,9 +58,22 @@ def op10_personal_data(spark, sf_dir):
     return pii.personal_data(table(spark, sf_dir, "documents"))
 
 
+def op11_secret_scan(spark, sf_dir):
+    return secret_scan.secrets(table(spark, sf_dir, "documents"))
+
+
+def op12_hard_negatives(spark, sf_dir):
+    return hard_negatives.hard_negatives(table(spark, sf_dir, "embeddings"))
+
+
+def op13_prefix_trie(spark, sf_dir):
+    return prefix_trie.rebuilt_trie(table(spark, sf_dir, "conversations"))
+
+
 _QUERIES = [
     op1_document_fingerprints, op2_preference_pairs, op3_maxscore_search, op4_language_id, op5_simhash_near_dedup,
     op6_source_mixing, op7_byte_bpe, op8_token_files, op9_quality_resampling, op10_personal_data,
+    op11_secret_scan, op12_hard_negatives, op13_prefix_trie,
 ]
 
 
