@@ -19,7 +19,7 @@ from rosterwise.operators import (  # noqa: E402
     ranking, report, transcripts,
 )
 from rosterwise.plans import driver_views as views  # noqa: E402
-from rosterwise.plans.shortlist import build_shortlist, discover_and_match  # noqa: E402
+from rosterwise.plans.shortlist import build_shortlist, discover_and_match, indexed  # noqa: E402
 from rosterwise.session import cut_lineage  # noqa: E402
 
 TOP_K = 10
@@ -28,8 +28,8 @@ HIGH_BAR = oracles.HIGH_BAR
 
 
 def _inputs(spark, sf_dir):
-    """Jobs and candidates, written once: several branches of a plan read them."""
-    return cut_lineage(views.jobs(spark, sf_dir)), cut_lineage(views.candidates(spark, sf_dir))
+    """Jobs, written once since several branches of a plan read them, and the index of the pool."""
+    return cut_lineage(views.jobs(spark, sf_dir)), indexed(views.candidates(spark, sf_dir), TOP_K)
 
 
 def _joined(column):
@@ -49,8 +49,9 @@ def discovery_top1(spark, sf_dir):
 
 
 def skill_overlap(spark, sf_dir):
-    jobs, people = _inputs(spark, sf_dir)
-    found = discovery.discover(jobs, people, 3 * TOP_K).select("job_id", "candidate_id")
+    jobs, index = _inputs(spark, sf_dir)
+    people = index.people
+    found = discovery.discover(jobs, index, 3 * TOP_K).select("job_id", "candidate_id")
     pairs = found.join(
         jobs.select("job_id", F.concat("required_skills", "nice_to_have").alias("jd_skills")), "job_id"
     ).join(people.select("candidate_id", F.col("skills").alias("cand_skills")), "candidate_id")
@@ -91,10 +92,10 @@ def fuzzy_pairs(spark, sf_dir):
 
 
 def match_factors(spark, sf_dir):
-    jobs, people = _inputs(spark, sf_dir)
-    found = discovery.discover(jobs, people, 3 * TOP_K)
+    jobs, index = _inputs(spark, sf_dir)
+    found = discovery.discover(jobs, index, 3 * TOP_K)
     factor = F.col("factor_breakdown")
-    return matching.match_pairs(found, jobs, people).select(
+    return matching.match_pairs(found, jobs, index.people).select(
         "job_id", "candidate_id", "match_score", "skill_match_score", "experience_match_score",
         "salary_match_score", "location_match_score",
         *[factor[k]["percentage"].alias(f"{k}_percentage") for k in ("skills", "experience", "salary", "location")],
@@ -142,8 +143,8 @@ def market_intel(spark, sf_dir):
 
 
 def _matches(spark, sf_dir):
-    jobs, people = _inputs(spark, sf_dir)
-    return jobs, discover_and_match(jobs, people, top_k=TOP_K)[1]
+    jobs, index = _inputs(spark, sf_dir)
+    return jobs, discover_and_match(jobs, index, top_k=TOP_K)[1]
 
 
 def personas(spark, sf_dir):
@@ -173,8 +174,7 @@ def transcript_markers(spark, sf_dir):
 
 def interest_scores(spark, sf_dir):
     _, matches = _matches(spark, sf_dir)
-    talks = interest.for_each_job(matches, views.recorded_talks(spark, sf_dir))
-    return interest.score_interest(matches, talks).select(
+    return interest.score_interest(matches, views.recorded_talks(spark, sf_dir)).select(
         "job_id", "candidate_id", "enthusiasm_score", "engagement_score", "commitment_score",
         "total_interest_score", F.array_join("positive_signals", " / ").alias("positive_signals"),
         F.array_join("negative_signals", " / ").alias("negative_signals"),
@@ -229,6 +229,17 @@ def report_documents(spark, sf_dir):
     )
 
 
+def report_parts(spark, sf_dir):
+    """Whole documents in parts: every turn of every shortlisted candidate, and the document head."""
+    parts = _shortlist(spark, sf_dir).document_parts()
+    said = F.array_join(F.transform("turns", lambda t: F.concat_ws(":", t["turn"], t["speaker"], t["message"])), "|")
+    return parts.select(
+        "job_id", "rank", "chunk", F.coalesce("candidate_id", F.lit("")).alias("candidate_id"),
+        F.coalesce(F.get_json_object("head", "$.job_title"), F.lit("")).alias("job_title"),
+        F.coalesce(F.array_size("turns"), F.lit(0)).alias("turns"), F.md5(F.coalesce(said, F.lit(""))).alias("said_md5"),
+    )
+
+
 def pool_stats(spark, sf_dir):
     return poolstats.pool_stats(views.candidates(spark, sf_dir))
 
@@ -362,6 +373,7 @@ _QUERIES = [
     match_topk_adaptive, bias_issues, bias_issues_own_lexicon, bias_report, market_intel, personas,
     transcripts_templated, question_and_length_stats, transcript_markers, interest_scores,
     ranked_shortlist, tier_counts, job_funnel, flat_shortlist, summary_unpivot, report_documents,
+    report_parts,
     pool_stats, pool_locations, top_locations, experience_bands, source_files, clean_pool,
     header_check, generate_pool, jd_extraction, jd_decode, jd_rejects, jd_skill_scan,
 ]

@@ -7,7 +7,8 @@ never forms the product:
 1. *Profiles.* Jobs with the same requirements, and candidates with the same skills,
    experience and location, score alike. Both sides shrink to distinct profiles; a
    candidate profile keeps its first K members by pool order (copies beyond K can never
-   reach a top K).
+   reach a top K). The candidates' side is a ``pool_index``, built once per pool. Pairs
+   carry the numbers of their profiles, nothing else of them; members are looked up at the end.
 2. *First list.* Per job profile: the first K profiles of each experience value, the first
    K of each (matching location, experience), and the first K holders of its rarest skill
    in range and in place.
@@ -28,8 +29,6 @@ never forms the product:
 Keys with many pairs are salted on both sides of either join, by counts taken beforehand.
 """
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -37,6 +36,7 @@ from pyspark.sql import functions as F
 from ..functions.numbers import py_round1
 from ..functions.text import anywhere, either_contains, lowered, present
 from ..session import cut_lineage
+from .pool_index import CELL, LAST_BUCKET, PoolIndex, SkillBits, bucket_of, build_index, heads
 
 THRESHOLD = 25.0
 BEST_OTHER = 35.0  # 20 experience + 15 location
@@ -48,17 +48,9 @@ FREQUENT = 10_000
 # A cell of the salted join: at most SEEKERS job rows, about PAIRS_PER_CELL pairs.
 SEEKERS_PER_SALT = 1_000
 PAIRS_PER_CELL = 250_000
-# The most sought skills are compared as bits, BITS to a bigint; the others as strings.
-WORDS, BITS = 4, 62
 # A job location that matches more candidate locations than this is not part of the join
 # key but of the condition.
 KEYED_PLACES = 64
-# Experience values outside 0..99 share one bucket on either side.
-LAST_BUCKET = 100
-
-
-def _bucket(years: Column) -> Column:
-    return F.greatest(F.lit(-1), F.least(F.lit(LAST_BUCKET), years.cast("int")))
 
 
 def _profile_key(*parts: Column) -> Column:
@@ -80,31 +72,6 @@ def job_features(jobs: DataFrame) -> DataFrame:
     return out.withColumn("j_key", key).withColumn("j_anywhere", anywhere(F.col("j_loc")))
 
 
-def candidate_profiles(candidates: DataFrame, keep: int) -> DataFrame:
-    """Distinct profiles with their first ``keep`` members by pool order."""
-    features = candidates.select(
-        F.struct("pool_order", "candidate_id").alias("member"),
-        F.sort_array(F.array_distinct(lowered(F.col("skills")))).alias("c_skills"),
-        F.coalesce("experience_years", F.lit(0)).alias("c_exp"),
-        F.lower(F.coalesce("location", F.lit(""))).alias("c_loc"),
-    ).withColumn("c_key", _profile_key(F.col("c_skills"), F.col("c_exp"), F.col("c_loc")))
-    # row_number() <= keep is cut before the shuffle as well, so a profile that a third of
-    # the pool shares sends `keep` rows per input partition.
-    first = W.partitionBy("c_key").orderBy("member")
-    return (
-        features.withColumn("place", F.row_number().over(first))
-        .filter(F.col("place") <= keep)
-        .groupBy("c_key")
-        .agg(
-            F.first("c_skills").alias("c_skills"),
-            F.first("c_exp").alias("c_exp"),
-            F.first("c_loc").alias("c_loc"),
-            F.sort_array(F.collect_list("member")).alias("members"),
-        )
-        .withColumn("c_first", F.col("members")[0])
-    )
-
-
 def experience_points() -> Column:
     exp = F.col("c_exp")
     return (
@@ -123,46 +90,6 @@ def _share(hits: Column, wanted: Column, points: float) -> Column:
     return F.when(wanted > 0, hits / wanted * points).otherwise(F.lit(0.0))
 
 
-class SkillBits:
-    """A sorted skill array as WORDS bigints of well-known skills and an array of the others."""
-
-    def __init__(self, known: list[str]):
-        self.words = [known[i * BITS : (i + 1) * BITS] for i in range(WORDS)]
-        self.known = F.array(*[F.lit(s) for s in known]).cast("array<string>")
-
-    def encode(self, df: DataFrame, skills: str, prefix: str) -> DataFrame:
-        columns = {f"{prefix}_rare": F.array_except(skills, self.known)}
-        for w, word in enumerate(self.words):
-            columns[f"{prefix}_w{w}"] = self._bits(F.col(skills), word)
-        return df.withColumns(columns)
-
-    @staticmethod
-    def _bits(skills: Column, word: list[str]) -> Column:
-        if not word:
-            return F.lit(0).cast("bigint")
-        cells = [x for i, s in enumerate(word) for x in (F.lit(s), F.lit(1 << i).cast("bigint"))]
-        table = F.create_map(*cells)
-        zero = F.lit(0).cast("bigint")
-        return F.aggregate(
-            skills, zero, lambda m, s: m.bitwiseOR(F.coalesce(F.try_element_at(table, s), zero))
-        )
-
-    @staticmethod
-    def common(a: str, b: str) -> Column:
-        """How many skills ``a`` and ``b`` have in common."""
-        known = [F.bit_count(F.col(f"{a}_w{w}").bitwiseAND(F.col(f"{b}_w{w}"))) for w in range(WORDS)]
-        rare = F.when(
-            F.size(f"{a}_rare") > 0, F.size(F.array_intersect(f"{a}_rare", f"{b}_rare"))
-        ).otherwise(F.lit(0))
-        return sum(known, rare)
-
-    @staticmethod
-    def disjoint(a: str, b: str) -> Column:
-        known = [F.col(f"{a}_w{w}").bitwiseAND(F.col(f"{b}_w{w}")) == 0 for w in range(WORDS)]
-        rare = (F.size(f"{a}_rare") == 0) | ~F.arrays_overlap(f"{a}_rare", f"{b}_rare")
-        return reduce(lambda x, y: x & y, known) & rare
-
-
 def _scored(pairs: DataFrame, bar: Column) -> DataFrame:
     """Score a (job profile, candidate profile) pair; keep those at or over ``bar``."""
     return (
@@ -183,10 +110,7 @@ def _scored(pairs: DataFrame, bar: Column) -> DataFrame:
     )
 
 
-PAIR = [
-    "j_key", "c_key", "c_first", "members", "score", "req_hits", "nice_hits", "exp_points",
-    "loc_points", "j_anywhere",
-]
+PAIR = ["j_no", "c_no", "score", "req_hits", "nice_hits", "exp_points", "loc_points", "j_anywhere"]
 
 
 def _best(pairs: DataFrame, keep: int) -> DataFrame:
@@ -195,12 +119,12 @@ def _best(pairs: DataFrame, keep: int) -> DataFrame:
     The same pair may come from several branches with the same score: ``dense_rank`` gives
     the copies one place, so they are dropped after the cut, within at most ``keep`` places.
     """
-    order = W.partitionBy("j_key").orderBy(F.desc("score"), "c_first", "c_key")
+    order = W.partitionBy("j_no").orderBy(F.desc("score"), "c_no")
     return (
         pairs.select(*PAIR)
         .withColumn("place", F.dense_rank().over(order))
         .filter(F.col("place") <= keep)
-        .dropDuplicates(["j_key", "place"])
+        .dropDuplicates(["j_no", "place"])
     )
 
 
@@ -232,32 +156,21 @@ def location_pairs(job_locations: DataFrame, cand_locations: DataFrame) -> DataF
     return in_candidate.unionByName(in_job).select("j_loc", "c_loc").distinct()
 
 
-def _heads(profiles: DataFrame, keys, keep: int) -> DataFrame:
-    order = W.partitionBy(*keys).orderBy("c_first")
-    return (
-        profiles.withColumn("place", F.row_number().over(order))
-        .filter(F.col("place") <= keep)
-        .drop("place")
-    )
-
-
-def _bucket_pairs(
-    job_profiles: DataFrame, profiles: DataFrame, places: DataFrame, keep: int
-) -> DataFrame:
+def _bucket_pairs(job_profiles: DataFrame, index: PoolIndex, places: DataFrame, keep: int) -> DataFrame:
     """Every job profile with the head of each bucket its skill-less candidates can be in."""
     reach = F.least(F.col("j_min"), F.floor(F.col("j_min") * 0.7).cast("int"))
     last = F.when(F.col("j_anywhere"), F.lit(LAST_BUCKET)).otherwise(
-        F.greatest(_bucket(F.col("j_max")), _bucket(reach))
+        F.greatest(bucket_of(F.col("j_max")), bucket_of(reach))
     )
-    by_years = job_profiles.withColumn("bucket", F.explode(F.sequence(_bucket(reach), last)))
-    heads = _heads(profiles, ["c_exp"], keep).withColumn("bucket", _bucket(F.col("c_exp")))
-    anywhere_pairs = by_years.join(heads, "bucket").drop("bucket")
+    by_years = job_profiles.withColumn("bucket", F.explode(F.sequence(bucket_of(reach), last)))
+    first = index.heads("by_years", ["c_exp"], keep).withColumn("bucket", bucket_of(F.col("c_exp")))
+    anywhere_pairs = by_years.join(first, "bucket").drop("bucket")
 
     placed = job_profiles.filter(~F.col("j_anywhere"))
-    local = places.join(_heads(profiles, ["c_loc", "c_exp"], keep), "c_loc")
-    local_heads = _heads(local, ["j_loc", "c_exp"], keep).withColumn("bucket", _bucket(F.col("c_exp")))
+    local = places.join(index.heads("by_place", ["c_loc", "c_exp"], keep), "c_loc")
+    local_heads = heads(local, ["j_loc", "c_exp"], keep).withColumn("bucket", bucket_of(F.col("c_exp")))
     local_pairs = (
-        placed.withColumn("bucket", F.explode(F.sequence(_bucket(reach), F.lit(LAST_BUCKET))))
+        placed.withColumn("bucket", F.explode(F.sequence(bucket_of(reach), F.lit(LAST_BUCKET))))
         .join(local_heads, ["j_loc", "bucket"])
         .drop("bucket")
     )
@@ -300,9 +213,9 @@ def _prefix(job_skills: DataFrame, frequent: DataFrame, floors: DataFrame) -> Da
     """
     entry = F.struct(F.coalesce("holders", F.lit(0)).alias("holders"), "skill", "worth")
     ordered = (
-        job_skills.select("j_key", "skill", "worth")
+        job_skills.select("j_no", "skill", "worth")
         .join(F.broadcast(frequent.select("skill", "holders")), "skill", "left")
-        .groupBy("j_key")
+        .groupBy("j_no")
         .agg(F.sort_array(F.collect_list(entry)).alias("entries"))
     )
 
@@ -310,14 +223,14 @@ def _prefix(job_skills: DataFrame, frequent: DataFrame, floors: DataFrame) -> Da
         tail = F.slice("entries", at + 1, F.size("entries"))
         return F.aggregate(tail, F.lit(0.0), lambda total, e: total + e.worth)
 
-    placed = ordered.select("j_key", "entries", F.posexplode("entries").alias("at", "entry")).select(
-        "j_key",
+    placed = ordered.select("j_no", "entries", F.posexplode("entries").alias("at", "entry")).select(
+        "j_no",
         F.col("entry.skill").alias("skill"),
         rest(F.col("at")).alias("rest"),
         F.transform(F.slice("entries", F.lit(1), F.col("at")), lambda e: e.skill).alias("earlier"),
     )
     return (
-        placed.join(floors, "j_key", "left")
+        placed.join(floors, "j_no", "left")
         .withColumn("bar", _bar())
         .filter(F.col("rest") + (BEST_OTHER + SLACK) >= F.col("bar"))
     )
@@ -331,13 +244,13 @@ def _bar() -> Column:
 def _floors(best: DataFrame, keep: int) -> DataFrame:
     """Score and order of the last of ``keep`` finds, for job profiles that have so many."""
     return best.filter(F.col("place") == keep).select(
-        "j_key", F.col("score").alias("floor"), F.col("c_first").alias("last")
+        "j_no", F.col("score").alias("floor"), F.col("c_no").alias("last")
     )
 
 
 def _pair_bar() -> Column:
     """The bar of a pair: one that comes after the last find must round to a better score."""
-    earlier = F.col("last").isNull() | (F.col("c_first") < F.col("last"))
+    earlier = F.col("last").isNull() | (F.col("c_no") < F.col("last"))
     return F.when(earlier, F.col("bar")).otherwise(F.greatest("bar", F.col("floor") + 0.05 - SLACK))
 
 
@@ -358,8 +271,8 @@ def _salted(rows: DataFrame, busy: DataFrame, keys, own: str, other: str, spread
 def _meet(seekers: DataFrame, postings: DataFrame, cells: DataFrame, keys) -> DataFrame:
     """Pairs with equal keys whose first common skill this is and whose bound reaches the bar."""
     busy = _busy(cells, seekers, keys)
-    left = _salted(seekers, busy, keys, "j", "c", F.col("j_key"))
-    right = _salted(postings, busy, keys, "c", "j", F.col("c_key"))
+    left = _salted(seekers, busy, keys, "j", "c", F.col("j_no"))
+    right = _salted(postings, busy, keys, "c", "j", F.col("c_no"))
     met = (
         left.join(right, [*keys, "j_salt", "c_salt"])
         .filter(F.col("rest") + experience_points() + location_points() + SLACK >= F.col("bar"))
@@ -374,7 +287,7 @@ def _keyed(seekers: DataFrame, places: DataFrame) -> tuple[DataFrame, DataFrame]
     The second result holds the jobs whose place is no part of the key.
     """
     in_range = seekers.filter("j_min <= j_max").withColumn(
-        "bucket", F.explode(F.sequence(_bucket(F.col("j_min")), _bucket(F.col("j_max"))))
+        "bucket", F.explode(F.sequence(bucket_of(F.col("j_min")), bucket_of(F.col("j_max"))))
     )
     narrow = places.groupBy("j_loc").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") <= KEYED_PLACES)
     keyed = places.join(narrow.select("j_loc"), "j_loc")
@@ -384,9 +297,6 @@ def _keyed(seekers: DataFrame, places: DataFrame) -> tuple[DataFrame, DataFrame]
     return in_place, others
 
 
-CELL = ["skill", "bucket", "c_loc"]
-
-
 def _near(seekers: DataFrame, postings: DataFrame, cells: DataFrame, places: DataFrame) -> DataFrame:
     """Pairs in experience range and, unless the job takes them from anywhere, in place."""
     in_place, others = _keyed(seekers, places)
@@ -396,88 +306,91 @@ def _near(seekers: DataFrame, postings: DataFrame, cells: DataFrame, places: Dat
 
 
 def _first_holders(
-    job_skills: DataFrame, frequent: DataFrame, job_profiles: DataFrame, postings: DataFrame,
-    places: DataFrame, keep: int,
+    job_skills: DataFrame, frequent: DataFrame, job_profiles: DataFrame, index: PoolIndex, places: DataFrame, keep: int
 ) -> DataFrame:
     """Each job profile with the first holders of its rarest skill, in range and in place."""
     rarity = F.struct(F.coalesce("holders", F.lit(0)), "skill")
     rarest = (
         job_skills.join(F.broadcast(frequent.select("skill", "holders")), "skill", "left")
-        .groupBy("j_key")
+        .groupBy("j_no")
         .agg(F.min_by("skill", rarity).alias("skill"))
     )
-    in_place, others = _keyed(rarest.join(job_profiles, "j_key"), places)
-    pairs = in_place.join(_heads(postings, CELL, keep), CELL).unionByName(
-        others.join(_heads(postings, CELL[:2], keep), CELL[:2])
+    in_place, others = _keyed(rarest.join(job_profiles, "j_no"), places)
+    pairs = in_place.join(index.heads("by_cell", CELL, keep), CELL).unionByName(
+        others.join(index.heads("by_cell", CELL[:2], keep), CELL[:2])
     )
     return pairs.drop("skill", "bucket")
 
 
-def discover(jobs: DataFrame, candidates: DataFrame, max_results: int = 20) -> DataFrame:
-    """``job_id, candidate_id, discovery_rank, discovery_score, discovery_reason``."""
+def _spread(rows: DataFrame) -> DataFrame:
+    """``rows`` over all shuffle partitions: few bytes of jobs mean many pairs, so small tables mustn't end in one task."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "j_no")
+
+
+def discover(jobs: DataFrame, candidates: DataFrame | PoolIndex, max_results: int = 20) -> DataFrame:
+    """``job_id, candidate_id, discovery_rank, discovery_score, discovery_reason``.
+
+    ``candidates`` is a pool, or its index, which has to keep ``max_results`` heads at least.
+    """
     keep = max_results
+    index = candidates if isinstance(candidates, PoolIndex) else build_index(candidates, keep=keep)
+    if index.keep < keep:
+        raise ValueError(f"the index keeps {index.keep} heads, {keep} are needed")
     features = cut_lineage(job_features(jobs))
-    profiles = cut_lineage(candidate_profiles(candidates, keep))
-    job_profiles = features.drop("job_id").dropDuplicates(["j_key"])
-    job_skills = cut_lineage(_job_skills(job_profiles).select("j_key", "skill", "worth"))
-    bucket = _bucket(F.col("c_exp")).alias("bucket")
-    cells = cut_lineage(
-        profiles.select(F.explode("c_skills").alias("skill"), bucket, "c_loc")
-        .groupBy("skill", "bucket", "c_loc")
-        .agg(F.count(F.lit(1)).alias("holders"))
+    numbered = cut_lineage(
+        features.drop("job_id").dropDuplicates(["j_key"]).withColumn("j_no", F.monotonically_increasing_id())
     )
+    job_profiles = numbered.drop("j_key")
+    job_skills = cut_lineage(_spread(_job_skills(job_profiles).select("j_no", "skill", "worth")))
+    postings, cells = index.table("postings"), index.table("cells")
     frequent = cut_lineage(_busy(cells, job_skills, ["skill"]))
     places = cut_lineage(
         location_pairs(
             job_profiles.filter(~F.col("j_anywhere")).select("j_loc").distinct(),
-            profiles.select("c_loc").distinct(),
+            index.table("by_place").select("c_loc").distinct(),
         )
     )
-    known = frequent.orderBy(F.desc("pairs"), "skill").limit(WORDS * BITS).select("skill").collect()
-    bits = SkillBits([row.skill for row in known])  # at most WORDS * BITS names
+    bits = index.bits
     job_profiles = bits.encode(bits.encode(job_profiles, "j_req", "j_req"), "j_nice", "j_nice")
-    job_profiles = job_profiles.withColumn("n_req", F.size("j_req")).withColumn(
-        "n_nice", F.size("j_nice")
-    ).drop("j_req", "j_nice")
-    encoded = cut_lineage(bits.encode(profiles, "c_skills", "c"))
-    profiles = encoded.drop("c_skills")
-    postings = (
-        encoded.withColumn("skill", F.explode("c_skills")).drop("c_skills").withColumn("bucket", bucket)
-    )
+    job_profiles = cut_lineage(_spread(
+        job_profiles.withColumn("n_req", F.size("j_req")).withColumn("n_nice", F.size("j_nice")).drop("j_req", "j_nice")
+    ))
 
-    first_pairs = _bucket_pairs(job_profiles, profiles, places, keep).unionByName(
-        _first_holders(job_skills, frequent, job_profiles, postings, places, keep)
+    first_pairs = _bucket_pairs(job_profiles, index, places, keep).unionByName(
+        _first_holders(job_skills, frequent, job_profiles, index, places, keep)
     )
     first = cut_lineage(_best(_scored(first_pairs, F.lit(THRESHOLD)), keep))
 
     prefix = bits.encode(_prefix(job_skills, frequent, _floors(first, keep)), "earlier", "earlier")
-    seekers = cut_lineage(prefix.drop("earlier").join(job_profiles, "j_key"))
+    seekers = cut_lineage(_spread(prefix.drop("earlier").join(job_profiles, "j_no")))
     near = _near(seekers, postings, cells, places)
     second = cut_lineage(_best(first.select(*PAIR).unionByName(near), keep))
 
     lifted = (
         seekers.drop("floor", "last")
-        .join(_floors(second, keep), "j_key", "left")
+        .join(_floors(second, keep), "j_no", "left")
         .withColumn("bar", F.greatest("bar", _bar()))
         .filter(F.col("rest") + (NEXT_OTHER + SLACK) >= F.col("bar"))
     )
     far = _meet(lifted, postings, cells, ["skill"])
 
-    unfold = W.partitionBy("j_key").orderBy(F.desc("score"), "member")
+    unfold = W.partitionBy("j_no").orderBy(F.desc("score"), "member")
     top = (
         _best(second.select(*PAIR).unionByName(far), keep)
+        .join(index.table("members").select("c_no", "members"), "c_no")
         .withColumn("member", F.explode("members"))
         .withColumn("discovery_rank", F.row_number().over(unfold))
         .filter(F.col("discovery_rank") <= keep)
         .select(
-            "j_key",
+            "j_no",
             F.col("member.candidate_id").alias("candidate_id"),
             "discovery_rank",
             F.col("score").alias("discovery_score"),
             _reason().alias("discovery_reason"),
         )
     )
-    return features.select("job_id", "j_key").join(top, "j_key").drop("j_key")
+    keyed = features.select("job_id", "j_key").join(numbered.select("j_key", "j_no"), "j_key")
+    return keyed.join(top, "j_no").drop("j_key", "j_no")
 
 
 def _reason() -> Column:

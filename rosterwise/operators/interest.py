@@ -165,7 +165,11 @@ def for_each_job(matches: DataFrame, transcripts: DataFrame) -> DataFrame:
 
 
 def score_interest(matches: DataFrame, transcripts: DataFrame, markers=None) -> DataFrame:
-    """Interest of every matched pair; a pair without a transcript gets the default signals."""
+    """Interest of every matched pair; a pair without a transcript gets the default signals.
+
+    Nothing that is read from a talk depends on the job, so talks without a ``job_id`` are folded once per
+    candidate, however many jobs the candidate matches, and the signals are joined to the pairs.
+    """
     m = markers or Markers()
     keys = ["job_id", "candidate_id"]
     person = F.col("raw_candidate")
@@ -175,10 +179,12 @@ def score_interest(matches: DataFrame, transcripts: DataFrame, markers=None) ->
         lowered(person["skills"]).alias("skills"),
         F.coalesce(person["notice_period_days"], F.lit(60)).alias("notice"),
     )
-    turns = transcripts.select(*keys, "turn", "speaker", "message").join(
-        pairs.select(*keys, "skills"), keys
-    )
-    rows = pairs.join(transcript_signals(turns, keys, m, "skills"), keys, "left")
+    # People are told apart by id and skills: the skills are looked for in what was said.
+    talked_by = [*[k for k in keys if k in transcripts.columns], "skills"]
+    people = pairs.select(*talked_by).distinct()
+    turns = transcripts.select(*talked_by[:-1], "turn", "speaker", "message").join(people, talked_by[:-1])
+    signals = transcript_signals(turns.withColumn("own", F.col("skills")), talked_by, m, "own")
+    rows = pairs.join(signals, talked_by, "left")
 
     none = F.array().cast("array<string>")
     average = F.col("chars") / F.greatest(F.col("n"), F.lit(1))

@@ -31,7 +31,8 @@ def flat_shortlist(ranked: DataFrame) -> DataFrame:
     )
 
 
-# Turns of a chunk. A document holds the first chunk of a transcript and says how many turns there are.
+# Turns of a chunk. A nested document holds the first chunk of a transcript and says how many turns there
+# are; the parts of a document hold all of them.
 CHUNK_TURNS = 1_000
 
 
@@ -62,6 +63,46 @@ def transcript_chunks(ranked: DataFrame, transcripts: DataFrame) -> DataFrame:
     return placed.withColumn("chunk", chunk).groupBy(*keys, "chunk").agg(F.sort_array(F.collect_list(turn)).alias("turns"))
 
 
+def document_parts(documents: DataFrame, ranked: DataFrame, transcripts: DataFrame) -> DataFrame:
+    """Whole documents in bounded rows: ``job_id, rank, chunk, candidate_id, head, turns``.
+
+    Of each job first (rank 0, chunk 0) the document without transcripts as JSON in ``head``; then for each ranked
+    candidate the chunks of the transcript in order. (rank, chunk) number the parts, so no task has to see a
+    document to number it. ``documents`` come from ``report_documents`` without transcripts.
+    """
+    chunks = transcript_chunks(ranked, transcripts)
+    ranks = ranked.select("job_id", "candidate_id", "rank")
+    said = chunks.join(ranks, ["job_id", "candidate_id"]).select(
+        "job_id", F.col("rank").cast("int").alias("rank"), "chunk", "candidate_id", F.lit(None).cast("string").alias("head"), "turns"
+    )
+    zero = F.lit(0)
+    heads = documents.select(
+        "job_id", zero.alias("rank"), zero.alias("chunk"), F.lit(None).cast("string").alias("candidate_id"),
+        F.to_json(F.struct(*documents.columns)).alias("head"), F.lit(None).cast(said.schema["turns"].dataType).alias("turns"),
+    )
+    return heads.unionByName(said)
+
+
+def part_counts(parts: DataFrame) -> DataFrame:
+    """``job_id, rank, parts, turns``: what a reader has to find of each document head and transcript."""
+    return parts.groupBy("job_id", "rank").agg(
+        F.count(F.lit(1)).alias("parts"), F.sum(F.coalesce(F.array_size("turns"), F.lit(0))).cast("long").alias("turns")
+    )
+
+
+def whole_documents(parts: DataFrame) -> DataFrame:
+    """``job_id, head, transcripts``: parts put together, transcripts as structs of rank, candidate_id and turns.
+
+    A row holds a whole document: for jobs whose transcripts fit one; others are read part by part.
+    """
+    pieces = F.array_sort(F.collect_list(F.struct("chunk", "turns")))
+    one = parts.filter("rank > 0").groupBy("job_id", "rank", "candidate_id").agg(
+        F.flatten(F.transform(pieces, lambda p: p["turns"])).alias("turns")
+    )
+    said = one.groupBy("job_id").agg(F.array_sort(F.collect_list(F.struct("rank", "candidate_id", "turns"))).alias("transcripts"))
+    return parts.filter("rank = 0").select("job_id", "head").join(said, "job_id", "left")
+
+
 def _nested_turns(ranked: DataFrame, transcripts: DataFrame) -> DataFrame:
     """First chunk per pair, and the number of all turns."""
     keys = ["job_id", "candidate_id"]
@@ -76,6 +117,8 @@ def report_documents(
 ) -> DataFrame:
     """One nested document per job with a shortlist; ``summary`` comes from ``tier_counts``.
 
+    For whole documents whatever the length of their transcripts see ``document_parts``.
+
     A transcript of more than CHUNK_TURNS turns goes on in ``transcript_chunks``; its
     ``conversation_turns`` says so.
 

@@ -1,11 +1,12 @@
-"""New job descriptions as a file stream, shortlisted against a static pool."""
+"""New job descriptions as a file stream, shortlisted against an indexed pool."""
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.jd import extract_jobs
-from ..plans.shortlist import build_shortlist
+from ..operators.pool_index import PoolIndex
+from ..plans.shortlist import build_shortlist, indexed
 from ..sources.texts import job_id_below
 
 
@@ -20,16 +21,18 @@ def jd_text_stream(spark: SparkSession, path: str) -> DataFrame:
 
 
 def shortlist_stream(
-    texts: DataFrame, candidates: DataFrame, vocabulary: DataFrame, out: str, checkpoint: str, **options
+    texts: DataFrame, candidates: DataFrame | PoolIndex, vocabulary: DataFrame, out: str, checkpoint: str, **options
 ) -> StreamingQuery:
     """Write the flat shortlist of every batch below ``out``, one folder per batch.
 
-    A batch that is run again after a failure replaces its own folder.
+    The pool is indexed once, before the first batch; batches read the index only. A batch that is run again
+    after a failure replaces its own folder.
     """
+    index = indexed(candidates, options.get("top_k", 10))
 
     def run(batch: DataFrame, batch_id: int) -> None:
         jobs = extract_jobs(batch, vocabulary)
-        flat = build_shortlist(jobs, candidates, **options).flat()
+        flat = build_shortlist(jobs, index, **options).flat()
         renamed = flat.toDF(*[c.lower().replace(" ", "_") for c in flat.columns])
         renamed.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 

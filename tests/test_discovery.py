@@ -1,9 +1,11 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
+
 from fixtures import GOLD_JOB, GOLD_PERSON, job, jobs_df, person, pool_df
 
-from rosterwise.operators import discovery
+from rosterwise.operators import discovery, pool_index
 from rosterwise.operators.discovery import discover, location_pairs
 
 
@@ -89,8 +91,8 @@ def test_same_result_with_tiny_salts_and_few_known_skills(spark, monkeypatch):
     monkeypatch.setattr(discovery, "SEEKERS_PER_SALT", 2)
     monkeypatch.setattr(discovery, "PAIRS_PER_CELL", 7)
     monkeypatch.setattr(discovery, "KEYED_PLACES", 2)
-    monkeypatch.setattr(discovery, "WORDS", 2)
-    monkeypatch.setattr(discovery, "BITS", 2)
+    monkeypatch.setattr(pool_index, "WORDS", 2)
+    monkeypatch.setattr(pool_index, "BITS", 2)
     jobs, pool = random_case(spark, 4)
     assert by_plan(jobs, pool.repartition(7), 6) == by_hand(jobs, pool, 6)
 
@@ -114,3 +116,36 @@ def test_plan_has_no_product_and_cuts_before_shuffling(spark, capsys):
     plan = capsys.readouterr().out
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
     assert "WindowGroupLimit" in plan
+
+
+def test_stored_index_serves_many_job_tables_and_grows(spark, tmp_path):
+    jobs, pool = random_case(spark, 6)
+    rows = sorted(pool.collect(), key=lambda c: c.pool_order)
+    half = len(rows) // 2
+    first = spark.createDataFrame(rows[:half], pool.schema)
+    # A later file counts its rows from 0; the index puts them behind those it has.
+    offset = rows[half - 1].pool_order + 1
+    second = spark.createDataFrame(rows[half:], pool.schema).withColumn("pool_order", F.col("pool_order") - offset)
+    index = pool_index.build_index(first, str(tmp_path / "index"), keep=6)
+    assert by_plan(jobs, index, 6) == by_hand(jobs, first, 6)
+    grown = index.extend(second)
+    assert grown.segments == (0, 1) and grown.people.count() == len(rows)
+    assert by_plan(jobs, grown, 6) == by_hand(jobs, pool, 6)
+    again = pool_index.open_index(spark, str(tmp_path / "index"))
+    some = jobs.filter("job_id like 'J1%'")
+    assert by_plan(some, again, 4) == by_hand(some, pool, 4)
+    with pytest.raises(ValueError, match="heads"):
+        discover(jobs, again, 7)
+
+
+def test_segment_without_manifest_does_not_count(spark, tmp_path):
+    _, pool = random_case(spark, 7)
+    path = str(tmp_path / "index")
+    with pytest.raises(ValueError, match="no index"):
+        pool_index.open_index(spark, path)
+    index = pool_index.build_index(pool, path, keep=3)
+    pool.write.parquet(f"{path}/segment-1/people")  # cut off before its end
+    assert pool_index.open_index(spark, path).segments == (0,)
+    more = index.extend(pool.limit(0))
+    assert more.segments == (0, 1) and more.people.count() == pool.count()
+    assert pool_index.build_index(pool.limit(0), keep=3).table("postings").count() == 0

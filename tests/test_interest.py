@@ -8,7 +8,7 @@ from rosterwise.operators import interest as I
 from rosterwise.operators.matching import match_pairs
 from rosterwise.operators.ranking import rank_candidates
 from rosterwise.operators.transcripts import personas, templated_transcripts
-from rosterwise.plans.shortlist import build_shortlist
+from rosterwise.plans.shortlist import build_shortlist, discover_and_match
 
 
 def matched(spark, jobs, pool):
@@ -20,7 +20,9 @@ def matched(spark, jobs, pool):
 
 
 def test_worked_example_from_pool_to_rank(spark):
-    plan = build_shortlist(jobs_df(spark, [GOLD_JOB]), pool_df(spark, [GOLD_PERSON]))
+    jobs, pool = jobs_df(spark, [GOLD_JOB]), pool_df(spark, [GOLD_PERSON])
+    talks = templated_transcripts(discover_and_match(jobs, pool)[1], jobs)
+    plan = build_shortlist(jobs, pool, talks)
     signals = plan.interest.collect()[0]
     assert (signals.enthusiasm_score, signals.engagement_score, signals.commitment_score) == (30.0, 13.0, 30.0)
     assert signals.total_interest_score == 73.0
@@ -130,3 +132,42 @@ def test_chunks_number_turns_within_slices(spark, monkeypatch):
     plan = chunks._jdf.queryExecution().optimizedPlan().toString()
     windows = [x for x in plan.splitlines() if "Window [row_number()" in x]
     assert windows and all("_slice" in x for x in windows)
+
+
+def test_without_talks_every_pair_has_the_default_signals(spark):
+    plan = build_shortlist(jobs_df(spark, [GOLD_JOB]), pool_df(spark, [GOLD_PERSON]))
+    signals = plan.interest.collect()[0]
+    assert (signals.enthusiasm_score, signals.engagement_score, signals.commitment_score) == (20.0, 10.0, 15.0)
+    assert not signals.conversation_completed and plan.turns().count() == 0
+    assert plan.documents().collect()[0].candidates[0].conversation_transcript is None
+
+
+def test_a_talk_is_folded_once_however_many_jobs_match(spark, monkeypatch):
+    folded = []
+    plain = I.transcript_signals
+
+    def counted(turns, *args):
+        folded.append(turns.count())
+        return plain(turns, *args)
+
+    monkeypatch.setattr(I, "transcript_signals", counted)
+    jobs = [job(f"J{i}", ["Go", "SQL"]) for i in range(1000)]
+    pool = [person(1, ["Go", "Rust"]), person(2, ["SQL"], notice=90), person(3, ["Go"])]
+    matches = matched(spark, jobs, pool)
+    said = [(None, "C1", t, "candidate", f"I love Go? open to {t}") for t in range(5)] + [(None, "C2", 0, "candidate", "not sure")]
+    talks = turns_df(spark, said).drop("job_id")
+    got = {(r.job_id, r.candidate_id): tuple(r)[2:] for r in I.score_interest(matches, talks).collect()}
+    assert folded == [6] and len(got) == 3000
+    copied = matches.select("job_id", "candidate_id").join(talks, "candidate_id")
+    assert got == {(r.job_id, r.candidate_id): tuple(r)[2:] for r in I.score_interest(matches, copied).collect()}
+    assert folded == [6, 6000]
+    assert all(got[f"J{i}", "C1"] == got["J0", "C1"] for i in range(1000)) and got["J7", "C1"] != got["J7", "C2"]
+
+
+def test_one_id_with_two_sets_of_skills(spark):
+    """Skills said are those of the row that was matched, also where an id stands for two people."""
+    matches = matched(spark, [job("A", ["Go"])], [person(1, ["Go"])]).union(matched(spark, [job("B", ["Rust"])], [person(1, ["Rust"])]))
+    talks = turns_df(spark, [(None, "C1", 0, "candidate", "go and rust")]).drop("job_id")
+    got = {r.job_id: r.positive_signals for r in I.score_interest(matches, talks).collect()}
+    assert "Self-identified skill fit: go" in got["A"] and "Self-identified skill fit: rust" in got["B"]
+    assert "Self-identified skill fit: rust" not in got["A"] and "Self-identified skill fit: go" not in got["B"]

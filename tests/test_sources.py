@@ -1,17 +1,22 @@
 import json
 
 import pytest
-from fixtures import GOLD_JOB, GOLD_PERSON, jobs_df, person, pool_df
+from fixtures import GOLD_JOB, GOLD_PERSON, jobs_df, person, pool_df, turns_df
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from rosterwise.functions.constants import POOL_HEADERS
 from rosterwise.operators import cleaning
+from rosterwise.operators.pool_index import build_index
 from rosterwise.operators.poolstats import experience_bands, pool_locations, pool_stats, source_files, top_locations
-from rosterwise.plans.shortlist import build_shortlist
+from rosterwise.operators.report import whole_documents
+from rosterwise.operators.transcripts import templated_transcripts
+from rosterwise.plans.shortlist import build_shortlist, discover_and_match
 from rosterwise.schemas import CANDIDATES
 from rosterwise.sources.pool import open_pool, read_pool, scan_pool, with_file_order
-from rosterwise.sources.sinks import write_reports, write_table
+from rosterwise.sources.sinks import read_document_parts, write_document_parts, write_reports, write_table
 from rosterwise.sources.texts import read_jd_texts
+from rosterwise.streaming.jd_stream import jd_text_stream, shortlist_stream
 
 HEADER = ",".join(POOL_HEADERS.values())
 
@@ -97,7 +102,8 @@ def test_statistics(spark):
 
 
 def test_sinks_and_text_source(spark, tmp_path):
-    plan = build_shortlist(jobs_df(spark, [(*GOLD_JOB[:-1], "x" * 60)]), pool_df(spark, [GOLD_PERSON]))
+    jobs, pool = jobs_df(spark, [(*GOLD_JOB[:-1], "x" * 60)]), pool_df(spark, [GOLD_PERSON])
+    plan = build_shortlist(jobs, pool, templated_transcripts(discover_and_match(jobs, pool)[1], jobs))
     write_reports(plan.documents(), str(tmp_path / "reports"))
     document = json.loads("".join(f.read_text() for f in (tmp_path / "reports").glob("part*.json")))
     assert document["job_title"] == "Senior AI Engineer" and document["summary"]["fast_track"] == 1
@@ -139,3 +145,55 @@ def test_fractions_in_json_pools_are_cut(spark, tmp_path):
     (tmp_path / "p.json").write_text(json.dumps([{"id": "A", "name": "N", "experience_years": 3.5, "salary_expectation_lpa": 18.5}]))
     row = read_pool(spark, str(tmp_path / "p.json")).collect()[0]
     assert (row.candidate_id, row.experience_years, row.salary_expectation_lpa) == ("A", 3, 18)
+
+
+def test_transcripts_of_any_length_come_back_whole(spark, tmp_path):
+    talks = [(None, "C001", None, "candidate", "no number")] + [(None, "C001", t, "candidate", f"message {t}") for t in range(5000)]
+    talks += [(None, "C2", 0, "recruiter", None)]
+    pool = pool_df(spark, [GOLD_PERSON, person(2, ["Python", "LLM"], 4, "Bangalore", 20), person(3, ["Python", "LLM"], 4, "Goa", 20)])
+    jobs = [GOLD_JOB, ("H", *GOLD_JOB[1:])]
+    plan = build_shortlist(jobs_df(spark, jobs), pool, turns_df(spark, talks).drop("job_id"))
+    path = str(tmp_path / "parts")
+    write_document_parts(plan.document_parts(), path)
+    parts = read_document_parts(spark, path)
+    assert parts.filter("candidate_id = 'C001'").count() == 2 * 6 and parts.agg({"chunk": "max"}).collect()[0][0] == 5
+    whole = {r.job_id: r for r in whole_documents(parts).collect()}
+    assert set(whole) == {"G", "H"}
+    for r in whole.values():
+        head = json.loads(r.head)
+        assert [c["candidate_id"] for c in head["candidates"]][:2] and "conversation_transcript" not in head["candidates"][0]
+        said = {t.candidate_id: [(x.turn, x.message) for x in t.turns] for t in r.transcripts}
+        assert said == {"C001": [(None, "no number"), *[(t, f"message {t}") for t in range(5000)]], "C2": [(0, None)]}
+    # A part that is gone is noticed.
+    lost = str(tmp_path / "lost")
+    write_document_parts(plan.document_parts(), lost)
+    parts.filter("chunk <> 3").write.mode("overwrite").parquet(f"{lost}/parts")
+    with pytest.raises(ValueError, match="manifest"):
+        read_document_parts(spark, lost)
+    with pytest.raises(AnalysisException):
+        read_document_parts(spark, str(tmp_path / "nothing"))
+
+
+def test_two_batches_read_the_pool_once(spark, tmp_path):
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    rows = pool_df(spark, [GOLD_PERSON, *[person(i, ["Python", "LLM"], 4, "Bangalore", 20) for i in range(2, 30)]])
+    pool = rows.mapInArrow(counted, rows.schema)
+    texts = tmp_path / "jds"
+    texts.mkdir()
+    body = "Job Title: Senior AI Engineer\n\nLocation: Bangalore\n\nRequirements:\n- 3-6 years of practice\n- Python\n- LLM\n"
+    skills = spark.createDataFrame([("Python",), ("LLM",)], "skill string")
+    index = build_index(pool, str(tmp_path / "index"), keep=30)
+    out = str(tmp_path / "out")
+    for name in ("first", "second"):
+        (texts / f"{name}.txt").write_text(body)
+        query = shortlist_stream(jd_text_stream(spark, str(texts)), index, skills, out, str(tmp_path / "state"))
+        query.awaitTermination()
+    found = spark.read.parquet(out)
+    assert found.select("batch").distinct().count() == 2 and found.groupBy("job_id").count().collect()[0][1] == 10
+    assert read.value == 29
