@@ -10,7 +10,7 @@ The dictionary is trained on the serialised ids of SAMPLE runs of SAMPLE_CHARS c
 hashed places of whole documents; it only changes sizes, never ids. Each document ends with END_ID.
 
 Cases: a null text is an empty one and has the end id alone; rows with equal ids go by text; null ids
-come first; an empty table gives empty files; other columns are left out.
+come first; strings of added tokens are those tokens, as in the library; an empty table gives empty files; other columns are left out.
 """
 
 import functools
@@ -45,7 +45,8 @@ class LibraryEncoder:
     """Ids by the tokenizers library; each distinct pre-token goes through it once while it is kept.
 
     The file's pre-tokenizer splits by the pattern that ``pretokens`` splits by, and its model works
-    on each pre-token alone.
+    on each pre-token alone. A text that holds the string of an added token, which the library looks for
+    before all else, goes through it whole.
     """
 
     def __init__(self, path: str):
@@ -53,7 +54,7 @@ class LibraryEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.added = [token.content for token in self.tokenizer.get_added_tokens_decoder().values()]
         if self.tokenizer.get_vocab_size() > np.iinfo(STORED).max + 1:
             raise ValueError("the vocabulary doesn't fit the stored ids")
         self.young: dict[bytes, bytes] = {}
@@ -74,8 +75,17 @@ class LibraryEncoder:
         return out
 
     def encode(self, texts):
-        for ids in encode_texts(texts, self.encode_words):
-            yield np.append(ids, np.uint32(END_ID))
+        whole = {}
+
+        def plain():
+            for i, text in enumerate(texts):
+                if any(token in text for token in self.added):
+                    whole[i] = self.tokenizer.encode(text, add_special_tokens=False).ids
+                    text = ""
+                yield text
+
+        for i, ids in enumerate(encode_texts(plain(), self.encode_words)):
+            yield np.append(np.array(whole.pop(i), np.uint32) if i in whole else ids, np.uint32(END_ID))
 
 
 @functools.lru_cache(maxsize=1)
@@ -155,7 +165,8 @@ def write_token_files(docs: DataFrame, path: str, folder: str) -> None:
     ).coalesce(1).write.parquet(f"{folder}/dictionary")
     order = ["doc_id", "text"]
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.repartitionByRange(parts, "doc_id", F.xxhash64("text")).sortWithinPartitions(*order)
+    # Heads of texts cut the ranges in the order that whole texts have within them.
+    dealt = rows.repartitionByRange(parts, "doc_id", F.left("text", F.lit(64))).sortWithinPartitions(*order)
     blocks = dealt.mapInArrow(_pack(path, spark.sparkContext.broadcast(content)), BLOCKS)
     blocks.write.parquet(f"{folder}/blocks")
 

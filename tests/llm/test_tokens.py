@@ -38,7 +38,6 @@ def test_ids_are_those_of_the_libraries(ranks, texts):
         assert ids.tolist() == library.encode_ordinary(text)
         assert decoder.decode(ids) == text.encode()
     tokenizer = Tokenizer.from_file(JSON)
-    tokenizer.encode_special_tokens = True
     for text, ids in zip(texts, token_files.LibraryEncoder(JSON).encode(texts), strict=True):
         assert ids.tolist() == [*tokenizer.encode(text, add_special_tokens=False).ids, token_files.END_ID]
 
@@ -68,7 +67,6 @@ def test_round_trip_of_rows(odd_docs, no_docs, ranks):
 def test_files_read_back(spark, odd_docs, no_docs, tmp_path, monkeypatch):
     monkeypatch.setattr(token_files, "BLOCK_BYTES", 500)  # several blocks per shard
     tokenizer = Tokenizer.from_file(JSON)
-    tokenizer.encode_special_tokens = True
     token_files.write_token_files(odd_docs, JSON, str(tmp_path / "files"))
     got = sorted(map(tuple, token_files.token_index(spark, str(tmp_path / "files")).collect()), key=lambda r: r[1])
     rows = sorted(odd_docs.collect(), key=lambda r: (r.doc_id is not None, r.doc_id or 0, r.text or ""))
@@ -86,6 +84,17 @@ def test_files_read_back(spark, odd_docs, no_docs, tmp_path, monkeypatch):
     assert token_files.token_index(spark, str(tmp_path / "none")).count() == 0
 
 
+def test_added_tokens_and_rows_of_one_id(spark, tmp_path):
+    encoder, tokenizer = token_files.LibraryEncoder(JSON), Tokenizer.from_file(JSON)
+    assert next(encoder.encode(["a <|endoftext|> b"])).tolist() == [*tokenizer.encode("a <|endoftext|> b", add_special_tokens=False).ids, 0]
+    rows = [(7, f"{i * 7919 % 3000:04d} " + "x" * (i % 90)) for i in range(3000)] + [(None, "b"), (None, "a"), (8, "<|endoftext|>")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    token_files.write_token_files(docs, JSON, str(tmp_path / "one"))
+    got = token_files.token_index(spark, str(tmp_path / "one")).orderBy("start").collect()
+    want = [tokenizer.encode(t, add_special_tokens=False).ids for _, t in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1]))]
+    assert [r.ids_crc32 for r in got] == [zlib.crc32(np.array([*ids, 0], "<u4").tobytes()) for ids in want]
+
+
 def test_dictionary_sample_reaches_the_ends_of_documents(spark, monkeypatch):
     monkeypatch.setattr(token_files, "SAMPLE_CHARS", 100)
     texts = ["".join(f"{d}-{i:05d} " for i in range(500)) for d in range(3)] + ["short", "", None]
