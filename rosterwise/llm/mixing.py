@@ -19,7 +19,7 @@ source of its own, the last; equal rows are queued one after another; an empty t
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .tables import words_of
+from .tables import packed, unpacked, words_of
 
 #: By code point order of the sources, repeating; most copies of a document.
 WEIGHTS, COPIES = (5, 2, 1), 3
@@ -106,16 +106,17 @@ def mix(docs: DataFrame, weights=WEIGHTS, copies=COPIES) -> DataFrame:
 
     A cut copy keeps its first words, blank-joined, and n_chars, if there is one, counts what is kept.
     """
-    rows = sent(docs, weights, copies)
+    names = ["doc_id", "source", "text"]
+    rows = sent(packed(docs, names), weights, copies)
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = rows.repartitionByRange(parts, "_finish", "_shuffle").sortWithinPartitions("_finish", "_shuffle")
     cut = F.col("_words") < F.col("_size")
     head = F.array_join(F.slice(words_of(F.col("text")), F.lit(1), F.col("_words").cast("int")), " ")
-    ordered = ordered.withColumn("text", F.when(cut, head).otherwise(F.col("text")))
+    changed = {"text": F.when(cut, head).otherwise(F.col("text"))}
     if "n_chars" in docs.columns:
-        kept = F.when(cut, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-        ordered = ordered.withColumn("n_chars", kept)
-    return ordered.select(*docs.columns)
+        n_chars = F.char_length(head).cast(docs.schema["n_chars"].dataType)
+        changed["n_chars"] = F.when(cut, n_chars).otherwise(F.col("row").getField("n_chars"))
+    return unpacked(ordered, docs, names, **changed)
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from rosterwise.session import cut_lineage
 
 from .components import components
-from .tables import LOWER, UPPER, explode_shingles, hex16, votes
+from .tables import LOWER, UPPER, explode_shingles, hex16, packed, unpacked, votes
 
 SHINGLE_WORDS, MAX_BITS = 3, 3
 POSITIONS = 8
@@ -170,10 +170,11 @@ def keep_one(docs: DataFrame, words=SHINGLE_WORDS, max_bits=MAX_BITS) -> DataFra
     kept = found.groupBy("root").agg(F.min(first).alias("f")).select(
         F.col("f.doc_id").alias("_id"), F.col("f.text_hash").alias("_hash")
     )
-    hashed = docs.withColumn("_text_hash", F.xxhash64(F.coalesce(docs["text"], F.lit(""))))
+    names = ["doc_id", "text"]
+    hashed = packed(docs, names).withColumn("_text_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
     rows = hashed.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_hash")))
     # Equal rows (id and text) are one document.
-    return rows.dropDuplicates(["doc_id", "_text_hash"]).select(*[docs[c] for c in docs.columns])
+    return unpacked(rows.dropDuplicates(["doc_id", "_text_hash"]), docs, names)
 
 
 def document_components(docs: DataFrame) -> DataFrame:

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from rosterwise.session import cut_lineage
 
 from .ngrams import counted, hashed
-from .tables import ranked
+from .tables import packed, ranked, unpacked
 
 BUCKETS = 1 << 16
 #: Labelled rows that are fitted on at most; weight of the good ones' share against the bad ones'.
@@ -132,5 +132,6 @@ def resample(docs: DataFrame, labels: DataFrame, limit=FIT) -> DataFrame:
 def keep(docs: DataFrame, labels: DataFrame, limit=FIT) -> DataFrame:
     """``docs`` without the documents that the classifier rejects."""
     kept = resample(docs, labels, limit).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
-    same = docs["doc_id"].eqNullSafe(F.col("_id")) & (text_hash() == F.col("_hash"))
-    return docs.join(kept, same, "left_semi")
+    names = ["doc_id", "text"]
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (text_hash() == F.col("_hash"))
+    return unpacked(packed(docs, names).join(kept, same, "left_semi"), docs, names)

@@ -18,6 +18,19 @@ def table(spark, sf_dir, name) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def packed(docs: DataFrame, names: list[str]) -> DataFrame:
+    """``names`` of ``docs`` and ``row``, a struct of all its other columns, whose names can't clash with any in there."""
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in names]
+    return docs.select(*names, (F.struct(*others) if others else F.lit(None)).alias("row"))
+
+
+def unpacked(rows: DataFrame, docs: DataFrame, names: list[str], **changed) -> DataFrame:
+    """The columns of ``docs`` from ``packed`` rows; ``changed`` columns take the place of those of their name."""
+    return rows.select(*[
+        changed.get(c, F.col(c) if c in names else F.col("row").getField(c)).alias(c) for c in docs.columns
+    ])
+
+
 def words_of(text: Column) -> Column:
     """Words between white space; one empty word where there is none."""
     return F.split(F.btrim(F.coalesce(text, F.lit("")), F.lit(BLANKS)), GAPS)

@@ -30,10 +30,27 @@ def test_stages_follow_one_another(spark, sf_dir):
     assert Counter((r.doc_id, r.n_tokens, r.decoded_sha256) for r in got) == want
 
 
+def test_columns_of_any_name_come_through(spark):
+    """Every stage keeps what columns hold whose names the operators use themselves, and decides as without them."""
+    names = ["_id", "_hash", "_text_hash", "_size", "_words", "_text", "_spans", "row", "root", "rank", "log_weight"]
+    texts = [f"the house number {i} was red and mail a{i}@b.cd went out to 10.0.0.{i}" for i in range(25)]
+    rows = [(i, t, "en", "ab"[i % 2], len(t or "")) for i, t in enumerate([*texts, texts[3], "zz zz zz", None])]
+    plain = "doc_id long, text string, lang string, source string, n_chars long"
+    docs = spark.createDataFrame(rows, plain)
+    more = spark.createDataFrame([(*r, *[f"{n}{r[0]}" for n in names]) for r in rows], plain + "".join(f", {n} string" for n in names))
+    labels = spark.createDataFrame([(i, int(i % 3 > 0), 0) for i in range(25)], "doc_id long, quality int, toxic int")
+    for stage in (lambda d: quality.keep(d, labels), near_dedup.keep_one, pii.redact, mixing.mix):
+        got, want = stage(more), stage(docs)
+        assert got.columns == more.columns
+        found = [tuple(r) for r in got.collect()]
+        assert Counter(r[:5] for r in found) == Counter(map(tuple, want.collect()))
+        assert all(r[5:] == tuple(f"{n}{r[0]}" for n in names) for r in found)
+
+
 def test_every_operator_is_registered():
     import __spark_entry__ as driver
 
     names = driver.queries()
-    assert [n.split("_")[0] for n in queries()] == [f"op{i}" for i in range(1, 11)]
+    assert [n.split("_")[0] for n in queries()] == [f"op{i}" for i in range(1, 14)]
     assert set(queries()) <= set(names) and "pipeline" in names
     assert set(driver.oracle_sql()) <= set(names)
