@@ -23,6 +23,9 @@ from pyspark.sql import functions as F
 
 from rosterwise.session import cut_lineage
 
+from .spans import free_of, matches, running_max
+from .tables import packed, unpacked
+
 KINDS = ("email", "ip", "card", "phone")
 _NAME, _HOST = "A-Za-z0-9._%+-", "A-Za-z0-9-"
 
@@ -64,61 +67,8 @@ CUES = {
     "card": r"(?i)(?:card|visa|master|amex|credit|karte|carte|tarjeta)[^\n]{0,12}$",
     "phone": r"(?i)(?:phone|call|tel|mobile|fax|telefon|llam|appel)[^\n]{0,12}$",
 }
-#: Characters before a span that the cues look at; entries per block of the sums.
-CONTEXT, BLOCK = 32, 256
-
-
-def _let(value: Column, body) -> Column:
-    """``body(value)`` with ``value`` worked out once, also where a lambda in it runs many times."""
-    return F.transform(F.array(value), body)[0]
-
-
-def _blocks(values):
-    return F.sequence(F.lit(0), F.greatest(F.floor((F.size(values) - 1) / BLOCK).cast("int"), F.lit(0)))
-
-
-def _total(part):
-    return F.aggregate(part, F.lit(0), lambda a, v: a + v)
-
-
-def _block_sums(values: Column) -> Column:
-    """For each block the sum of all blocks before it."""
-    sums = F.transform(_blocks(values), lambda b: _total(F.slice(values, b * BLOCK + 1, BLOCK)))
-    return _let(sums, lambda s: F.transform(s, lambda _, b: _total(F.slice(s, F.lit(1), b))))
-
-
-def _upto(values: Column, sums: Column, i: Column) -> Column:
-    """Sum of the first ``i`` values."""
-    block = F.floor(i / BLOCK).cast("int")
-    return sums[block] + _total(F.slice(values, block * BLOCK + 1, i % BLOCK))
-
-
-def _matches(rows: DataFrame, name: str, text: str, pattern: str, hint: str) -> DataFrame:
-    """Adds ``name``: structs of hit, start, end (code points), low, high (bytes), before, after."""
-    some = F.col(text).rlike(hint)
-    none = F.array().cast("array<string>")
-    rows = rows.withColumns({
-        "_hits": F.when(some, F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1))).otherwise(none),
-        "_gaps": F.when(some, F.split(text, pattern, -1)).otherwise(none),
-    })
-    rows = rows.withColumns({
-        "_chars": F.transform("_hits", lambda h, i: F.char_length(h) + F.char_length(F.col("_gaps")[i])),
-        "_bytes": F.transform("_hits", lambda h, i: F.octet_length(h) + F.octet_length(F.col("_gaps")[i])),
-    })
-    chars, size = F.col("_chars"), F.col("_bytes")
-
-    def span(hit, i, char_sums, byte_sums):
-        gap = F.col("_gaps")[i]
-        start = _upto(chars, char_sums, i) + F.char_length(gap)
-        low = _upto(size, byte_sums, i) + F.octet_length(gap)
-        return F.struct(
-            hit.alias("hit"), start.alias("start"), (start + F.char_length(hit)).alias("end"), low.alias("low"),
-            (low + F.octet_length(hit)).alias("high"), F.right(gap, F.lit(CONTEXT)).alias("before"),
-            F.left(F.col("_gaps")[i + 1], F.lit(1)).alias("after"),
-        )
-
-    spans = _let(_block_sums(chars), lambda c: _let(_block_sums(size), lambda b: F.transform("_hits", lambda h, i: span(h, i, c, b))))
-    return rows.withColumn(name, spans).drop("_hits", "_gaps", "_chars", "_bytes")
+#: Characters before a span that the cues look at.
+CONTEXT = 32
 
 
 def _digits(hit):
@@ -183,14 +133,13 @@ def scan(docs: DataFrame) -> DataFrame:
     rows = docs.withColumn("_text", F.coalesce("text", F.lit("")))
     for number, kind in enumerate(KINDS):
         for name, patterns, hints, valid in (("strict", STRICT, HINTS, _valid), ("loose", LOOSE, LOOSE_HINTS, _valid_loose)):
-            rows = _matches(rows, "_found", "_text", patterns[kind], hints[kind])
+            rows = matches(rows, "_found", "_text", patterns[kind], hints[kind], CONTEXT, 1)
             good = F.filter("_found", _holds(valid, kind))
             rows = rows.withColumn(f"_{name}_{kind}", F.transform(good, _described(kind, number, name == "strict"))).drop("_found")
     base = F.concat(*[F.col(f"_strict_{k}") for k in KINDS])
     loose = F.concat(*[F.col(f"_loose_{k}") for k in KINDS])
     rows = rows.withColumn("_base", base)
-    free = F.filter(loose, lambda a: ~F.exists("_base", lambda b: (a["start"] < b["end"]) & (b["start"] < a["end"])))
-    return rows.withColumn("_loose", free).select(*docs.columns, "_base", "_loose")
+    return rows.withColumn("_loose", free_of(loose, F.col("_base"))).select(*docs.columns, "_base", "_loose")
 
 
 def reliabilities(patterns, rounds=50):
@@ -296,11 +245,12 @@ def redact(docs: DataFrame) -> DataFrame:
     found = cut_lineage(scan(docs.select("doc_id", "text")).select("_base", "_loose"))
     model = _model(found)
     by_place = lambda s: F.struct(s["low"].alias("low"), s["high"].alias("high"), s["kind"].alias("kind"))
-    rows = scan(docs).withColumn("_spans", F.array_sort(F.transform(_spans(model), by_place)))
+    names = ["doc_id", "text"]
+    rows = scan(packed(docs, names)).withColumn("_spans", F.array_sort(F.transform(_spans(model), by_place)))
     some = F.size("_spans") > 0
     # A span that starts before an earlier one ends belongs to it.
     ends = F.transform("_spans", lambda s: s["high"])
-    rows = rows.withColumn("_reach", _running_max(ends))
+    rows = rows.withColumn("_reach", running_max(ends))
     rows = rows.withColumn("_first", F.filter("_spans", lambda s, i: s["low"] >= F.col("_reach")[i]))
     rows = rows.withColumn("_go", F.filter("_reach", lambda r, i: F.col("_spans")[i]["low"] >= r))
     label = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
@@ -310,26 +260,9 @@ def redact(docs: DataFrame) -> DataFrame:
         F.substring(raw, F.col("_go")[i] + 1, s["low"] - F.col("_go")[i]).cast("string"), label[s["kind"]]
     ))
     tail = F.substring(raw, all_ends + 1, F.octet_length("text")).cast("string")
-    rows = rows.withColumn("text", F.when(some, F.concat(F.array_join(pieces, ""), tail)).otherwise(F.col("text")))
+    changed = {"text": F.when(some, F.concat(F.array_join(pieces, ""), tail)).otherwise(F.col("text"))}
     if "n_chars" in docs.columns:
-        size = F.char_length("text").cast(docs.schema["n_chars"].dataType)
-        rows = rows.withColumn("n_chars", F.when(some, size).otherwise(F.col("n_chars")))
-    return rows.select(*docs.columns)
-
-
-def _running_max(values: Column) -> Column:
-    """For each place the greatest value before it, 0 at first, by maxima of blocks."""
-
-    def most(part):
-        return F.coalesce(F.array_max(part), F.lit(0))
-
-    def at(v, i, before, all_values):
-        block = F.floor(i / BLOCK).cast("int")
-        return F.greatest(before[block], most(F.slice(all_values, block * BLOCK + 1, i % BLOCK)))
-
-    def spread(all_values):
-        tops = F.transform(_blocks(all_values), lambda b: most(F.slice(all_values, b * BLOCK + 1, BLOCK)))
-        before = _let(tops, lambda t: F.transform(t, lambda _, b: most(F.slice(t, F.lit(1), b))))
-        return _let(before, lambda p: F.transform(all_values, lambda v, i: at(v, i, p, all_values)))
-
-    return _let(values, spread)
+        rows = rows.withColumn("_new", changed["text"])
+        size = F.char_length("_new").cast(docs.schema["n_chars"].dataType)
+        changed = {"text": F.col("_new"), "n_chars": F.when(some, size).otherwise(F.col("row").getField("n_chars"))}
+    return unpacked(rows, docs, names, **changed)

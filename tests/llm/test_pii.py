@@ -2,7 +2,10 @@ import hashlib
 import random
 import re
 
+from pyspark.sql import functions as F
+
 from rosterwise.llm import pii
+from rosterwise.llm.spans import free_of
 
 PLAIN = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
@@ -80,3 +83,14 @@ def test_labelers_are_weighed():
 def test_rows_without_text_or_id(odd_docs, no_docs):
     assert pii.personal_data(odd_docs).count() == odd_docs.count()
     assert pii.redact(no_docs).count() == 0 and pii.personal_data(no_docs).count() == 0
+
+
+def test_spans_free_of_others(spark):
+    random.seed(8)
+    kind = "array<struct<kind:int,start:int,end:int>>"
+    draw = lambda n: [(k, a, a + random.randint(1, 6)) for k, a in ((random.randint(0, 3), random.randint(0, 400)) for _ in range(n))]
+    rows = [(i, draw(random.choice([0, 1, 30, 300])), draw(random.choice([0, 1, 40]))) for i in range(60)]
+    df = spark.createDataFrame(rows, f"i int, loose {kind}, taken {kind}")
+    for r in df.select("i", free_of(F.col("loose"), F.col("taken")).alias("free")).collect():
+        _, loose, taken = rows[r.i]
+        assert [tuple(s) for s in r.free] == [s for s in loose if not any(s[1] < t[2] and t[1] < s[2] for t in taken)]
