@@ -549,10 +549,10 @@ def oracle_sql() -> dict[str, str]:
     AND low IN ({', '.join(q(s) for s in K.AI_SKILLS)})) >= 2 THEN 'ai' ELSE 'default' END AS role_category,
     rank, cid::VARCHAR AS candidate_id, combined_score,
     (SELECT count(*) FROM talk t WHERE t.sid = r.sid AND t.cid = r.cid) AS turns FROM ranked r JOIN averages USING (sid)"""),
-        "report_parts": with_(*ranked(), """said AS (SELECT r.sid, r.rank, r.cid, turn, speaker, message,
+        "report_parts": with_(*ranked(), """spoken AS (SELECT r.sid, r.rank, r.cid, turn, speaker, message,
     row_number() OVER (PARTITION BY r.sid, r.cid ORDER BY turn NULLS FIRST, speaker, message) - 1 AS place FROM ranked r JOIN talk t ON t.sid = r.sid AND t.cid = r.cid)""",
             select="""SELECT sid::VARCHAR AS job_id, rank::INT AS rank, (place // 1000)::INT AS chunk, cid::VARCHAR AS candidate_id, '' AS job_title,
-    count(*)::INT AS turns, md5(string_agg(turn || ':' || speaker || ':' || message, '|' ORDER BY place)) AS said_md5 FROM said GROUP BY ALL
+    count(*)::INT AS turns, md5(string_agg(turn || ':' || speaker || ':' || message, '|' ORDER BY place)) AS said_md5 FROM spoken GROUP BY ALL
     UNION ALL SELECT sid::VARCHAR, 0, 0, '', title, 0, md5('') FROM jobs WHERE sid IN (SELECT sid FROM ranked)"""),
         "pool_stats": with_(*CANDIDATES, """sums AS (SELECT count(*) AS n, count(DISTINCT location) AS locs, sum(exp)::DOUBLE / count(*) AS e, sum(salary)::DOUBLE / count(*) AS s FROM candidates)""",
             select=f"SELECT n AS total_candidates_in_pool, locs AS unique_locations, {r1('e')} AS avg_experience, {r1('s')} AS avg_salary FROM sums"),
