@@ -5,7 +5,8 @@ from fixtures import job, jobs_df, person, pool_df
 from pyspark.sql import functions as F
 
 from rosterwise.operators import jd
-from rosterwise.plans.shortlist import build_shortlist
+from rosterwise.operators.transcripts import templated_transcripts
+from rosterwise.plans.shortlist import build_shortlist, discover_and_match
 from rosterwise.streaming.jd_stream import jd_text_stream, shortlist_stream
 
 TEXT = """Job Title: Senior Data Engineer
@@ -81,7 +82,9 @@ def test_funnel_keeps_every_job(spark):
         job("short", ["Go"], text="Go"),
     ]
     pool = [person(i, ["Go", "SQL"] if i % 2 else ["Go"], 3, "Pune", 10 + i) for i in range(6)]
-    plan = build_shortlist(jobs_df(spark, jobs), pool_df(spark, pool), min_score=60)
+    jobs, pool = jobs_df(spark, jobs), pool_df(spark, pool)
+    talks = templated_transcripts(discover_and_match(jobs, pool, min_score=60)[1], jobs)
+    plan = build_shortlist(jobs, pool, talks, min_score=60)
     rows = {r.job_id: r for r in plan.funnel().collect()}
     assert {k: r.status for k, r in rows.items()} == {"ok": "ok", "unparsed": "parse_failed", "nobody": "no_candidates", "weak": "no_matches", "short": "rejected"}
     assert rows["ok"].discovered == rows["ok"].matched == rows["ok"].conversations_completed == 6
