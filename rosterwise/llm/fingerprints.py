@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from rosterwise.session import cut_lineage
 
-from .tables import explode_shingles, hex16, votes, with_next
+from .tables import all_votes, explode_shingles, hex16, with_next
 
 #: Words of a term.
 TERM_WORDS = 3
@@ -35,7 +35,7 @@ def fingerprints(rows: DataFrame, keys: list[str], text="text", words=TERM_WORDS
         *keys, F.xxhash64("term").alias("_bits"), F.char_length("term").cast("long").alias("_weight"), "at"
     )
     # Rows with equal keys vote together, which changes no share; their first terms count them.
-    summed = votes(terms, keys, "_bits", "_weight", [F.sum((F.col("at") == 0).cast("long")).alias("_rows")])
+    summed = all_votes(terms, keys, "_bits", "_weight", [F.sum((F.col("at") == 0).cast("long")).alias("_rows")])
     return summed.select(*keys, "fingerprint", F.explode(F.sequence(F.lit(1).cast("long"), "_rows")).alias("_i")).drop("_i")
 
 

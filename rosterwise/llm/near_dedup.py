@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from rosterwise.session import cut_lineage
 
 from .components import components
-from .tables import LOWER, UPPER, explode_shingles, hex16, packed, unpacked, votes
+from .tables import LOWER, UPPER, all_votes, explode_shingles, hex16, packed, unpacked
 
 SHINGLE_WORDS, MAX_BITS = 3, 3
 POSITIONS = 8
@@ -39,7 +39,7 @@ def simhashes(docs: DataFrame, words=SHINGLE_WORDS) -> DataFrame:
         "doc_id", "text_hash", F.xxhash64("term").alias("_bits"), (F.col("term") != "").cast("long").alias("_one"), "at"
     )
     # Equal rows vote together; the vote is by shares, so it stays the same.
-    summed = votes(shingles, ["doc_id", "text_hash"], "_bits", "_one", [F.sum((F.col("at") == 0).cast("long")).alias("_n")])
+    summed = all_votes(shingles, ["doc_id", "text_hash"], "_bits", "_one", [F.sum((F.col("at") == 0).cast("long")).alias("_n")])
     return summed.select(
         "doc_id", "text_hash", "fingerprint", F.explode(F.sequence(F.lit(1).cast("long"), "_n")).alias("_i")
     ).drop("_i")
@@ -149,7 +149,7 @@ def near_duplicates(docs: DataFrame, words=SHINGLE_WORDS, max_bits=MAX_BITS) ->
 
     ``is_first`` marks the distinct (doc_id, text_hash) that stands for the component: the smallest.
     """
-    coded = cut_lineage(simhashes(docs, words))
+    coded = simhashes(docs, words)
     codes = coded.groupBy(F.col("fingerprint").alias("code")).agg(F.min("doc_id").alias("least"))
     links = near_links(codes.select("code"), max_bits)
     roots = cut_lineage(components(links))

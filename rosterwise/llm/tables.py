@@ -11,6 +11,8 @@ from rosterwise.session import cut_lineage
 #: White space of the contracts: blank, tab, line feed, vertical tab, form feed, return.
 BLANKS = " \t\n\x0b\x0c\r"
 GAPS = r"[\x20\x09-\x0D]+"
+#: Weight that half a long can't hold.
+PACKED = 1 << 31
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -53,26 +55,43 @@ def explode_shingles(df: DataFrame, text: Column, k: int, at="at", out="term") -
     return rows.select(*df.columns, at, F.concat_ws(" ", *[F.col(f"_zipped.{x}") for x in names]).alias(out))
 
 
-def votes(df: DataFrame, keys: list[str], bits: str, weight: str, more=()) -> DataFrame:
+def votes(df: DataFrame, keys: list[str], bits: str, weight: str, more=(), wide=False) -> DataFrame:
     """One row per key: ``fingerprint`` has each bit whose weighted share is over one half.
 
     Each sum counts bit i in its low and bit i + 32 in its high half, so 32 sums take 64 votes
-    in one aggregation with map-side combine; nothing but the sums is shuffled.
+    in one aggregation with map-side combine; nothing but the sums is shuffled. Halves hold a weight
+    under PACKED; a key with more has a null fingerprint, unless ``wide`` gives every bit its own sum.
     """
-    both = F.lit(0x0000000100000001)
-    lanes = [F.sum(F.shiftright(F.col(bits), i).bitwiseAND(both) * F.col(weight)).alias(f"_v{i}") for i in range(32)]
+    both = F.lit(1 if wide else 0x0000000100000001).cast("long")
+    lanes = [
+        F.try_sum(F.shiftright(F.col(bits), i).bitwiseAND(both) * F.col(weight)).alias(f"_v{i}") for i in range(64 if wide else 32)
+    ]
     sums = df.groupBy(*keys).agg(F.sum(weight).alias("_all"), *more, *lanes)
     marks = []
     for i in range(64):
-        lane = F.col(f"_v{i % 32}")
-        ones = F.shiftrightunsigned(lane, 32) if i >= 32 else lane.bitwiseAND(F.lit(0xFFFFFFFF))
+        lane = F.col(f"_v{i if wide else i % 32}")
+        if not wide:
+            lane = F.shiftrightunsigned(lane, 32) if i >= 32 else lane.bitwiseAND(F.lit(0xFFFFFFFF))
         value = 1 << i if i < 63 else -(1 << 63)
-        marks.append(F.when(ones * 2 > F.col("_all"), F.lit(value).cast("long")).otherwise(F.lit(0).cast("long")))
+        marks.append(F.when(lane > F.col("_all") - lane, F.lit(value).cast("long")).otherwise(F.lit(0).cast("long")))
     fingerprint = functools.reduce(lambda a, b: a.bitwiseOR(b), marks)
-    kept = [c for c in sums.columns if c not in {"_all", *(f"_v{i}" for i in range(32))}]
+    if not wide:
+        fingerprint = F.when(F.col("_all") < PACKED, fingerprint)
+    kept = [c for c in sums.columns if c != "_all" and c not in {f"_v{i}" for i in range(len(lanes))}]
     return sums.select(*kept, fingerprint.alias("fingerprint"))
 
 
+def all_votes(df: DataFrame, keys: list[str], bits: str, weight: str, more=()) -> DataFrame:
+    """``votes``, kept as a table; the few keys of PACKED and more (many equal rows) vote again, in wide sums."""
+    kept = cut_lineage(votes(df, keys, bits, weight, more))
+    heavy = kept.filter(F.col("fingerprint").isNull()).select(*[F.col(k).alias(f"_heavy_{k}") for k in keys])
+    if heavy.isEmpty():
+        return kept
+    same = functools.reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_heavy_{k}")) for k in keys])
+    again = votes(df.join(heavy, same, "left_semi"), keys, bits, weight, more, wide=True)
+    return kept.filter(F.col("fingerprint").isNotNull()).unionByName(again)
+
+
 def hex16(fingerprint) -> Column:
     return F.lpad(F.lower(F.hex(fingerprint)), 16, "0")
 

@@ -4,11 +4,12 @@ from collections import Counter
 
 import numpy as np
 import xxhash
+from pyspark.sql import functions as F
 
 from rosterwise.llm import fingerprints as f
 from rosterwise.llm import near_dedup as n
 from rosterwise.llm.components import components
-from rosterwise.llm.tables import bounds_below, bounds_of, place, with_next
+from rosterwise.llm.tables import PACKED, all_votes, bounds_below, bounds_of, place, with_next
 
 
 def terms(text, k=3):
@@ -151,3 +152,11 @@ def test_next_rows_without_id_form_one_ring(spark):
         seen.append(here)
         here = following[here]
     assert here == (3, None) and seen[1] == (3, "a") and set(seen) == set(rows)
+
+
+def test_votes_of_any_weight(spark):
+    """Equal rows whose weights half a long can't hold, and light keys beside them."""
+    rows = [(None, 5, 1 << 30)] * 3 + [("a", -1, PACKED - 1)] * 2 + [("a", 3, PACKED - 1)] + [("b", 6, 2), ("b", 3, 1), ("c", 0, 0)]
+    df = spark.createDataFrame(rows, "k string, bits long, weight long")
+    got = {r.k: (r.fingerprint, r.n) for r in all_votes(df, ["k"], "bits", "weight", [F.count("*").alias("n")]).collect()}
+    assert got == {None: (5, 3), "a": (-1, 3), "b": (6, 2), "c": (0, 1)}
