@@ -361,8 +361,10 @@ def jd_rejects(spark, sf_dir):
 
 
 def jd_skill_scan(spark, sf_dir):
-    """Three-word phrases of whole benchmark texts, looked for as skills in whole documents."""
-    phrases = F.regexp_extract_all(F.lower("text"), F.lit(oracles.PHRASE), F.lit(0))
+    """Every run of three words of whole benchmark texts, looked for as a skill in whole documents."""
+    word = r"[\p{L}\p{N}]+"
+    every = rf"(?<![\p{{L}}\p{{N}}])(?=({word} {word} {word}))"
+    phrases = F.regexp_extract_all(F.lower("text"), F.lit(every), F.lit(1))
     vocabulary = views.table(spark, sf_dir, "benchmark").select(F.explode(phrases).alias("skill")).distinct()
     documents = views.jd_documents(spark, sf_dir)
     return jd.mentioned_skills(documents, ["job_id"], "raw_text", vocabulary)

@@ -11,7 +11,8 @@ from rosterwise.plans.driver_views import SKILL_NAMES, TITLES
 
 HIGH_BAR = 82.0
 SEED = 7
-PHRASE = r"[\p{L}\p{N}]+ [\p{L}\p{N}]+ [\p{L}\p{N}]+"
+#: Words with single blanks between them, as many as there are.
+PHRASE = r"[\p{L}\p{N}]+(?: [\p{L}\p{N}]+)*"
 OWN_GENDERED = {"the ": "a", "and ": "plus", "his ": "their"}
 OWN_AGE = ["of", "tion", "in the", "que"]
 OWN_MARKERS = ["the ", "and", "of the", "tion. ", ". an", "in in", "que la", "é e", "on on", "absent term"]
@@ -573,7 +574,8 @@ def oracle_sql() -> dict[str, str]:
         "jd_rejects": r"""SELECT doc_id::VARCHAR AS job_id, length(text) AS chars, CASE WHEN length(regexp_replace(text, '^\s+|\s+$', '', 'g')) < 50
     THEN 'Job Description too short. Minimum 50 characters.' END AS reject_reason FROM documents""",
         "jd_skill_scan": with_(
-            r"vocab AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '" + PHRASE + r"', 0)) AS skill FROM benchmark)",
+            r"said AS (SELECT string_split(unnest(regexp_extract_all(lower(text), '" + PHRASE + r"', 0)), ' ') AS w FROM benchmark)",
+            "vocab AS (SELECT DISTINCT unnest(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' '))) AS skill FROM said)",
             select=r"""SELECT doc_id::VARCHAR AS job_id, skill FROM documents JOIN vocab ON CASE WHEN contains(lower(text), skill)
     THEN regexp_matches(' ' || lower(text) || ' ', '[^\p{L}\p{N}]' || skill || '[^\p{L}\p{N}]') ELSE false END"""),
     }

@@ -4,10 +4,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import bind, lowered, word_pattern
+from ..functions.text import lowered
 from ..schemas import JD_REPLY, any_number, whole_numbers
 
 MIN_LENGTH = 50
+#: Tasks that the texts holding one and the same word are dealt to.
+SALT = 16
 
 
 def reject_reason(raw_text: Column) -> Column:
@@ -74,39 +76,88 @@ def _bullets(text: Column, heading: str) -> Column:
     return F.filter(lines, lambda x: x != "")
 
 
-def mentioned_skills(texts: DataFrame, keys, text: str, vocabulary: DataFrame) -> DataFrame:
-    """``keys, skill``: vocabulary skills that occur in ``text`` as whole words.
+PIECES = r"[\p{L}\p{N}]+|[^\p{L}\p{N}]+"
 
-    Every run of letters and digits of a skill must be a word of the text: words and skills
-    are joined on the longest run, which few texts share, without the text, and each text then
-    checks the few skills that are left. Skills without a letter or digit are not looked for.
-    """
-    word = r"[\p{L}\p{N}]+"
-    words = F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(word), F.lit(0)))
-    terms = vocabulary.select("skill").distinct().select(
-        "skill", F.expr(
-            r"array_max(transform(regexp_extract_all(lower(skill), '[\\p{L}\\p{N}]+', 0), w -> struct(length(w), w)))"
-        )["w"].alias("word")
-    )
-    likely = (
-        texts.select(*keys, F.explode(words).alias("word"))
-        .join(terms.filter("word != ''"), "word")
-        .groupBy(*keys)
-        .agg(F.collect_set("skill").alias("likely"))
-    )
 
-    def occurring(low):
-        def occurs(skill):
-            name = F.trim(F.lower(skill))
-            return F.contains(low, name) & F.regexp_like(low, word_pattern(name))
+def _pieces(text: Column) -> Column:
+    """Words (runs of letters and digits) and what lies between them, by turns; a gap, if empty, at either end."""
+    found = F.regexp_extract_all(text, F.lit(PIECES), F.lit(0))
+    starts, ends = text.rlike(r"^[\p{L}\p{N}]"), text.rlike(r"[\p{L}\p{N}]\z")
+    blank, none = F.array(F.lit("")), F.array().cast("array<string>")
+    return F.concat(F.when(starts, blank).otherwise(none), found, F.when(ends, blank).otherwise(none))
 
-        return F.filter("likely", occurs)
 
-    return texts.join(likely, list(keys)).select(
-        *keys, F.explode(bind(F.lower(text), occurring)).alias("skill")
+def phrase_index(vocabulary: DataFrame) -> DataFrame:
+    """``skill`` as a phrase: ``core`` from its first to its last word, their number ``n``, and the gaps outside."""
+    pieces = F.col("_pieces")
+    rows = vocabulary.select("skill").distinct().withColumn("_pieces", _pieces(F.trim(F.lower("skill"))))
+    return rows.filter(F.size(pieces) > 2).select(
+        "skill", ((F.size(pieces) - 1) / 2).cast("int").alias("n"),
+        F.array_join(F.slice(pieces, 2, F.size(pieces) - 2), "").alias("core"),
+        F.get(pieces, F.lit(0)).alias("lead"), F.element_at(pieces, -1).alias("tail"),
     )
 
 
+def phrase_cores(texts: DataFrame, keys, text: str, lengths: list[int]) -> DataFrame:
+    """``keys`` and each distinct run (``core``) of as many words as one of ``lengths`` says, with what lies between them."""
+    word, gap = r"[\p{L}\p{N}]++", r"[^\p{L}\p{N}]++"
+    starts = r"(?<![\p{L}\p{N}])"
+    low = F.lower(text)
+    found = [F.regexp_extract_all(low, F.lit(f"{starts}(?=({word}(?:{gap}{word}){{{n - 1}}}))"), F.lit(1)) for n in lengths]
+    return texts.select(*keys, F.explode(F.array_distinct(F.concat(*found))).alias("core"))
+
+
+def phrase_runs(texts: DataFrame, keys, text: str, lengths: list[int]) -> DataFrame:
+    """Every such run with the gaps ``before`` and ``after`` it, and whether it is the ``first`` or ``last`` of its length."""
+    pieces = F.col("_pieces")
+    rows = texts.select(*keys, _pieces(F.lower(text)).alias("_pieces"))
+    words = ((F.size(pieces) - 1) / 2).cast("int")
+
+    def runs(n):
+        def run(i):
+            return F.struct(
+                F.concat(*[F.get(pieces, 2 * i + (1 + k)) for k in range(2 * n - 1)]).alias("core"),
+                F.get(pieces, 2 * i).alias("before"), F.get(pieces, 2 * i + 2 * n).alias("after"),
+                (i == 0).alias("first"), (i == words - n).alias("last"),
+            )
+
+        return F.when(words >= n, F.transform(F.sequence(F.lit(0), words - n), run))
+
+    found = F.flatten(F.array_compact(F.array(*[runs(n) for n in lengths])))
+    return rows.select(*keys, F.explode(found).alias("_run")).select(*keys, "_run.*")
+
+
+def mentioned_skills(texts: DataFrame, keys, text: str, vocabulary: DataFrame) -> DataFrame:
+    """``keys, skill``: vocabulary skills that occur in ``text`` as whole words.
+
+    A skill is a phrase of words with gaps between them, and each run of as many words in a text is looked up
+    as a whole, so what meets are occurrences. Only skills with signs outside their words ("C#") look at the gaps
+    beside a run as well. Runs are salted, so a word of every text goes to SALT tasks, and the phrases go along
+    SALT times; a small vocabulary is broadcast by Spark's own size check instead. Only the numbers of words that
+    skills have come to the driver. Null and empty texts have no skills; skills without a letter or digit are not
+    looked for.
+    """
+    phrases = phrase_index(vocabulary).withColumn("signed", F.concat("lead", "tail") != "")
+    salted = phrases.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    salt = F.pmod(F.xxhash64(*keys), F.lit(SALT)).cast("int")
+    lengths = {False: [], True: []}
+    for row in phrases.select("signed", "n").distinct().orderBy("n").collect():
+        lengths[row.signed].append(row.n)
+    lead, tail, before, after = (F.col(c) for c in ("lead", "tail", "before", "after"))
+    # A phrase that takes a whole gap would end beside the next word.
+    leads = (lead == "") | (F.endswith(before, lead) & (F.col("first") | (lead != before)))
+    tails = (tail == "") | (F.startswith(after, tail) & (F.col("last") | (tail != after)))
+    found = texts.select(*keys, F.lit("").alias("skill")).limit(0)
+    if lengths[False]:
+        cores = phrase_cores(texts, keys, text, lengths[False]).withColumn("salt", salt)
+        found = found.union(cores.join(salted.filter(~F.col("signed")), ["core", "salt"]).select(*keys, "skill"))
+    if lengths[True]:
+        runs = phrase_runs(texts, keys, text, lengths[True]).withColumn("salt", salt)
+        met = runs.join(salted.filter("signed"), ["core", "salt"]).filter(leads & tails)
+        found = found.union(met.select(*keys, "skill"))
+    return found.distinct()
+
+
 def extract_jobs(texts: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """``job_id, raw_text`` to jobs, by labels ("Job Title:", "Requirements:", ...).
 

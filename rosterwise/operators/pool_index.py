@@ -17,12 +17,14 @@ from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.constants import NO_CANDIDATES
 from ..functions.text import lowered
 from ..session import shared_folder
+from .cleaning import SchemaError
 
 # The most held skills are compared as bits, BITS to a bigint; the others as strings.
 WORDS, BITS = 4, 62
@@ -174,8 +176,11 @@ def _write_segment(candidates, path, number, keep, skills, before):
         df.write.mode("overwrite").parquet(f"{folder}/{name}")
         return spark.read.schema(df.schema).parquet(f"{folder}/{name}")
 
-    # The pool is read here and nowhere else.
-    people = kept(candidates, "people")
+    # The pool is read here and nowhere else, and counted as it is written.
+    seen = Observation()
+    people = kept(candidates.observe(seen, F.count(F.lit(1)).alias("rows")), "people")
+    if number == 0 and not seen.get["rows"]:
+        raise SchemaError(NO_CANDIDATES)
     bucket = bucket_of(F.col("c_exp")).alias("bucket")
     number_of = (F.col("c_no") + F.lit(number << SEGMENT_BITS)).alias("c_no")
     profiles = candidate_profiles(people, keep)
@@ -209,7 +214,10 @@ def _write_segment(candidates, path, number, keep, skills, before):
 
 
 def build_index(candidates: DataFrame, path: str | None = None, keep: int = KEEP) -> PoolIndex:
-    """Index ``candidates`` below ``path`` (a new folder; one in the shared folder if it is not given)."""
+    """Index ``candidates`` below ``path`` (a new folder; one in the shared folder if it is not given).
+
+    A pool without a row is an error, found by a count that rides on the write; later segments may be empty.
+    """
     spark = candidates.sparkSession
     path = path or f"{shared_folder(spark)}/pool-index-{uuid.uuid4().hex}"
     _write_segment(candidates, path, 0, keep, None, 0)

@@ -1,4 +1,6 @@
+import itertools
 import json
+import random
 import time
 
 from fixtures import job, jobs_df, person, pool_df
@@ -47,6 +49,33 @@ def test_extraction(spark):
     assert rows["c"].location == "Any"
 
 
+def test_phrases_against_plain_search(spark):
+    """A word in every text, overlapping phrases, signs at either end, wide gaps, odd texts and skills."""
+    rng = random.Random(5)
+    words, gaps = ["go", "sql", "c", "x1", "Über", "net", "ci", "cd"], [" ", " ", " ", "/", "#", "# ", " .", ".", "  ", ", ", "-"]
+    texts = ["".join(rng.choice(words) + rng.choice(gaps) for _ in range(rng.randint(1, 30))) + " go" for _ in range(60)]
+    texts += ["", "go", "#go", ".net", "c#", " .net c# ", "go go go", "漢字 go", None, "!?"]
+    skills = [" ".join(p) for n in (1, 2, 3) for p in itertools.product(words, repeat=n) if rng.random() < 0.3]
+    skills += ["go", "Go", "C#", ".NET", "ci/cd", "c# .net", "go  sql", "#", "", None, " go ", "/cd", "go go", "漢字"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, t string").repartition(3)
+    vocabulary = spark.createDataFrame([(s,) for s in skills], "skill string")
+    got = [tuple(r) for r in jd.mentioned_skills(rows, ["id"], "t", vocabulary).collect()]
+    wordy = lambda c: c.isalpha() or c.isdigit()
+
+    def occurs(text, name):
+        at = text.find(name)
+        while at >= 0:
+            if not (at and wordy(text[at - 1])) and not (at + len(name) < len(text) and wordy(text[at + len(name)])):
+                return True
+            at = text.find(name, at + 1)
+        return False
+
+    named = {s for s in skills if s and any(map(wordy, s))}
+    want = {(i, s) for i, t in enumerate(texts) if t for s in named if occurs(t.lower(), s.lower().strip(" "))}
+    assert len(got) == len(set(got)) and set(got) == want
+    assert jd.mentioned_skills(rows, ["id"], "t", vocabulary.limit(0)).collect() == []
+
+
 def test_decoding(spark):
     good = {"title": "T", "required_skills": ["Go", "SQL"], "salary_range_lpa": {"min": 1, "max": None}, "experience_years": {"min": 2}}
     replies = [

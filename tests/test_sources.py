@@ -88,6 +88,9 @@ def test_later_alias_wins_where_it_is_set(spark):
 def test_empty_pool_is_rejected(spark):
     with pytest.raises(cleaning.SchemaError, match="no valid candidate rows"):
         cleaning.require_rows(pool_df(spark, []))
+    jobs = jobs_df(spark, [GOLD_JOB])
+    with pytest.raises(cleaning.SchemaError, match="no valid candidate rows"):
+        build_shortlist(jobs, pool_df(spark, []))
     stats = pool_stats(pool_df(spark, [])).collect()[0]
     assert tuple(stats) == (0, 0, 0.0, 0.0)
 
