@@ -1,6 +1,7 @@
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from rosterwise.llm import mixing
 from rosterwise.llm.tables import table
@@ -20,14 +21,25 @@ def targets(sizes):
         fixed |= {s: 3 * sizes[s] for s in over}
 
 
+def closed_form():
+    """Whole epochs, and what gets through of the last one."""
+    size, goal, all_words = F.col("_size"), F.col("_goal"), F.col("_source_size")
+    full = F.when(all_words > 0, F.floor(goal / all_words)).otherwise(0).cast("long")
+    return full * size + F.greatest(F.lit(0), F.least(size, goal - full * all_words - F.col("_before")))
+
+
 def check(docs):
     rows = docs.collect()
     sizes = defaultdict(int)
     for r in rows:
         sizes[r.source] += len((r.text or "").split())  # the fixtures have no other white space
     want = targets(sizes)
-    got = mixing.queued(docs).withColumn("_taken", mixing.taken()).collect()
+    sizes = mixing.measured(docs)
+    got = mixing.queued(sizes, sizes).withColumn("_taken", closed_form()).collect()
     assert len(got) == len(rows)
+    # What the sorted queue takes, cut at the budget, is what can be worked out for each source alone.
+    mixed = mixing.mixed_documents(docs).collect()
+    assert Counter((r.doc_id, r.size, r.taken) for r in mixed) == Counter((r.doc_id, r._size, r._taken) for r in got)
     taken = defaultdict(int)
     for r in got:
         taken[r.source] += r._taken
