@@ -339,9 +339,36 @@ def jd_extraction(spark, sf_dir):
     )
 
 
+def _quarters(key):
+    """0, 0.25, 0.5 or 0.75, by a number."""
+    return F.col(key).cast("bigint") % 4 / 4
+
+
+def fraction_scores(spark, sf_dir):
+    """Discovery and match where years and pay have quarters on both sides."""
+    jobs = cut_lineage(views.jobs(spark, sf_dir).withColumns({
+        "experience_years": F.col("experience_years").withField("min", F.col("experience_years.min") + _quarters("job_id")),
+        "salary_range_lpa": F.col("salary_range_lpa").withField("max", F.col("salary_range_lpa.max") + _quarters("job_id")),
+    }))
+    pool = views.candidates(spark, sf_dir).withColumns({
+        c: F.col(c) + _quarters("candidate_id") for c in ("experience_years", "salary_expectation_lpa")
+    })
+    index = indexed(pool, TOP_K)
+    found = cut_lineage(discovery.discover(jobs, index, 3 * TOP_K))
+    factors = F.col("factor_breakdown")
+    return matching.match_pairs(found, jobs, index.people).select(
+        "job_id", "candidate_id", "discovery_rank", "discovery_score", "match_score",
+        *[factors[f][part].alias(f"{f}_{part}") for f in ("experience", "salary") for part in ("score", "label", "note")],
+    )
+
+
 def jd_decode(spark, sf_dir):
-    """Jobs as replies: JSON wrapped in prose."""
-    jobs = views.jobs(spark, sf_dir)
+    """Jobs as replies: JSON wrapped in prose, some of the numbers with quarters, some beyond 32 bits."""
+    jobs = views.jobs(spark, sf_dir).withColumn("salary_range_lpa", F.col("salary_range_lpa").withField(
+        "max", F.col("salary_range_lpa.max") + _quarters("job_id")
+    )).withColumn("notice_preference_days", F.when(F.col("job_id").cast("bigint") % 3 == 0, F.lit(3000000000)).otherwise(
+        F.col("notice_preference_days")
+    ))
     body = F.to_json(F.struct(*[c for c in jobs.columns if c not in ("job_id", "raw_text")]))
     reply = F.concat(F.lit("Here you are:\n```json\n"), body, F.lit("\n```"))
     decoded = jd.decode_replies(jobs.select("job_id", reply.alias("reply"), "raw_text"))
@@ -377,7 +404,7 @@ _QUERIES = [
     ranked_shortlist, tier_counts, job_funnel, flat_shortlist, summary_unpivot, report_documents,
     report_parts,
     pool_stats, pool_locations, top_locations, experience_bands, source_files, clean_pool,
-    header_check, generate_pool, jd_extraction, jd_decode, jd_rejects, jd_skill_scan,
+    header_check, generate_pool, jd_extraction, jd_decode, fraction_scores, jd_rejects, jd_skill_scan,
 ]
 
 

@@ -425,6 +425,44 @@ def _generated():
     )
 
 
+def _number(x):
+    return f"CASE WHEN {x} = floor({x}) THEN {x}::BIGINT::VARCHAR ELSE {x}::DOUBLE::VARCHAR END"
+
+
+def _whole(*numbers):
+    return "(" + " AND ".join(f"{x} = floor({x})" for x in numbers) + ")"
+
+
+def _fraction_scores():
+    """Quarters on years and pay; a score or distance is printed as a whole number if it comes from whole ones, or is a bound."""
+
+    def gap(a, b):
+        return f"CASE WHEN {_whole(a, b)} THEN abs({a} - {b})::BIGINT::VARCHAR ELSE abs({a} - {b})::DOUBLE::VARCHAR END"
+
+    ctes = [
+        c.replace("CAST(c_custkey % 13 AS INT) AS exp", "c_custkey % 13 + (c_custkey % 4)::DOUBLE / 4 AS exp")
+        .replace("/ 200) AS INT) AS salary", "/ 200) AS INT) + (c_custkey % 4)::DOUBLE / 4 AS salary")
+        .replace("CAST(s_suppkey % 6 AS INT) AS exp_min", "s_suppkey % 6 + (s_suppkey % 4)::DOUBLE / 4 AS exp_min")
+        .replace("s_suppkey % 15 AS INT) AS sal_max", "s_suppkey % 15 AS INT) + (s_suppkey % 4)::DOUBLE / 4 AS sal_max")
+        for c in factors()
+    ]
+    n = _number
+    return with_(*ctes, select=f"""SELECT sid::VARCHAR AS job_id, cid::VARCHAR AS candidate_id, discovery_rank, discovery_score, match_score,
+    s_exp AS experience_score, CASE WHEN exact <> 0 AND exp <> exact AND ({_whole("exp", "exact")} OR p_exp = 0)
+      OR exact = 0 AND exp < exp_min AND ({_whole("exp", "exp_min")} OR p_exp = 0)
+      OR exact = 0 AND exp > emax AND exp >= exp_min AND ({_whole("exp", "emax")} OR p_exp = 15) THEN s_exp::INT::VARCHAR ELSE s_exp::VARCHAR END || '/25' AS experience_label,
+    CASE WHEN exact <> 0 AND exp = exact THEN 'Exact match: ' || {n("exp")} || ' years'
+      WHEN exact <> 0 THEN {n("exp")} || ' yrs vs required ' || {n("exact")} || ' yrs (diff: ' || {gap("exp", "exact")} || ')'
+      WHEN inside THEN {n("exp")} || ' yrs — within range ' || {n("exp_min")} || '-' || {n("emax")}
+      WHEN exp < exp_min THEN {n("exp")} || ' yrs — ' || {gap("exp_min", "exp")} || ' yrs below minimum'
+      ELSE {n("exp")} || ' yrs — ' || {gap("exp", "emax")} || ' yrs above range (overqualified)' END AS experience_note,
+    s_sal AS salary_score, l_sal AS salary_label,
+    CASE WHEN salary BETWEEN sal_min AND sal_max THEN '₹' || {n("salary")} || ' LPA within budget ₹' || {n("sal_min")} || '-' || {n("sal_max")} || ' LPA'
+      WHEN salary < sal_min THEN '₹' || {n("salary")} || ' LPA — under budget (good for company)'
+      ELSE '₹' || {n("salary")} || ' LPA — ' || round_even(over_pct * 100::DOUBLE, 0)::BIGINT || '% over max budget' END AS salary_note
+    FROM matched""")
+
+
 def _clean():
     number = "CASE WHEN {x} THEN {v} ELSE {d} END"
     exp = number.format(x="c_custkey % 6 > 1", v="(c_custkey % 13)::INT", d="0")
@@ -570,7 +608,9 @@ def oracle_sql() -> dict[str, str]:
         "jd_decode": with_(*JOBS, select="""SELECT sid::VARCHAR AS job_id, title, location,
     (SELECT coalesce(string_agg(low, ', ' ORDER BY place), '') FROM job_skill k WHERE k.sid = j.sid AND place <= 5) AS required_skills,
     (SELECT coalesce(string_agg(low, ', ' ORDER BY place), '') FROM job_skill k WHERE k.sid = j.sid AND place > 5) AS nice_to_have,
-    exp_min, coalesce(exp_max, -1) AS exp_max, sal_max, 30 AS notice_preference_days, n_req > 0 AS sufficient FROM jobs j"""),
+    exp_min::DOUBLE AS exp_min, coalesce(exp_max, -1)::DOUBLE AS exp_max, sal_max + (sid % 4)::DOUBLE / 4 AS sal_max,
+    CASE WHEN sid % 3 = 0 THEN 3000000000 ELSE 30 END::DOUBLE AS notice_preference_days, n_req > 0 AS sufficient FROM jobs j"""),
+        "fraction_scores": _fraction_scores(),
         "jd_rejects": r"""SELECT doc_id::VARCHAR AS job_id, length(text) AS chars, CASE WHEN length(regexp_replace(text, '^\s+|\s+$', '', 'g')) < 50
     THEN 'Job Description too short. Minimum 50 characters.' END AS reject_reason FROM documents""",
         "jd_skill_scan": with_(

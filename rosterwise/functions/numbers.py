@@ -1,5 +1,8 @@
 """Rounding and number text with Python's rules, as plain column arithmetic."""
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -22,6 +25,17 @@ def py_round1(x: Column) -> Column:
     return (whole + step) / F.lit(10.0)
 
 
+def is_whole(*numbers: Column) -> Column:
+    """Whether all ``numbers`` are whole; a number that was given as 3.0 counts as 3."""
+    return reduce(and_, [n.cast("double") % 1 == 0 for n in numbers])
+
+
+def number_text(x: Column, whole: Column | None = None) -> Column:
+    """A number as Python prints it: without a decimal if it is ``whole`` (unless given: if its value is)."""
+    whole = is_whole(x) if whole is None else whole
+    return F.coalesce(F.when(whole, x.try_cast("bigint").cast("string")), x.cast("double").cast("string"))
+
+
 def whole_text(x: Column) -> Column:
     """``'%.0f'`` with ties to even."""
     return F.bround(x, 0).cast("bigint").cast("string")

@@ -158,7 +158,7 @@ def location_pairs(job_locations: DataFrame, cand_locations: DataFrame) -> DataF
 
 def _bucket_pairs(job_profiles: DataFrame, index: PoolIndex, places: DataFrame, keep: int) -> DataFrame:
     """Every job profile with the head of each bucket its skill-less candidates can be in."""
-    reach = F.least(F.col("j_min"), F.floor(F.col("j_min") * 0.7).cast("int"))
+    reach = F.least(F.col("j_min").cast("double"), F.col("j_min") * 0.7)
     last = F.when(F.col("j_anywhere"), F.lit(LAST_BUCKET)).otherwise(
         F.greatest(bucket_of(F.col("j_max")), bucket_of(reach))
     )

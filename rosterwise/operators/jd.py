@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import lowered
-from ..schemas import JD_REPLY, any_number, whole_numbers
+from ..schemas import JD_REPLY
 
 MIN_LENGTH = 50
 #: Tasks that the texts holding one and the same word are dealt to.
@@ -50,13 +50,13 @@ def fallback_reply() -> Column:
 
 def decode_replies(replies: DataFrame) -> DataFrame:
     """``job_id, reply, raw_text`` to jobs; a reply that is no JSON becomes the fallback job."""
-    schema = T.StructType([*any_number(JD_REPLY).fields, T.StructField("broken", T.StringType())])
+    schema = T.StructType([*JD_REPLY.fields, T.StructField("broken", T.StringType())])
     parsed = F.from_json("span", schema, {"columnNameOfCorruptRecord": "broken"})
     rows = replies.withColumn("span", json_span(F.col("reply"))).withColumn("parsed", parsed)
     # The parser stops after the first value; as a list element, anything after it is an error.
     alone = F.json_array_length(F.concat(F.lit("["), "span", F.lit("]"))) == 1
     good = alone & F.col("parsed").isNotNull() & F.col("parsed.broken").isNull()
-    fields = whole_numbers(F.col("parsed"), JD_REPLY).cast(JD_REPLY)
+    fields = F.col("parsed").dropFields("broken")
     return (
         rows.withColumn("jd", F.when(good, fields).otherwise(fallback_reply()))
         .select("job_id", "jd.*", "raw_text")
@@ -66,7 +66,7 @@ def decode_replies(replies: DataFrame) -> DataFrame:
 
 
 def _number(text: Column, pattern: str, group: int = 1) -> Column:
-    return F.nullif(F.regexp_extract(text, pattern, group), F.lit("")).try_cast("int")
+    return F.nullif(F.regexp_extract(text, pattern, group), F.lit("")).try_cast("bigint")
 
 
 def _bullets(text: Column, heading: str) -> Column:
@@ -180,7 +180,7 @@ def extract_jobs(texts: DataFrame, vocabulary: DataFrame) -> DataFrame:
         F.struct(
             F.coalesce(_number(raw, years), _number(raw, r"(?i)(\d+)\+?\s*(?:years|yrs)")).alias("min"),
             _number(raw, years, 2).alias("max"),
-            F.lit(None).cast("int").alias("exact"),
+            F.lit(None).cast("bigint").alias("exact"),
         ).alias("experience_years"),
         F.struct(_number(raw, pay).alias("min"), _number(raw, pay, 2).alias("max")).alias("salary_range_lpa"),
         _number(raw, r"(?i)notice(?: period)?\s*:[^\d\n]*(\d+)").alias("notice_preference_days"),

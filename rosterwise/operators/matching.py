@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.numbers import py_round1, whole_text
+from ..functions.numbers import is_whole, number_text, py_round1, whole_text
 from ..functions.skills import expand
 from ..functions.text import anywhere, either_contains
 from ..session import cut_lineage
@@ -71,15 +71,20 @@ def _text(*parts) -> Column:
     return F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
 
 
+def _gap(a: Column, b: Column) -> Column:
+    """Text of the distance of two numbers, which is whole if both are."""
+    return number_text(F.abs(a - b), is_whole(a, b))
+
+
 def _experience():
-    """Score, note, and whether the score is a whole number by rule."""
+    """Score, note, and whether the score is a whole number by rule: of whole numbers, or cut at a bound."""
     years = F.coalesce("experience_years", F.lit(0))
     wanted = F.col("job_experience")
     exact = F.coalesce(wanted["exact"], F.lit(0))
     low = F.coalesce(wanted["min"], F.lit(0))
     top = F.coalesce(wanted["max"], F.lit(0))
     high = F.when(top == 0, F.lit(10)).otherwise(top)
-    off = F.abs(years - exact)
+    off, said = F.abs(years - exact), number_text(years)
     inside = years.between(low, high)
     from_middle = F.abs(years - (low + high) / 2)
     score = (
@@ -92,20 +97,26 @@ def _experience():
     note = (
         F.when(
             exact != 0,
-            F.when(off == 0, _text("Exact match: ", years, " years")).otherwise(
-                _text(years, " yrs vs required ", exact, " yrs (diff: ", off, ")")
+            F.when(off == 0, _text("Exact match: ", said, " years")).otherwise(
+                _text(said, " yrs vs required ", number_text(exact), " yrs (diff: ", _gap(years, exact), ")")
             ),
         )
-        .when(inside, _text(years, " yrs — within range ", low, "-", high))
-        .when(years < low, _text(years, " yrs — ", low - years, " yrs below minimum"))
-        .otherwise(_text(years, " yrs — ", years - high, " yrs above range (overqualified)"))
+        .when(inside, _text(said, " yrs — within range ", number_text(low), "-", number_text(high)))
+        .when(years < low, _text(said, " yrs — ", _gap(low, years), " yrs below minimum"))
+        .otherwise(_text(said, " yrs — ", _gap(years, high), " yrs above range (overqualified)"))
+    )
+    whole = (
+        F.when(exact != 0, (off != 0) & (is_whole(years, exact) | (off * 5 >= 25)))
+        .when(inside, F.lit(False))
+        .when(years < low, is_whole(years, low) | ((low - years) * 4 >= 25))
+        .otherwise(is_whole(years, high) | ((years - high) * 2 >= 10))
     )
-    whole = F.when(exact != 0, off != 0).otherwise(~inside)
     return score, note, whole
 
 
 def _salary():
     asked = F.coalesce("salary_expectation_lpa", F.lit(0))
+    said = number_text(asked)
     low = F.coalesce(F.col("job_salary")["min"], F.lit(0))
     high = F.coalesce(F.col("job_salary")["max"], F.lit(100))
     over = F.when(high > 0, (asked - high) / high).otherwise(F.lit(1.0))
@@ -115,9 +126,9 @@ def _salary():
         .otherwise(F.greatest(F.lit(0.0), 20 - over * 20))
     )
     note = (
-        F.when(asked.between(low, high), _text("₹", asked, " LPA within budget ₹", low, "-", high, " LPA"))
-        .when(asked < low, _text("₹", asked, " LPA — under budget (good for company)"))
-        .otherwise(_text("₹", asked, " LPA — ", whole_text(over * 100), "% over max budget"))
+        F.when(asked.between(low, high), _text("₹", said, " LPA within budget ₹", number_text(low), "-", number_text(high), " LPA"))
+        .when(asked < low, _text("₹", said, " LPA — under budget (good for company)"))
+        .otherwise(_text("₹", said, " LPA — ", whole_text(over * 100), "% over max budget"))
     )
     return score, note
 

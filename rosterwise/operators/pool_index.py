@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from ..functions.constants import NO_CANDIDATES
 from ..functions.text import lowered
+from ..schemas import NUMBERS
 from ..session import shared_folder
 from .cleaning import SchemaError
 
@@ -38,7 +39,7 @@ SEGMENT_BITS = 50
 
 
 def bucket_of(years: Column) -> Column:
-    return F.greatest(F.lit(-1), F.least(F.lit(LAST_BUCKET), years.cast("int")))
+    return F.greatest(F.lit(-1.0), F.least(F.lit(float(LAST_BUCKET)), years.cast("double"))).cast("int")
 
 
 class SkillBits:
@@ -98,7 +99,7 @@ def candidate_profiles(candidates: DataFrame, keep: int) -> DataFrame:
     features = candidates.select(
         F.struct("pool_order", "candidate_id").alias("member"),
         F.sort_array(F.array_distinct(lowered(F.col("skills")))).alias("c_skills"),
-        F.coalesce("experience_years", F.lit(0)).alias("c_exp"),
+        F.coalesce("experience_years", F.lit(0)).cast("double").alias("c_exp"),
         F.lower(F.coalesce("location", F.lit(""))).alias("c_loc"),
     ).withColumn("c_key", F.sha2(F.to_json(F.struct("c_skills", "c_exp", "c_loc")), 256))
     # row_number() <= keep is cut before the shuffle as well, so a profile that a third of
@@ -178,6 +179,8 @@ def _write_segment(candidates, path, number, keep, skills, before):
 
     # The pool is read here and nowhere else, and counted as it is written.
     seen = Observation()
+    # One type in all segments: tables give whole numbers, JSON fractions.
+    candidates = candidates.withColumns({c: F.col(c).cast("double") for c in NUMBERS if c in candidates.columns})
     people = kept(candidates.observe(seen, F.count(F.lit(1)).alias("rows")), "people")
     if number == 0 and not seen.get["rows"]:
         raise SchemaError(NO_CANDIDATES)

@@ -2,6 +2,7 @@
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from ..functions.numbers import py_round1
 
@@ -10,7 +11,8 @@ def pool_stats(candidates: DataFrame) -> DataFrame:
     """One row: size, distinct locations, mean experience and salary (one decimal, 0 if empty)."""
 
     def mean1(column):
-        total = F.sum(F.coalesce(column, F.lit(0)).cast("bigint"))
+        whole = isinstance(candidates.schema[column].dataType, IntegralType)
+        total = F.sum(F.coalesce(column, F.lit(0)).cast("bigint" if whole else "double"))
         return F.coalesce(py_round1(total / F.nullif(F.count(F.lit(1)), F.lit(0))), F.lit(0.0))
 
     return candidates.agg(

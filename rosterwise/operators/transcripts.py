@@ -3,6 +3,7 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.numbers import number_text
 from ..functions.text import lowered
 
 
@@ -62,9 +63,9 @@ def personas(matches: DataFrame, jobs: DataFrame) -> DataFrame:
         F.lit("Salary expectation exceeds budget — may raise this concern.")
     )
     persona = _text(
-        F.col("name"), " is a ", F.col("role"), " with ", F.col("years"), " years experience. They are ",
-        tone, ". Notice period: ", F.coalesce("notice", F.lit(60)), " days. Salary expectation: ₹",
-        F.col("salary"), " LPA. ", budget,
+        F.col("name"), " is a ", F.col("role"), " with ", number_text(F.col("years")), " years experience. They are ",
+        tone, ". Notice period: ", number_text(F.coalesce("notice", F.lit(60))), " days. Salary expectation: ₹",
+        number_text(F.col("salary")), " LPA. ", budget,
     )
     return (
         _joined(matches, jobs)
@@ -108,7 +109,7 @@ def templated_transcripts(matches: DataFrame, jobs: DataFrame) -> DataFrame:
             "What is your notice period, salary expectation, and comfort with the role location: ",
             F.col("job_location"), "?")),
         ("candidate", "commitment_signal", _text(
-            "My notice period is around ", F.coalesce("notice", F.lit(30)), " days. ", money,
+            "My notice period is around ", number_text(F.coalesce("notice", F.lit(30))), " days. ", money,
             " I am open to the next step if the team, scope, and offer are aligned.")),
     ]
     rows = F.array(

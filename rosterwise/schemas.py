@@ -1,10 +1,12 @@
 """Public table schemas."""
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 _TEXT, _INT, _TEXTS = T.StringType(), T.IntegerType(), T.ArrayType(T.StringType())
+#: Years, pay and days as they are given, with fractions and beyond 32 bits; any numeric type will do in their place.
+_NUMBER = T.DoubleType()
+#: The fields of candidates that hold such numbers.
+NUMBERS = ["experience_years", "salary_expectation_lpa", "notice_period_days"]
 
 
 def _struct(**fields) -> T.StructType:
@@ -13,8 +15,8 @@ def _struct(**fields) -> T.StructType:
 
 CANDIDATES = _struct(
     candidate_id=_TEXT, name=_TEXT, email=_TEXT, phone=_TEXT, location=_TEXT,
-    experience_years=_INT, current_role=_TEXT, current_company=_TEXT, skills=_TEXTS,
-    education=_TEXT, salary_expectation_lpa=_INT, notice_period_days=_INT, linkedin=_TEXT,
+    experience_years=_NUMBER, current_role=_TEXT, current_company=_TEXT, skills=_TEXTS,
+    education=_TEXT, salary_expectation_lpa=_NUMBER, notice_period_days=_NUMBER, linkedin=_TEXT,
     github=_TEXT, bio=_TEXT, preferred_work_mode=_TEXT, availability_status=_TEXT,
     pool_order=T.LongType(),
 )
@@ -22,9 +24,9 @@ CANDIDATES = _struct(
 # The struct a parsed job description decodes to.
 JD_REPLY = _struct(
     title=_TEXT, location=_TEXT, required_skills=_TEXTS,
-    experience_years=_struct(min=_INT, max=_INT, exact=_INT),
-    salary_range_lpa=_struct(min=_INT, max=_INT), key_responsibilities=_TEXTS,
-    nice_to_have=_TEXTS, education_required=_TEXT, notice_preference_days=_INT,
+    experience_years=_struct(min=_NUMBER, max=_NUMBER, exact=_NUMBER),
+    salary_range_lpa=_struct(min=_NUMBER, max=_NUMBER), key_responsibilities=_TEXTS,
+    nice_to_have=_TEXTS, education_required=_TEXT, notice_preference_days=_NUMBER,
 )
 
 JOBS = T.StructType(
@@ -34,18 +36,3 @@ JOBS = T.StructType(
 TRANSCRIPTS = _struct(
     job_id=_TEXT, candidate_id=_TEXT, turn=_INT, speaker=_TEXT, message=_TEXT, intent=_TEXT
 )
-
-
-def any_number(kind: T.DataType) -> T.DataType:
-    """``kind`` with doubles for integers, to read JSON numbers of any form."""
-    if isinstance(kind, T.StructType):
-        return T.StructType([T.StructField(f.name, any_number(f.dataType)) for f in kind.fields])
-    return T.DoubleType() if kind == _INT else kind
-
-
-def whole_numbers(column: Column, kind: T.DataType) -> Column:
-    """``column``, read by ``any_number(kind)``, as ``kind``: numbers are cut towards zero."""
-    if isinstance(kind, T.StructType):
-        cells = [whole_numbers(column[f.name], f.dataType).alias(f.name) for f in kind.fields]
-        return F.when(column.isNotNull(), F.struct(*cells))
-    return column.try_cast("int") if kind == _INT else column

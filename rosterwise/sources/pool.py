@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.cleaning import ORDER, clean_pool, require_rows, validate_schema
-from ..schemas import CANDIDATES, any_number, whole_numbers
+from ..schemas import CANDIDATES
 
 JSON_POOL = T.StructType(
     [T.StructField("id", T.StringType())]
-    + [T.StructField(f.name, any_number(f.dataType)) for f in CANDIDATES.fields if f.name not in ("candidate_id", ORDER)]
+    + [f for f in CANDIDATES.fields if f.name not in ("candidate_id", ORDER)]
 )
 
 
@@ -55,7 +55,7 @@ def scan_pool(spark: SparkSession, path: str, fmt: str | None = None) -> DataFra
 def read_pool(spark: SparkSession, path: str, fmt: str | None = None, strict: bool = False) -> DataFrame:
     """Candidates of a pool file or folder.
 
-    JSON keeps its values as they are, but for fractions, which are cut as in tables; tables go through :func:`clean_pool`, and with
+    JSON keeps its values as they are, numbers with their fractions; tables go through :func:`clean_pool`, and with
     ``strict`` their header must have exactly the 17 fields and a valid row must follow. A table may bring its own
     ``pool_order``; otherwise rows are numbered in file order.
     """
@@ -63,7 +63,7 @@ def read_pool(spark: SparkSession, path: str, fmt: str | None = None, strict: bo
     ordered = raw if ORDER in raw.columns else with_file_order(raw)
     if raw.schema == JSON_POOL:
         people = ordered.withColumnRenamed("id", "candidate_id")
-        return people.select(*[whole_numbers(F.col(f.name), f.dataType).alias(f.name) for f in CANDIDATES.fields])
+        return people.select(*CANDIDATES.names)
     if strict:
         validate_schema(raw)
         return require_rows(clean_pool(ordered))

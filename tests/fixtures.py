@@ -1,5 +1,7 @@
 """Small jobs and candidates for the tests."""
 
+from pyspark.sql import types as T
+
 from rosterwise.schemas import CANDIDATES, JOBS, TRANSCRIPTS
 
 
@@ -20,12 +22,21 @@ def person(order, skills=(), exp=3, location="Pune", salary=10, notice=30, name=
     return tuple(values.values())
 
 
+def _typed(value, kind):
+    """``value`` with floats where ``kind`` has doubles."""
+    if value is None:
+        return None
+    if isinstance(kind, T.StructType):
+        return tuple(_typed(v, f.dataType) for v, f in zip(value, kind.fields, strict=True))
+    return float(value) if isinstance(kind, T.DoubleType) else value
+
+
 def jobs_df(spark, rows):
-    return spark.createDataFrame(rows, JOBS)
+    return spark.createDataFrame([_typed(r, JOBS) for r in rows], JOBS)
 
 
 def pool_df(spark, rows):
-    return spark.createDataFrame(rows, CANDIDATES)
+    return spark.createDataFrame([_typed(r, CANDIDATES) for r in rows], CANDIDATES)
 
 
 def turns_df(spark, rows):

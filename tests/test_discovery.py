@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from fixtures import GOLD_JOB, GOLD_PERSON, job, jobs_df, person, pool_df
 
 from rosterwise.operators import discovery, pool_index
+from rosterwise.operators.cleaning import SchemaError
 from rosterwise.operators.discovery import discover, location_pairs
 
 
@@ -86,6 +87,16 @@ def test_plan_equals_scoring_every_pair(spark, seed, keep):
     assert by_plan(jobs, pool, keep) == by_hand(jobs, pool, keep)
 
 
+def test_fractions_and_vast_numbers(spark):
+    jobs, pool = random_case(spark, 5)
+    part = lambda key: F.pmod(F.xxhash64(key), F.lit(8)) / 8
+    years = F.col("experience_years")
+    jobs = jobs.withColumn("experience_years", years.withField("min", years["min"] + part("job_id")))
+    vast = F.when(F.pmod(F.xxhash64("candidate_id"), F.lit(5)) == 0, F.lit(3e9)).otherwise(F.lit(0.0))
+    pool = pool.withColumn("experience_years", years + part("candidate_id") + vast)
+    assert by_plan(jobs, pool, 4) == by_hand(jobs, pool, 4)
+
+
 def test_same_result_with_tiny_salts_and_few_known_skills(spark, monkeypatch):
     monkeypatch.setattr(discovery, "FREQUENT", 6)
     monkeypatch.setattr(discovery, "SEEKERS_PER_SALT", 2)
@@ -148,4 +159,5 @@ def test_segment_without_manifest_does_not_count(spark, tmp_path):
     assert pool_index.open_index(spark, path).segments == (0,)
     more = index.extend(pool.limit(0))
     assert more.segments == (0, 1) and more.people.count() == pool.count()
-    assert pool_index.build_index(pool.limit(0), keep=3).table("postings").count() == 0
+    with pytest.raises(SchemaError):  # a pool without a row is an error, a later segment is not
+        pool_index.build_index(pool.limit(0), keep=3)

@@ -94,7 +94,7 @@ def test_decoding(spark):
 def test_fractions_do_not_spoil_a_reply(spark):
     reply = '{"title": "Dev", "required_skills": ["Go"], "salary_range_lpa": {"min": 12.5, "max": 20}, "notice_preference_days": 30.0}'
     row = jd.decode_replies(spark.createDataFrame([("a", reply, "")], "job_id string, reply string, raw_text string")).collect()[0]
-    assert (row.title, row.required_skills, tuple(row.salary_range_lpa), row.notice_preference_days) == ("Dev", ["Go"], (12, 20), 30)
+    assert (row.title, row.required_skills, tuple(row.salary_range_lpa), row.notice_preference_days) == ("Dev", ["Go"], (12.5, 20), 30)
 
 
 def test_length_check(spark):

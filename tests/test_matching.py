@@ -88,3 +88,25 @@ def test_adaptive_threshold_and_ties(spark):
             got.setdefault(r.job_id, []).append(r.candidate_id)
         assert got == by_hand(min_score, top_k)
     assert find_matches(df, 60, 10, adaptive=False).filter(F.col("match_score") < 60).count() == 0
+
+
+def test_numbers_as_given(spark):
+    jobs = [job("exact", exp=(1, 9, 4.5)), job("range", exp=(2.5, 6, None), pay=(10.5, 20.25)), job("vast", exp=(3000000000, 3000000002, None))]
+    pool = [person(i, exp=y, salary=s) for i, (y, s) in enumerate([(3.5, 18.5), (1.25, 22.5), (9.75, 9), (3000000001, 3000000000)])]
+    got = scored(spark, jobs, pool)
+
+    def at(j, i, name="experience"):
+        f = got[j, f"C{i}"].factor_breakdown[name]
+        return f.score, f.label, f.note
+
+    assert at("exact", 0) == (20.0, "20.0/25", "3.5 yrs vs required 4.5 yrs (diff: 1.0)")
+    assert at("exact", 2) == (0.0, "0/25", "9.75 yrs vs required 4.5 yrs (diff: 5.25)")
+    assert at("range", 0) == (24.2, "24.2/25", "3.5 yrs — within range 2.5-6")
+    assert at("range", 1) == (20.0, "20.0/25", "1.25 yrs — 1.25 yrs below minimum")
+    assert at("range", 2) == (17.5, "17.5/25", "9.75 yrs — 3.75 yrs above range (overqualified)")
+    assert at("range", 3) == (15.0, "15/25", "3000000001 yrs — 2999999995 yrs above range (overqualified)")
+    assert at("vast", 3) == (25.0, "25.0/25", "3000000001 yrs — within range 3000000000-3000000002")
+    assert at("range", 0, "salary") == (20.0, "20.0/20", "₹18.5 LPA within budget ₹10.5-20.25 LPA")
+    assert at("range", 1, "salary") == (17.8, "17.8/20", "₹22.5 LPA — 11% over max budget")
+    assert at("range", 2, "salary")[2] == "₹9 LPA — under budget (good for company)"
+    assert at("vast", 3, "salary")[:2] == (0.0, "0/20")

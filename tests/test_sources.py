@@ -136,18 +136,19 @@ def test_texts_of_other_folders_keep_their_own_ids(spark, tmp_path):
 
 def test_cells_are_read_as_numbers_or_not_at_all(spark):
     df = spark.createDataFrame(
-        [("5f", "a,\tb\n", 0), (" 7.9 ", "x", 1), ("1e1", None, 2), ("NaN", "", 3), ("Infinity", "", 4)],
+        [("5f", "a,\tb\n", 0), (" 7.9 ", "x", 1), ("1e1", None, 2), ("NaN", "", 3), ("Infinity", "", 4), ("3000000000.5", "", 5)],
         "experience string, skills string, pool_order bigint",
     ).selectExpr("*", "'N' AS name")
     rows = cleaning.clean_pool(df).orderBy("pool_order").collect()
-    assert [r.experience_years for r in rows] == [0, 7, 10, 0, 0]
+    assert [r.experience_years for r in rows] == [0, 7, 10, 0, 0, 3000000000]
     assert rows[0].skills == ["a", "b"]
 
 
-def test_fractions_in_json_pools_are_cut(spark, tmp_path):
-    (tmp_path / "p.json").write_text(json.dumps([{"id": "A", "name": "N", "experience_years": 3.5, "salary_expectation_lpa": 18.5}]))
+def test_numbers_in_json_pools_stay_as_given(spark, tmp_path):
+    person = {"id": "A", "name": "N", "experience_years": 3.5, "salary_expectation_lpa": 18.5, "notice_period_days": 3000000000}
+    (tmp_path / "p.json").write_text(json.dumps([person]))
     row = read_pool(spark, str(tmp_path / "p.json")).collect()[0]
-    assert (row.candidate_id, row.experience_years, row.salary_expectation_lpa) == ("A", 3, 18)
+    assert (row.candidate_id, row.experience_years, row.salary_expectation_lpa, row.notice_period_days) == ("A", 3.5, 18.5, 3000000000)
 
 
 def test_transcripts_of_any_length_come_back_whole(spark, tmp_path):
