@@ -81,6 +81,16 @@ def encode_texts(texts: list[str], encode: Callable[[list[bytes]], list[bytes]])
 
     ``encode`` gives the ids of distinct pre-tokens, as little-endian 32-bit integers.
     """
+
+    def ids_of(words):
+        found = encode(words.to_pylist())
+        return np.frombuffer(b"".join(found), "<u4"), np.fromiter(map(len, found), np.int64, len(found)) // 4
+
+    return encode_pieces(texts, ids_of)
+
+
+def encode_pieces(texts: list[str], ids_of: Callable[[pa.LargeBinaryArray], tuple[np.ndarray, np.ndarray]]):
+    """Yields the ids (uint32 array) of each text; ``ids_of`` gives all ids of distinct pre-tokens, and how many each has."""
     for held in _chunks(texts):
         joined = "".join(t + "\0" for t in held)
         points = np.frombuffer(joined.encode("utf-32-le"), np.uint32).copy()
@@ -97,10 +107,7 @@ def encode_texts(texts: list[str], encode: Callable[[list[bytes]], list[bytes]])
             pa.large_binary(), len(start), [None, pa.py_buffer(np.r_[begin, len(data)]), pa.py_buffer(data)]
         ).dictionary_encode()
         stop = points[start] == _STOP
-        words = pieces.dictionary.to_pylist()
-        found = encode(words)
-        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
-        flat = np.frombuffer(b"".join(found), "<u4")
+        flat, sizes = ids_of(pieces.dictionary)
         codes = pieces.indices.to_numpy()
         keep = ~stop
         at, cum = ragged(codes[keep], np.cumsum(sizes) - sizes, sizes)

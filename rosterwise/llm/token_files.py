@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .pretokens import encode_texts
+from .pretokens import encode_pieces, ragged
 
 END_ID = 0
 SAMPLE, SAMPLE_CHARS, DICTIONARY_BYTES = 1000, 4000, 64 * 1024
@@ -37,8 +37,8 @@ BLOCKS = (
     "shard int, block int, first_id long, dict_hash string, doc_ids array<long>, tokens array<long>, "
     "offsets array<long>, frames binary"
 )
-#: Pre-tokens in each of the two generations that a worker keeps, and the longest one, in bytes.
-KEPT, KEPT_BYTES = 300_000, 48
+#: Pre-tokens that a worker keeps (the half used last stays when there are more), and the longest one, in bytes.
+KEPT, KEPT_BYTES = 600_000, 48
 
 
 class LibraryEncoder:
@@ -57,23 +57,44 @@ class LibraryEncoder:
         self.added = [token.content for token in self.tokenizer.get_added_tokens_decoder().values()]
         if self.tokenizer.get_vocab_size() > np.iinfo(STORED).max + 1:
             raise ValueError("the vocabulary doesn't fit the stored ids")
-        self.young: dict[bytes, bytes] = {}
-        self.old: dict[bytes, bytes] = {}
-
-    def encode_words(self, words: list[bytes]) -> list[bytes]:
-        young, old = self.young, self.old
-        out = [young.get(w) or old.get(w) for w in words]
-        new = [i for i, ids in enumerate(out) if ids is None]
-        found = self.tokenizer.encode_batch_fast([words[i].decode() for i in new], add_special_tokens=False)
-        if len(young) + len(new) > KEPT:
-            self.old, self.young = young, {}
-        young = self.young
-        for i, encoding in zip(new, found):
-            out[i] = ids = np.array(encoding.ids, "<u4").tobytes()
-            if len(words[i]) <= KEPT_BYTES and len(young) < KEPT:
-                young[words[i]] = ids
+        # The number of each kept pre-token, its ids, and the round that used it last.
+        self.known: dict[bytes, int] = {}
+        self.flat, self.sizes, self.used = np.empty(0, np.uint32), np.empty(0, np.int64), np.empty(0, np.int64)
+        self.round = 0
+
+    def ids_of(self, words: pa.LargeBinaryArray):
+        """All ids of ``words``, and how many each has; the library encodes those that aren't kept from before."""
+        keys = words.to_numpy(zero_copy_only=False)
+        codes = np.fromiter(map(self.known.get, keys, itertools.repeat(-1)), np.int64, len(keys))
+        unknown = np.flatnonzero(codes < 0)
+        new = words.take(pa.array(unknown)).cast(pa.large_string()).to_numpy(zero_copy_only=False).tolist()
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
+        n = np.fromiter(map(len, found), np.int64, len(found))
+        more = np.fromiter(itertools.chain.from_iterable(found), np.uint32, n.sum())
+        codes[unknown] = len(self.sizes) + np.arange(len(new))
+        flat, sizes = np.concatenate([self.flat, more]), np.concatenate([self.sizes, n])
+        starts = np.cumsum(sizes) - sizes
+        out = flat[ragged(codes, starts, sizes)[0]], sizes[codes]
+        self._keep(keys, codes, unknown, flat, sizes, starts)
         return out
 
+    def _keep(self, keys, codes, unknown, flat, sizes, starts):
+        """Keeps the new words that aren't too long; beyond KEPT, the half of all words that was used last."""
+        self.round += 1
+        before = len(self.sizes)
+        self.used[codes[codes < before]] = self.round
+        short = [i for i in unknown.tolist() if len(keys[i]) <= KEPT_BYTES]
+        self.known.update(zip((keys[i] for i in short), itertools.count(before)))
+        at = codes[short]
+        self.flat = np.concatenate([self.flat, flat[ragged(at, starts, sizes)[0]]])
+        self.sizes, self.used = np.append(self.sizes, sizes[at]), np.append(self.used, np.full(len(at), self.round))
+        if len(self.sizes) > KEPT:
+            last = np.sort(np.argsort(-self.used, kind="stable")[: KEPT // 2])
+            names = list(self.known)  # in the order of their numbers
+            self.known = dict(zip((names[i] for i in last.tolist()), itertools.count()))
+            self.flat = self.flat[ragged(last, np.cumsum(self.sizes) - self.sizes, self.sizes)[0]]
+            self.sizes, self.used = self.sizes[last], self.used[last]
+
     def encode(self, texts):
         whole = {}
 
@@ -84,7 +105,7 @@ class LibraryEncoder:
                     text = ""
                 yield text
 
-        for i, ids in enumerate(encode_texts(plain(), self.encode_words)):
+        for i, ids in enumerate(encode_pieces(plain(), self.ids_of)):
             yield np.append(np.array(whole.pop(i), np.uint32) if i in whole else ids, np.uint32(END_ID))
 
 

@@ -105,3 +105,13 @@ def test_dictionary_sample_reaches_the_ends_of_documents(spark, monkeypatch):
     few = token_files.drawn_blocks(docs)
     assert len(few) == 20 and set(few) <= set(pieces)
     assert any(not t.startswith(x) for x in few for t in texts if t and x in t)
+
+
+def test_kept_words_come_and_go(monkeypatch):
+    monkeypatch.setattr(token_files, "KEPT", 40)
+    encoder, tokenizer = token_files.LibraryEncoder(JSON), Tokenizer.from_file(JSON)
+    texts = [" ".join(f"word{i * j % 97}" for j in range(30)) + " " + "long" * (i + 20) for i in range(60)]
+    for text in [*texts, "", *texts]:  # a call each, so that words are dropped and met again
+        (ids,) = encoder.encode([text])
+        assert ids.tolist() == [*tokenizer.encode(text, add_special_tokens=False).ids, token_files.END_ID]
+        assert len(encoder.known) == len(encoder.sizes) == len(encoder.used) <= 40 and encoder.sizes.sum() == len(encoder.flat)
