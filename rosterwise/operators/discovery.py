@@ -27,8 +27,15 @@ never forms the product:
    to the jobs.
 
 Keys with many pairs are salted on both sides of either join, by counts taken beforehand.
+
+Each list is cut to its best K and written by itself, the counts too: the best K of all lists are among the
+best K of each, and the driver never plans or compiles more than one join at a time. Spark goes by the size of a
+table's compressed files, so a small table whose rows are multiplied here would still be broadcast, through the
+driver: joins with such rows ask for a merge join.
 """
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -156,25 +163,25 @@ def location_pairs(job_locations: DataFrame, cand_locations: DataFrame) -> DataF
     return in_candidate.unionByName(in_job).select("j_loc", "c_loc").distinct()
 
 
-def _bucket_pairs(job_profiles: DataFrame, index: PoolIndex, places: DataFrame, keep: int) -> DataFrame:
-    """Every job profile with the head of each bucket its skill-less candidates can be in."""
+def _bucket_pairs(job_profiles: DataFrame, index: PoolIndex, places: DataFrame, keep: int) -> list[DataFrame]:
+    """Every job profile with the head of each bucket its skill-less candidates can be in; by years, by place and years."""
     reach = F.least(F.col("j_min").cast("double"), F.col("j_min") * 0.7)
     last = F.when(F.col("j_anywhere"), F.lit(LAST_BUCKET)).otherwise(
         F.greatest(bucket_of(F.col("j_max")), bucket_of(reach))
     )
     by_years = job_profiles.withColumn("bucket", F.explode(F.sequence(bucket_of(reach), last)))
     first = index.heads("by_years", ["c_exp"], keep).withColumn("bucket", bucket_of(F.col("c_exp")))
-    anywhere_pairs = by_years.join(first, "bucket").drop("bucket")
+    anywhere_pairs = by_years.join(first.hint("merge"), "bucket").drop("bucket")
 
     placed = job_profiles.filter(~F.col("j_anywhere"))
     local = places.join(index.heads("by_place", ["c_loc", "c_exp"], keep), "c_loc")
     local_heads = heads(local, ["j_loc", "c_exp"], keep).withColumn("bucket", bucket_of(F.col("c_exp")))
     local_pairs = (
         placed.withColumn("bucket", F.explode(F.sequence(bucket_of(reach), F.lit(LAST_BUCKET))))
-        .join(local_heads, ["j_loc", "bucket"])
+        .join(local_heads.hint("merge"), ["j_loc", "bucket"])
         .drop("bucket")
     )
-    return anywhere_pairs.unionByName(local_pairs)
+    return [anywhere_pairs, local_pairs]
 
 
 def _job_skills(job_profiles: DataFrame) -> DataFrame:
@@ -268,46 +275,49 @@ def _salted(rows: DataFrame, busy: DataFrame, keys, own: str, other: str, spread
     )
 
 
-def _meet(seekers: DataFrame, postings: DataFrame, cells: DataFrame, keys) -> DataFrame:
-    """Pairs with equal keys whose first common skill this is and whose bound reaches the bar."""
-    busy = _busy(cells, seekers, keys)
+def _meet(seekers: DataFrame, postings: DataFrame, cells: DataFrame, keys, keep: int) -> DataFrame:
+    """Best pairs with equal keys whose first common skill this is and whose bound reaches the bar."""
+    busy = cut_lineage(_busy(cells, seekers, keys))
     left = _salted(seekers, busy, keys, "j", "c", F.col("j_no"))
     right = _salted(postings, busy, keys, "c", "j", F.col("c_no"))
     met = (
-        left.join(right, [*keys, "j_salt", "c_salt"])
+        left.join(right.hint("merge"), [*keys, "j_salt", "c_salt"])
         .filter(F.col("rest") + experience_points() + location_points() + SLACK >= F.col("bar"))
         .filter(SkillBits.disjoint("earlier", "c"))
     )
-    return _scored(met, _pair_bar()).select(*PAIR)
+    return _list(met, _pair_bar(), keep)
+
+
+def _list(pairs: DataFrame, bar: Column, keep: int) -> DataFrame:
+    """The best of ``pairs`` that reach ``bar``, written."""
+    return cut_lineage(_best(_scored(pairs, bar), keep)).select(*PAIR)
+
+
+def _merged(lists: list[DataFrame], keep: int) -> DataFrame:
+    return _best(reduce(DataFrame.unionByName, lists), keep)
 
 
 def _keyed(seekers: DataFrame, places: DataFrame) -> tuple[DataFrame, DataFrame]:
     """One row per experience value in range and, in the first result, per matching place.
 
-    The second result holds the jobs whose place is no part of the key.
+    The second result holds the jobs whose place is no part of the key (``j_keyed``).
     """
-    in_range = seekers.filter("j_min <= j_max").withColumn(
-        "bucket", F.explode(F.sequence(bucket_of(F.col("j_min")), bucket_of(F.col("j_max"))))
-    )
-    narrow = places.groupBy("j_loc").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") <= KEYED_PLACES)
-    keyed = places.join(narrow.select("j_loc"), "j_loc")
-    in_place = in_range.filter(~F.col("j_anywhere")).join(keyed, "j_loc")
-    flagged = in_range.join(narrow.select("j_loc", F.lit(True).alias("narrow")), "j_loc", "left")
-    others = flagged.filter(F.col("j_anywhere") | F.col("narrow").isNull()).drop("narrow")
-    return in_place, others
+    in_range = seekers.filter("j_min <= j_max")
+    by_place = ~F.col("j_anywhere") & F.col("j_keyed")
+    buckets = F.explode(F.sequence(bucket_of(F.col("j_min")), bucket_of(F.col("j_max"))))
+    in_place = in_range.filter(by_place).join(places, "j_loc").withColumn("bucket", buckets)
+    return in_place, in_range.filter(~by_place).withColumn("bucket", buckets)
 
 
-def _near(seekers: DataFrame, postings: DataFrame, cells: DataFrame, places: DataFrame) -> DataFrame:
+def _near(seekers: DataFrame, postings: DataFrame, cells: DataFrame, places: DataFrame, keep: int) -> list[DataFrame]:
     """Pairs in experience range and, unless the job takes them from anywhere, in place."""
     in_place, others = _keyed(seekers, places)
-    return _meet(in_place, postings, cells, CELL).unionByName(
-        _meet(others, postings, cells, CELL[:2])
-    )
+    return [_meet(in_place, postings, cells, CELL, keep), _meet(others, postings, cells, CELL[:2], keep)]
 
 
 def _first_holders(
     job_skills: DataFrame, frequent: DataFrame, job_profiles: DataFrame, index: PoolIndex, places: DataFrame, keep: int
-) -> DataFrame:
+) -> list[DataFrame]:
     """Each job profile with the first holders of its rarest skill, in range and in place."""
     rarity = F.struct(F.coalesce("holders", F.lit(0)), "skill")
     rarest = (
@@ -315,11 +325,11 @@ def _first_holders(
         .groupBy("j_no")
         .agg(F.min_by("skill", rarity).alias("skill"))
     )
-    in_place, others = _keyed(rarest.join(job_profiles, "j_no"), places)
-    pairs = in_place.join(index.heads("by_cell", CELL, keep), CELL).unionByName(
-        others.join(index.heads("by_cell", CELL[:2], keep), CELL[:2])
-    )
-    return pairs.drop("skill", "bucket")
+    in_place, others = _keyed(cut_lineage(_spread(rarest.join(job_profiles, "j_no"))), places)
+    return [
+        in_place.join(index.heads("by_cell", CELL, keep).hint("merge"), CELL),
+        others.join(index.heads("by_cell", CELL[:2], keep).hint("merge"), CELL[:2]),
+    ]
 
 
 def _spread(rows: DataFrame) -> DataFrame:
@@ -352,31 +362,33 @@ def discover(jobs: DataFrame, candidates: DataFrame | PoolIndex, max_results: in
     )
     bits = index.bits
     job_profiles = bits.encode(bits.encode(job_profiles, "j_req", "j_req"), "j_nice", "j_nice")
+    narrow = places.groupBy("j_loc").agg((F.count(F.lit(1)) <= KEYED_PLACES).alias("j_keyed"))
     job_profiles = cut_lineage(_spread(
         job_profiles.withColumn("n_req", F.size("j_req")).withColumn("n_nice", F.size("j_nice")).drop("j_req", "j_nice")
+        .join(narrow, "j_loc", "left").withColumn("j_keyed", F.coalesce("j_keyed", F.lit(False)))
     ))
 
-    first_pairs = _bucket_pairs(job_profiles, index, places, keep).unionByName(
-        _first_holders(job_skills, frequent, job_profiles, index, places, keep)
+    first_pairs = _bucket_pairs(job_profiles, index, places, keep) + _first_holders(
+        job_skills, frequent, job_profiles, index, places, keep
     )
-    first = cut_lineage(_best(_scored(first_pairs, F.lit(THRESHOLD)), keep))
+    first = cut_lineage(_merged([_list(pairs, F.lit(THRESHOLD), keep) for pairs in first_pairs], keep))
 
     prefix = bits.encode(_prefix(job_skills, frequent, _floors(first, keep)), "earlier", "earlier")
     seekers = cut_lineage(_spread(prefix.drop("earlier").join(job_profiles, "j_no")))
-    near = _near(seekers, postings, cells, places)
-    second = cut_lineage(_best(first.select(*PAIR).unionByName(near), keep))
+    near = _near(seekers, postings, cells, places, keep)
+    second = cut_lineage(_merged([first.select(*PAIR), *near], keep))
 
-    lifted = (
+    lifted = cut_lineage(
         seekers.drop("floor", "last")
         .join(_floors(second, keep), "j_no", "left")
         .withColumn("bar", F.greatest("bar", _bar()))
         .filter(F.col("rest") + (NEXT_OTHER + SLACK) >= F.col("bar"))
     )
-    far = _meet(lifted, postings, cells, ["skill"])
+    far = _meet(lifted, postings, cells, ["skill"], keep)
 
     unfold = W.partitionBy("j_no").orderBy(F.desc("score"), "member")
     top = (
-        _best(second.select(*PAIR).unionByName(far), keep)
+        _merged([second.select(*PAIR), far], keep)
         .join(index.table("members").select("c_no", "members"), "c_no")
         .withColumn("member", F.explode("members"))
         .withColumn("discovery_rank", F.row_number().over(unfold))

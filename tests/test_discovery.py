@@ -3,11 +3,13 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+import plans
 from fixtures import GOLD_JOB, GOLD_PERSON, job, jobs_df, person, pool_df
 
 from rosterwise.operators import discovery, pool_index
 from rosterwise.operators.cleaning import SchemaError
 from rosterwise.operators.discovery import discover, location_pairs
+from rosterwise.session import cut_lineage
 
 
 def scored_by_hand(j, c):
@@ -129,6 +131,23 @@ def test_plan_has_no_product_and_cuts_before_shuffling(spark, capsys):
     assert "WindowGroupLimit" in plan
 
 
+def test_driver_gets_small_plans_and_no_multiplied_rows(spark, monkeypatch):
+    """Each step is a plan of one join or two, and rows that are multiplied in it are never broadcast."""
+    written = []
+
+    def cut(df):
+        written.append(plans.lines(df))
+        return cut_lineage(df)
+
+    jobs, pool = random_case(spark, 5)
+    index = pool_index.build_index(pool, keep=5)
+    monkeypatch.setattr(discovery, "cut_lineage", cut)
+    written.append(plans.lines(discover(jobs, index, 5)))
+    assert max(map(len, written)) < 100
+    made = [line for plan in written for part in plans.broadcast_parts(plan) for line in part]
+    assert made and not [line for line in made if "Generate explode(sequence" in line]
+
+
 def test_stored_index_serves_many_job_tables_and_grows(spark, tmp_path):
     jobs, pool = random_case(spark, 6)
     rows = sorted(pool.collect(), key=lambda c: c.pool_order)
