@@ -35,13 +35,15 @@ def semantic_overlap(pairs: DataFrame, keys, synonyms=None) -> DataFrame:
         .withColumn("total", F.size("jd_terms"))
         .drop("jd_skills", "jd_terms", "cand_terms")
     )
-    similar = fuzzy_pairs(
+    # Written by itself: the plan of the scores stays small.
+    similar = cut_lineage(fuzzy_pairs(
         base.select(F.explode("jd_rest").alias("jd_skill")).distinct(),
         base.select(F.explode("cand_rest").alias("cand_skill")).distinct(),
-    ).select("jd_skill", "cand_skill")
+    ).select("jd_skill", "cand_skill"))
     fuzzy = (
+        # Spark goes by the size of the compressed files and would broadcast the exploded rows.
         base.select(*keys, "jd_rest", F.explode("cand_rest").alias("cand_skill"))
-        .join(similar, "cand_skill")
+        .join(similar.hint("merge"), "cand_skill")
         .filter(F.array_contains("jd_rest", F.col("jd_skill")))
         .groupBy(*keys)
         .agg(F.sort_array(F.collect_list(F.struct("jd_skill", "cand_skill"))).alias("fuzzy"))

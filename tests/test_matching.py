@@ -1,9 +1,10 @@
 import random
 
+import plans
 from fixtures import GOLD_JOB, GOLD_PERSON, job, jobs_df, person, pool_df
 from pyspark.sql import functions as F
 
-from rosterwise.operators.matching import find_matches, match_pairs
+from rosterwise.operators.matching import find_matches, match_pairs, semantic_overlap
 
 
 def scored(spark, jobs, pool):
@@ -110,3 +111,14 @@ def test_numbers_as_given(spark):
     assert at("range", 1, "salary") == (17.8, "17.8/20", "₹22.5 LPA — 11% over max budget")
     assert at("range", 2, "salary")[2] == "₹9 LPA — under budget (good for company)"
     assert at("vast", 3, "salary")[:2] == (0.0, "0/20")
+
+
+def test_exploded_rows_are_not_broadcast(spark):
+    """Files say little of the rows that come of them: the skills of all pairs must not pass the driver."""
+    pairs = spark.createDataFrame([("G", "C1", ["reactt", "sql"], ["react", "sqll"])], "job_id string, candidate_id string, jd_skills array<string>, cand_skills array<string>")
+    rows = semantic_overlap(pairs, ["job_id", "candidate_id"])
+    plan = plans.lines(rows)
+    assert len(plan) < 60
+    assert not [line for part in plans.broadcast_parts(plan) for line in part if "Generate explode(cand_rest" in line]
+    found = rows.first().overlap.fuzzy_matches
+    assert [tuple(p) for p in found] == [("reactt", "react"), ("sql", "sqll")]
