@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from ..functions import constants as K
 from ..functions.numbers import clamp_text
 from ..functions.text import bind, lowered
+from ..session import cut_lineage
 
 TURNS_PER_CHUNK = 1024
 BITS = 62
@@ -183,7 +184,8 @@ def score_interest(matches: DataFrame, transcripts: DataFrame, markers=None) ->
     talked_by = [*[k for k in keys if k in transcripts.columns], "skills"]
     people = pairs.select(*talked_by).distinct()
     turns = transcripts.select(*talked_by[:-1], "turn", "speaker", "message").join(people, talked_by[:-1])
-    signals = transcript_signals(turns.withColumn("own", F.col("skills")), talked_by, m, "own")
+    # Written by themselves: the plan of the scores stays small.
+    signals = cut_lineage(transcript_signals(turns.withColumn("own", F.col("skills")), talked_by, m, "own"))
     rows = pairs.join(signals, talked_by, "left")
 
     none = F.array().cast("array<string>")

@@ -1,5 +1,6 @@
 import random
 
+import plans
 import pytest
 from fixtures import GOLD_JOB, GOLD_PERSON, job, jobs_df, person, pool_df, turns_df
 from pyspark.sql import functions as F
@@ -9,6 +10,7 @@ from rosterwise.operators.matching import match_pairs
 from rosterwise.operators.ranking import rank_candidates
 from rosterwise.operators.transcripts import personas, templated_transcripts
 from rosterwise.plans.shortlist import build_shortlist, discover_and_match
+from rosterwise.session import cut_lineage
 
 
 def matched(spark, jobs, pool):
@@ -50,6 +52,14 @@ def test_missing_transcript_and_silent_candidate(spark):
     assert quiet.negative_signals == ["Long notice period (3+ months)", "Very short responses (low engagement)"]
 
 
+def test_talks_are_folded_before_the_scores_are_planned(spark):
+    matches = cut_lineage(matched(spark, [GOLD_JOB], [person(1, ["Go"])]))
+    talks = turns_df(spark, [("G", "C1", 1, "candidate", "I love Go. When can we talk?")])
+    scores = I.score_interest(matches, talks)
+    assert not [line for line in plans.lines(scores) if "collect_list" in line]
+    assert scores.first().questions_asked == 1
+
+
 @pytest.mark.parametrize("chunk", [1, 3, 1024])
 def test_chunks_give_what_the_whole_text_gives(spark, monkeypatch, chunk):
     monkeypatch.setattr(I, "TURNS_PER_CHUNK", chunk)
