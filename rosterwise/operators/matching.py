@@ -1,5 +1,8 @@
 """Deep match of discovered pairs: skills 40, experience 25, salary 20, location 15."""
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -20,53 +23,85 @@ def _strings(column) -> Column:
     return F.coalesce(column, F.array().cast("array<string>"))
 
 
-def semantic_overlap(pairs: DataFrame, keys, synonyms=None) -> DataFrame:
-    """Put ``overlap`` in place of ``jd_skills`` in rows of ``jd_skills`` and ``cand_skills``.
+def _names(rows: DataFrame, terms: str, name: str) -> DataFrame:
+    return rows.select(F.explode(terms).alias(name)).distinct()
 
-    Direct matches are shared names after synonym expansion. Fuzzy matches are pairs of the
-    names left over on either side. They count as pairs, so the percentage can exceed 100.
+
+def _near(wanted: DataFrame, held: DataFrame) -> DataFrame:
+    """``jd_terms, near``: for each set of wanted terms that has any, the similar (wanted, held) names, in order.
+
+    Looked for among distinct names and put beside the wanted terms, so that no pair is exploded. A held name
+    that is wanted itself is no leftover of any pair with these terms.
     """
-    base = cut_lineage(
-        pairs.withColumn("jd_terms", expand(F.col("jd_skills"), synonyms))
-        .withColumn("cand_terms", expand(F.col("cand_skills"), synonyms))
-        .withColumn("direct", F.sort_array(F.array_intersect("jd_terms", "cand_terms")))
-        .withColumn("jd_rest", F.array_except("jd_terms", "direct"))
-        .withColumn("cand_rest", F.array_except("cand_terms", "direct"))
-        .withColumn("total", F.size("jd_terms"))
-        .drop("jd_skills", "jd_terms", "cand_terms")
-    )
     # Written by itself: the plan of the scores stays small.
-    similar = cut_lineage(fuzzy_pairs(
-        base.select(F.explode("jd_rest").alias("jd_skill")).distinct(),
-        base.select(F.explode("cand_rest").alias("cand_skill")).distinct(),
-    ).select("jd_skill", "cand_skill"))
-    fuzzy = (
-        # Spark goes by the size of the compressed files and would broadcast the exploded rows.
-        base.select(*keys, "jd_rest", F.explode("cand_rest").alias("cand_skill"))
-        .join(similar.hint("merge"), "cand_skill")
-        .filter(F.array_contains("jd_rest", F.col("jd_skill")))
-        .groupBy(*keys)
-        .agg(F.sort_array(F.collect_list(F.struct("jd_skill", "cand_skill"))).alias("fuzzy"))
+    similar = cut_lineage(
+        fuzzy_pairs(_names(wanted, "jd_terms", "jd_skill"), _names(held, "cand_terms", "cand_skill")).select("jd_skill", "cand_skill")
+    )
+    terms = wanted.select("jd_terms").distinct().select("jd_terms", F.explode("jd_terms").alias("jd_skill"))
+    return cut_lineage(
+        terms.join(similar.hint("merge"), "jd_skill")
+        .filter(~F.array_contains("jd_terms", F.col("cand_skill")))
+        .groupBy("jd_terms")
+        .agg(F.sort_array(F.collect_list(F.struct("jd_skill", "cand_skill"))).alias("near"))
     )
+
+
+def _overlapped(rows: DataFrame, keys) -> DataFrame:
+    """Put ``direct, fuzzy, jd_rest, total`` in place of ``jd_terms, cand_terms, near``.
+
+    Rows of one key share the fuzzy pairs of all of them.
+    """
     no_pairs = F.array().cast("array<struct<jd_skill:string,cand_skill:string>>")
-    total = F.col("total")
-    matched = F.size("direct") + F.size("fuzzy")
-    overlap = F.struct(
+    held, wanted = F.col("cand_terms"), F.col("jd_terms")
+    left_over = F.filter(
+        "near", lambda p: F.array_contains(held, p.cand_skill) & ~F.array_contains(held, p.jd_skill)
+    )
+    keyed = reduce(and_, [F.col(k).isNotNull() for k in keys])
+    shared = F.flatten(F.collect_list("fuzzy").over(W.partitionBy(*keys)))
+    return (
+        rows.withColumn("fuzzy", F.when(F.col("near").isNotNull() & keyed, left_over).otherwise(no_pairs))
+        .withColumn("direct", F.sort_array(F.array_intersect(wanted, held)))
+        .withColumn("jd_rest", F.array_except(wanted, "direct"))
+        .withColumn("total", F.size(wanted))
+        .drop("jd_terms", "cand_terms", "near")
+        .withColumn("fuzzy", F.sort_array(shared))
+    )
+
+
+def _matched_count() -> Column:
+    return F.size("direct") + F.size("fuzzy")
+
+
+def _percentage() -> Column:
+    return py_round1(_matched_count() / F.greatest("total", F.lit(1)) * 100)
+
+
+def _overlap() -> Column:
+    return F.struct(
         F.col("direct").alias("direct_matches"),
         F.col("fuzzy").alias("fuzzy_matches"),
-        total.alias("total_jd_skills"),
-        matched.alias("matched_count"),
-        py_round1(matched / F.greatest(total, F.lit(1)) * 100).alias("match_percentage"),
+        F.col("total").alias("total_jd_skills"),
+        _matched_count().alias("matched_count"),
+        _percentage().alias("match_percentage"),
         F.array_except("jd_rest", F.transform("fuzzy", lambda p: p.jd_skill)).alias(
             "unmatched_jd_skills"
         ),
     )
-    return (
-        base.join(fuzzy, list(keys), "left")
-        .withColumn("fuzzy", F.coalesce("fuzzy", no_pairs))
-        .withColumn("overlap", overlap)
-        .drop("total", "direct", "jd_rest", "cand_rest", "fuzzy")
+
+
+def semantic_overlap(pairs: DataFrame, keys, synonyms=None) -> DataFrame:
+    """Put ``overlap`` in place of ``jd_skills`` in rows of ``jd_skills`` and ``cand_skills``.
+
+    Direct matches are shared names after synonym expansion. Fuzzy matches are pairs of the
+    names left over on either side. They count as pairs, so the percentage can exceed 100.
+    """
+    base = cut_lineage(
+        pairs.withColumn("jd_terms", expand(F.col("jd_skills"), synonyms))
+        .withColumn("cand_terms", expand(F.col("cand_skills"), synonyms))
+        .drop("jd_skills")
     )
+    rows = _overlapped(base.join(_near(base, base), "jd_terms", "left"), keys)
+    return rows.withColumn("overlap", _overlap()).drop("total", "direct", "jd_rest", "fuzzy")
 
 
 def _text(*parts) -> Column:
@@ -163,25 +198,42 @@ def _factor(score: Column, most: int, note: Column, whole=None) -> Column:
     )
 
 
-def match_pairs(pairs: DataFrame, jobs: DataFrame, candidates: DataFrame, synonyms=None) -> DataFrame:
-    """Score every (job_id, candidate_id) row of ``pairs``; nothing is filtered."""
-    wanted = jobs.select(
-        "job_id",
-        F.col("location").alias("job_location"),
-        F.col("experience_years").alias("job_experience"),
-        F.col("salary_range_lpa").alias("job_salary"),
-        _strings(F.col("required_skills")).alias("required_skills"),
-        F.concat(_strings(F.col("required_skills")), _strings(F.col("nice_to_have"))).alias("jd_skills"),
+def _scored(pairs: DataFrame, jobs: DataFrame, candidates: DataFrame, synonyms=None) -> DataFrame:
+    """Every (job_id, candidate_id) row of ``pairs`` with its scores and what their explanation takes.
+
+    Synonyms are looked up once per job and once per person found, not once per pair.
+    """
+    wanted = cut_lineage(
+        jobs.select(
+            "job_id",
+            F.col("location").alias("job_location"),
+            F.col("experience_years").alias("job_experience"),
+            F.col("salary_range_lpa").alias("job_salary"),
+            _strings(F.col("required_skills")).alias("required_skills"),
+            expand(F.concat(_strings(F.col("required_skills")), _strings(F.col("nice_to_have"))), synonyms).alias("jd_terms"),
+        )
     )
     people = candidates.select(
         "candidate_id", *[c if c in candidates.columns else F.lit(None).alias(c) for c in RAW_CANDIDATE]
     ).withColumn("cand_skills", _strings(F.col("skills"))).drop("skills")
-    rows = semantic_overlap(
-        pairs.join(people, "candidate_id").join(wanted, "job_id"), ["job_id", "candidate_id"], synonyms
+    found = people.join(pairs.select("candidate_id").distinct(), "candidate_id", "left_semi")
+    found = cut_lineage(found.withColumn("cand_terms", expand(F.col("cand_skills"), synonyms)))
+    wanted = wanted.join(_near(wanted, found), "jd_terms", "left")
+    rows = _overlapped(pairs.join(found, "candidate_id").join(wanted, "job_id"), ["job_id", "candidate_id"])
+    total = F.col("skill_raw") + F.col("experience_raw") + F.col("salary_raw") + F.col("location_raw")
+    return (
+        rows.withColumn("skill_raw", _percentage() * 0.4)
+        .withColumn("experience_raw", _experience()[0])
+        .withColumn("salary_raw", _salary()[0])
+        .withColumn("location_raw", _location()[0])
+        .withColumn("match_score", py_round1(total))
     )
-    experience, experience_note, experience_whole = _experience()
-    salary, salary_note = _salary()
-    location, location_note = _location()
+
+
+def _explained(rows: DataFrame, first, last=()) -> DataFrame:
+    """Notes and breakdowns of rows of ``_scored``, between the columns ``first`` and ``last``."""
+    _, experience_note, experience_whole = _experience()
+    salary_note, location_note = _salary()[1], _location()[1]
     overlap = F.col("overlap")
     matched = F.concat(
         overlap["direct_matches"],
@@ -190,22 +242,16 @@ def match_pairs(pairs: DataFrame, jobs: DataFrame, candidates: DataFrame, synony
             lambda p: F.concat(p["jd_skill"], F.lit("≈"), p["cand_skill"]),
         ),
     )
-    rows = (
-        rows.withColumn("skill_raw", overlap["match_percentage"] * 0.4)
-        .withColumn("experience_raw", experience)
-        .withColumn("salary_raw", salary)
-        .withColumn("location_raw", location)
-        .withColumn(
-            "skill_breakdown",
-            F.struct(
-                "required_skills",
-                F.col("cand_skills").alias("candidate_skills"),
-                matched.alias("matched_skills"),
-                overlap["unmatched_jd_skills"].alias("missing_skills"),
-                overlap["match_percentage"].alias("semantic_match_pct"),
-                F.size(overlap["fuzzy_matches"]).alias("fuzzy_matches_found"),
-            ),
-        )
+    rows = rows.withColumn("overlap", _overlap()).withColumn(
+        "skill_breakdown",
+        F.struct(
+            "required_skills",
+            F.col("cand_skills").alias("candidate_skills"),
+            matched.alias("matched_skills"),
+            overlap["unmatched_jd_skills"].alias("missing_skills"),
+            overlap["match_percentage"].alias("semantic_match_pct"),
+            F.size(overlap["fuzzy_matches"]).alias("fuzzy_matches_found"),
+        ),
     )
     skills_note = _text(
         F.size("skill_breakdown.matched_skills"), " matched, ",
@@ -233,11 +279,10 @@ def match_pairs(pairs: DataFrame, jobs: DataFrame, candidates: DataFrame, synony
             ]
         ],
     )
-    total = F.col("skill_raw") + F.col("experience_raw") + F.col("salary_raw") + F.col("location_raw")
     return rows.select(
-        *pairs.columns,
+        *first,
         F.col("name").alias("candidate_name"),
-        py_round1(total).alias("match_score"),
+        "match_score",
         *[
             factors[key]["score"].alias(name)
             for key, name in [
@@ -253,9 +298,23 @@ def match_pairs(pairs: DataFrame, jobs: DataFrame, candidates: DataFrame, synony
         F.struct(
             *[F.col("cand_skills").alias(c) if c == "skills" else F.col(c) for c in RAW_CANDIDATE]
         ).alias("raw_candidate"),
+        *last,
     )
 
 
+def match_pairs(pairs: DataFrame, jobs: DataFrame, candidates: DataFrame, synonyms=None) -> DataFrame:
+    """Score every (job_id, candidate_id) row of ``pairs``; nothing is filtered."""
+    return _explained(_scored(pairs, jobs, candidates, synonyms), pairs.columns)
+
+
+def best_matches(
+    pairs: DataFrame, jobs: DataFrame, candidates: DataFrame, min_score: float = 45.0, top_k: int = 10, synonyms=None
+) -> DataFrame:
+    """``find_matches`` of ``match_pairs``; every pair is scored, those that are kept get their notes and breakdowns."""
+    kept = find_matches(_scored(pairs, jobs, candidates, synonyms), min_score, top_k)
+    return _explained(kept, pairs.columns, ["threshold", "match_rank"])
+
+
 def find_matches(scored: DataFrame, min_score: float = 45.0, top_k: int = 10, adaptive: bool = True) -> DataFrame:
     """Threshold and best ``top_k`` per job.
 
@@ -263,16 +322,16 @@ def find_matches(scored: DataFrame, min_score: float = 45.0, top_k: int = 10, ad
     ten points less. Ties keep discovery order.
     """
     per_job = W.partitionBy("job_id")
+    best = per_job.orderBy(F.desc("match_score"), "discovery_rank")
+    # Those over a bar are the first of their job, so places hold whatever the bar. Ranked first, the rows of a job are sorted once.
+    scored = scored.withColumn("match_rank", F.row_number().over(best))
     bar = F.lit(float(min_score))
     if adaptive and min_score > 35:
         passing = F.least(F.count_if(F.col("match_score") >= min_score).over(per_job), F.lit(top_k))
         scored = scored.withColumn("passing", passing)
         bar = F.when(F.col("passing") < 3, F.lit(min_score - 10.0)).otherwise(bar)
-    best = per_job.orderBy(F.desc("match_score"), "discovery_rank")
     return (
         scored.withColumn("threshold", bar)
         .drop("passing")
-        .filter(F.col("match_score") >= F.col("threshold"))
-        .withColumn("match_rank", F.row_number().over(best))
-        .filter(F.col("match_rank") <= top_k)
+        .filter((F.col("match_score") >= F.col("threshold")) & (F.col("match_rank") <= top_k))
     )

@@ -196,11 +196,12 @@ def _write_segment(candidates, path, number, keep, skills, before):
         skills = [r.skill for r in held.orderBy(F.desc("holders"), "skill").limit(WORDS * BITS).collect()]
     held = raw.select("c_no", F.explode_outer("c_skills").alias("skill"))
     coded = SkillBits([*skills]).encode_rows(held, "c_no", "c")
-    profiles = kept(raw.select("c_no", "c_exp", "c_loc", "c_skills").join(coded, "c_no"), "profiles")
+    # Few bytes of profiles are many postings: in as many files as there are tasks for them.
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    profiles = kept(raw.select("c_no", "c_exp", "c_loc", "c_skills").join(coded, "c_no").repartition(parts, "c_no"), "profiles")
     postings = profiles.withColumn("skill", F.explode("c_skills")).drop("c_skills").withColumn("bucket", bucket)
     profiles = profiles.drop("c_skills")
     # Files of a range of cells, sorted: a scan for some skills skips row groups by their bounds.
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     tables = {
         "postings": postings.repartitionByRange(parts, *CELL, "c_no").sortWithinPartitions(*CELL, "c_no"),
         "by_years": heads(profiles, ["c_exp"], keep), "by_place": heads(profiles, ["c_loc", "c_exp"], keep),

@@ -65,8 +65,7 @@ def discover_and_match(
     long_enough = F.col("raw_text").isNull() | jd.reject_reason(F.col("raw_text")).isNull()
     usable = jobs.filter(jd.is_sufficient() & long_enough)
     found = cut_lineage(discovery.discover(usable, index, 3 * top_k))
-    scored = matching.match_pairs(found, usable, index.people, synonyms)
-    return found, cut_lineage(matching.find_matches(scored, min_score, top_k))
+    return found, cut_lineage(matching.best_matches(found, usable, index.people, min_score, top_k, synonyms))
 
 
 def build_shortlist(

@@ -4,7 +4,9 @@ import plans
 from fixtures import GOLD_JOB, GOLD_PERSON, job, jobs_df, person, pool_df
 from pyspark.sql import functions as F
 
-from rosterwise.operators.matching import find_matches, match_pairs, semantic_overlap
+from rosterwise.operators import matching
+from rosterwise.operators.matching import best_matches, find_matches, match_pairs, semantic_overlap
+from rosterwise.session import cut_lineage
 
 
 def scored(spark, jobs, pool):
@@ -122,3 +124,41 @@ def test_exploded_rows_are_not_broadcast(spark):
     assert not [line for part in plans.broadcast_parts(plan) for line in part if "Generate explode(cand_rest" in line]
     found = rows.first().overlap.fuzzy_matches
     assert [tuple(p) for p in found] == [("reactt", "react"), ("sql", "sqll")]
+
+
+def test_skills_are_expanded_per_person_and_no_pair_is_exploded(spark, monkeypatch):
+    """What is written on the way are jobs, people and names; rows of pairs are neither written nor multiplied."""
+    written = []
+
+    def cut(df):
+        written.append((set(df.columns), plans.lines(df)))
+        return cut_lineage(df)
+
+    monkeypatch.setattr(matching, "cut_lineage", cut)
+    jobs = [job(f"J{i}", ["Python", "reactt", "sql"], ["k8s"]) for i in range(3)]
+    pool = [person(i, ["react", "SQL", "sqll", "kubernetes"][i % 2 :]) for i in range(4)]
+    pairs = spark.createDataFrame([(j[0], p[0], n) for j in jobs for n, p in enumerate(pool, 1)], "job_id string, candidate_id string, discovery_rank int")
+    rows = match_pairs(pairs, jobs_df(spark, jobs), pool_df(spark, pool))
+    assert written and not [columns for columns, _ in written if {"job_id", "candidate_id"} <= columns]
+    assert not [line for line in plans.lines(rows) if "Generate" in line or "btrim" in line]
+    found = {(r.job_id, r.candidate_id): r.skill_breakdown.matched_skills for r in rows.collect()}
+    assert len(found) == 12 and found["J0", "C1"] == found["J2", "C3"] == ["k8s", "kubernetes", "sql"]
+    assert found["J1", "C0"] == ["k8s", "kubernetes", "sql", "reactt≈react"]
+
+
+def test_best_matches_are_those_of_all_matches(spark):
+    """Also where a pair comes twice: its rows share the fuzzy pairs of both."""
+    rng = random.Random(4)
+    names = ["reactt", "react", "sqll", "sqls", "SQL", "python", "pythom", "k8s", "Go"]
+    jobs = [job(f"J{i}", rng.sample(names, 3), rng.sample(names, 2), exp=(rng.randrange(4), 6, None)) for i in range(6)]
+    pool = [person(i, rng.sample(names, 4), rng.randrange(9), salary=rng.randrange(150)) for i in range(12)]
+    pairs = [(j[0], p[0], n) for j in jobs for n, p in enumerate(pool, 1)]
+    pairs = spark.createDataFrame(pairs + [pairs[0]], "job_id string, candidate_id string, discovery_rank int")
+    jobs, pool = jobs_df(spark, jobs), pool_df(spark, pool)
+    every = match_pairs(pairs, jobs, pool)
+    twice = [r.skill_breakdown for r in every.filter("job_id = 'J0' and candidate_id = 'C0'").collect()]
+    assert len(twice) == 2 and twice[0] == twice[1]
+    assert twice[0].fuzzy_matches_found == 2 * len({m for m in twice[0].matched_skills if "≈" in m})
+    kept = best_matches(pairs, jobs, pool, 60, 4)
+    by_all = find_matches(every, 60, 4).select(*kept.columns)
+    assert sorted(map(str, kept.collect())) == sorted(map(str, by_all.collect()))
