@@ -20,7 +20,9 @@ never forms the product:
    and only the leading ones are joined with the postings, up to the point where the rest
    cannot make up those points. Each pair is met once, at its first common skill.
 4. *Near join.* First on (skill, experience, location), which meets the candidates in range
-   and in place. Their scores lift the floor.
+   and in place. The pool is met in slices, first come first, each a few times as long as those before it: once
+   a job has its K at the best score that can be had, later candidates cannot be among its best, so the work of a
+   job ends with the slice that fills its list and does not grow with the pool behind it. All scores lift the floor.
 5. *Far join.* All others lose ten points or more. Only the jobs and skills that can still
    reach the lifted floor without them are joined on the skill alone.
 6. *Merge.* Best K of all lists per job profile, members unfolded, cut to K, joined back
@@ -55,6 +57,8 @@ FREQUENT = 10_000
 # A cell of the salted join: at most SEEKERS job rows, about PAIRS_PER_CELL pairs.
 SEEKERS_PER_SALT = 1_000
 PAIRS_PER_CELL = 250_000
+# Profiles in the first slice of a pool for the near join; all slices so far are so many times as long with each further one.
+FIRST_SLICE, LONGER = 65_536, 4
 # A job location that matches more candidate locations than this is not part of the join
 # key but of the condition.
 KEYED_PLACES = 64
@@ -315,6 +319,44 @@ def _near(seekers: DataFrame, postings: DataFrame, cells: DataFrame, places: Dat
     return [_meet(in_place, postings, cells, CELL, keep), _meet(others, postings, cells, CELL[:2], keep)]
 
 
+def _slice_ends(index: PoolIndex) -> list[int]:
+    """Numbers of profiles at which a slice of the pool ends and the next begins; where exactly is of no matter."""
+    numbers = index.table("members").select("c_no")
+    total, at = numbers.count(), FIRST_SLICE
+    shares = []
+    while at < total:
+        shares.append(at / total)
+        at *= LONGER
+    ends = numbers.agg(F.percentile_approx("c_no", shares, 10_000)).first()[0] if shares else []
+    return sorted(set(ends))
+
+
+def _lifted(seekers: DataFrame, best: DataFrame, keep: int) -> DataFrame:
+    """``seekers`` with the floors of ``best``."""
+    return seekers.drop("floor", "last").join(_floors(best, keep), "j_no", "left").withColumn("bar", F.greatest("bar", _bar()))
+
+
+def _near_by_slices(
+    seekers: DataFrame, index: PoolIndex, cells: DataFrame, places: DataFrame, first: DataFrame, keep: int
+) -> DataFrame:
+    """``first`` and the near finds, merged; a slice is met by the jobs that what came before leaves a chance there."""
+    postings, best, number = index.table("postings"), first, F.col("c_no")
+    ends = _slice_ends(index)
+    for low, high in zip([None, *ends], [*ends, None]):
+        part = postings
+        if low is not None:
+            part = part.filter(number >= low)
+            later = F.greatest("bar", F.when(F.col("last") < low, F.col("floor") + 0.05 - SLACK))
+            seekers = cut_lineage(_spread(
+                _lifted(seekers, best, keep).filter(F.col("rest") + (BEST_OTHER + SLACK) >= later)
+            ))
+        if high is not None:
+            part = part.filter(number < high)
+        near = _near(seekers, part, cells, places, keep)
+        best = cut_lineage(_merged([best.select(*PAIR), *near], keep))
+    return best
+
+
 def _first_holders(
     job_skills: DataFrame, frequent: DataFrame, job_profiles: DataFrame, index: PoolIndex, places: DataFrame, keep: int
 ) -> list[DataFrame]:
@@ -375,15 +417,9 @@ def discover(jobs: DataFrame, candidates: DataFrame | PoolIndex, max_results: in
 
     prefix = bits.encode(_prefix(job_skills, frequent, _floors(first, keep)), "earlier", "earlier")
     seekers = cut_lineage(_spread(prefix.drop("earlier").join(job_profiles, "j_no")))
-    near = _near(seekers, postings, cells, places, keep)
-    second = cut_lineage(_merged([first.select(*PAIR), *near], keep))
-
-    lifted = cut_lineage(
-        seekers.drop("floor", "last")
-        .join(_floors(second, keep), "j_no", "left")
-        .withColumn("bar", F.greatest("bar", _bar()))
-        .filter(F.col("rest") + (NEXT_OTHER + SLACK) >= F.col("bar"))
-    )
+    second = _near_by_slices(seekers, index, cells, places, first, keep)
+
+    lifted = cut_lineage(_lifted(seekers, second, keep).filter(F.col("rest") + (NEXT_OTHER + SLACK) >= F.col("bar")))
     far = _meet(lifted, postings, cells, ["skill"], keep)
 
     unfold = W.partitionBy("j_no").orderBy(F.desc("score"), "member")

@@ -205,10 +205,11 @@ def _write_segment(candidates, path, number, keep, skills, before):
     tables = {
         "postings": postings.repartitionByRange(parts, *CELL, "c_no").sortWithinPartitions(*CELL, "c_no"),
         "by_years": heads(profiles, ["c_exp"], keep), "by_place": heads(profiles, ["c_loc", "c_exp"], keep),
-        "by_cell": heads(postings, CELL, keep),
     }
     with ThreadPoolExecutor(len(tables)) as pool:  # they don't hang on each other
-        list(pool.map(lambda name: kept(tables[name], name), tables))
+        written = dict(zip(tables, pool.map(lambda name: kept(tables[name], name), tables)))
+    # From the sorted files: what is in order already takes little sorting, and few files hold rows of a cell.
+    kept(heads(written["postings"], CELL, keep), "by_cell")
     last = people.agg(F.coalesce(F.max("pool_order") + 1, F.lit(before))).first()[0]
     manifest = spark.range(1).select(
         F.lit(keep).alias("keep"), F.lit(last).cast("long").alias("rows"),

@@ -33,21 +33,53 @@ def skill_of_part(p_name):
     return F.coalesce(F.try_element_at(names, p_name), p_name)
 
 
-def _lineitem_skills(spark, sf_dir):
-    part = table(spark, sf_dir, "part").select("p_partkey", skill_of_part(F.col("p_name")).alias("skill"))
+# Names of the most parts that travel as numbers and are held as bits of bigints; others travel and are held as text.
+KNOWN, BITS = 248, 64
+
+
+def _known_skills(spark, sf_dir):
+    named = table(spark, sf_dir, "part").select(skill_of_part(F.col("p_name")).alias("skill")).filter("skill is not null")
+    most = named.groupBy("skill").count().orderBy(F.desc("count"), "skill").limit(KNOWN).collect()
+    return sorted(r.skill for r in most)
+
+
+def _lineitem_skills(spark, sf_dir, known):
+    """Line items with ``at``, the place of their skill in ``known``, and the skill as ``other`` if it has none."""
+    skill = F.col("skill")
+    names = F.array(*[F.lit(s) for s in known]).cast("array<string>")
+    part = (
+        table(spark, sf_dir, "part")
+        .select("p_partkey", skill_of_part(F.col("p_name")).alias("skill"))
+        .withColumn("at", F.nullif(F.array_position(names, skill), F.lit(0)).cast("int") - 1)
+        .select("p_partkey", "at", F.when(F.col("at").isNull(), skill).alias("other"))
+    )
     items = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey")
-    # The other side has a row per key: hashed, so that the line items need no sorting.
-    return items.join(part.hint("shuffle_hash"), items.l_partkey == part.p_partkey).select("l_orderkey", "l_suppkey", "skill")
+    return items.join(part, items.l_partkey == part.p_partkey).select("l_orderkey", "l_suppkey", "at", "other")
+
+
+def _sets_by_customer(held, known):
+    """``o_custkey, skills``: bits of known names need no sorting and fixed space while they are gathered."""
+    words = [known[i : i + BITS] for i in range(0, len(known), BITS)] or [[]]
+    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("at") % BITS)
+    sets = [
+        F.coalesce(F.bit_or(F.when(F.floor(F.col("at") / BITS) == w, bit)), F.lit(0).cast("bigint")).alias(f"w{w}")
+        for w in range(len(words))
+    ]
+    more = [F.collect_set("other").alias("others")] if len(known) == KNOWN else []
+
+    def named(w, word):
+        return F.filter(F.array(*[F.lit(s) for s in word]).cast("array<string>"), lambda s, i: F.getbit(f"w{w}", i) == 1)
+
+    known_skills = [named(w, word) for w, word in enumerate(words)]
+    skills = F.sort_array(F.concat(*known_skills, "others")) if more else F.concat(*known_skills)
+    return held.groupBy("o_custkey").agg(*sets, *more).select("o_custkey", skills.alias("skills"))
 
 
 def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
-    held = _lineitem_skills(spark, sf_dir)
-    skills = (
-        held.join(orders.hint("shuffle_hash"), held.l_orderkey == orders.o_orderkey)
-        .groupBy("o_custkey")
-        .agg(F.sort_array(F.collect_set("skill")).alias("skills"))
-    )
+    known = _known_skills(spark, sf_dir)
+    held = _lineitem_skills(spark, sf_dir, known)
+    skills = _sets_by_customer(held.join(orders, held.l_orderkey == orders.o_orderkey), known)
     customer = table(spark, sf_dir, "customer")
     nation = table(spark, sf_dir, "nation")
     key = F.col("c_custkey")
@@ -72,10 +104,13 @@ def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     by_count = W.partitionBy("l_suppkey").orderBy(F.desc("n"), "skill")
+    known = _known_skills(spark, sf_dir)
+    names = F.array(*[F.lit(s) for s in known]).cast("array<string>")
     ranked = (
-        _lineitem_skills(spark, sf_dir)
-        .groupBy("l_suppkey", "skill")
+        _lineitem_skills(spark, sf_dir, known)
+        .groupBy("l_suppkey", "at", "other")
         .agg(F.count(F.lit(1)).alias("n"))
+        .select("l_suppkey", F.coalesce(F.get(names, F.col("at")), "other").alias("skill"), "n")
         .withColumn("place", F.row_number().over(by_count))
         .filter("place <= 8")
         .groupBy("l_suppkey")

@@ -180,3 +180,27 @@ def test_segment_without_manifest_does_not_count(spark, tmp_path):
     assert more.segments == (0, 1) and more.people.count() == pool.count()
     with pytest.raises(SchemaError):  # a pool without a row is an error, a later segment is not
         pool_index.build_index(pool.limit(0), keep=3)
+
+
+@pytest.mark.parametrize("seed,keep", [(8, 3), (9, 12)])
+def test_slices_of_the_pool_give_the_result_of_the_whole(spark, monkeypatch, seed, keep):
+    monkeypatch.setattr(discovery, "FIRST_SLICE", 10)
+    monkeypatch.setattr(discovery, "LONGER", 2)
+    jobs, pool = random_case(spark, seed)
+    assert by_plan(jobs, pool, keep) == by_hand(jobs, pool, keep)
+
+
+def test_jobs_with_full_lists_leave_the_rest_of_the_pool_alone(spark, monkeypatch):
+    """What meets of the pool doesn't grow with the profiles that come after a full list of best scores."""
+    monkeypatch.setattr(discovery, "FIRST_SLICE", 40)
+    jobs = jobs_df(spark, [job(f"J{i}", ["Python", "SQL"], ["Go"], "Remote", (2, 5, None)) for i in range(2)])
+    pool = pool_df(spark, [person(i, ["Python", "SQL", "Go", f"S{i}"], 3 + i % 2) for i in range(400)])
+    met, meet = [], discovery._meet
+
+    def counted(seekers, postings, *rest):
+        met.append(seekers.select("j_no").distinct().count() * postings.count())
+        return meet(seekers, postings, *rest)
+
+    monkeypatch.setattr(discovery, "_meet", counted)
+    assert by_plan(jobs, pool, 5) == by_hand(jobs, pool, 5)
+    assert 0 < sum(met) < 400
