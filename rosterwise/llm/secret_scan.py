@@ -206,7 +206,7 @@ def bars(counts) -> dict:
         for at in range(round(-FINE * math.log10(ALPHA))):
             kept, passed = kept + own[at], passed + other[at]
             chance = (passed + 1) / (sum(other) + 1)
-            if kept and chance * sum(own) <= FALSE * kept:
+            if own[at] and chance * sum(own) <= FALSE * kept:
                 found[stratum] = at
     return found
 
